@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +31,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, since single texts may be very long."""
+def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python runs in tasks: bound what one Arrow batch holds, since single texts may be very long, and let
+    workers that start in another folder find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_words(text: Column) -> Column:
-    """Number of words, 0 for a null text."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, and only where the result is asked for."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def spaced_words(text: Column) -> Column:
     """The words of a text joined by single spaces; null for a null text."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
+
+
+def n_spaced(spaced: Column) -> Column:
+    """Number of words of `spaced_words`, 0 for null."""
+    count = F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1)
+    return F.coalesce(count, F.lit(0)).cast("long")
+
+
+def n_words(text: Column) -> Column:
+    """Number of words, 0 for a null text."""
+    return bound(spaced_words(text), n_spaced)

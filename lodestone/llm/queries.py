@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules
-from .common import n_words, small_batches, table, written
+from . import bpe, chat, mixing, nbsvm, quality_rules, sharding
+from .common import n_words, ready_for_python, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +19,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready_for_python(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(part != 2)
+    model = nbsvm.fit(nbsvm.training_rows(docs, labels))
+    held_out = F.coalesce(part == 2, F.lit(False))
+    return nbsvm.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -28,12 +39,45 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op3_quality_cascade"] = quality_rules.SQL
 
 
+#: A conversation of which each text holds the template's own control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op4_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready_for_python(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
+    return chat.digests(turns.unionByName(extra))
+
+
+ORACLE_SQL["op4_chat_spans"] = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n'))
+           + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 @query
 def op5_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    ready_for_python(spark)
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.default_vocabulary())
 
 
+@query
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
