@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, nbsvm, quality_rules, sharding
+from . import ann, bpe, chat, mixing, nbsvm, quality_rules, sharding
 from .common import n_words, ready_for_python, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready_for_python(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+    return ann.search(vectors, queries, k=10)
+
+
 @query
 def op2_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready_for_python(spark)
