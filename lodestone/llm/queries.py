@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, nbsvm, quality_rules, sharding
+from . import ann, bpe, chat, mixing, nbsvm, ngram_join, quality_rules, sharding
 from .common import n_words, ready_for_python, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,11 @@ SELECT doc_id, size, source_size, target,
        (least(floor(pos * rate + u) - floor((pos - 1) * rate + u), 3) * size)::BIGINT AS taken
 FROM j
 """
+
+
+@query
+def op10_multi_match_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op10_multi_match_prefixes"] = ngram_join.SQL
