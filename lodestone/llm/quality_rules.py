@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, spaced_words
+from .common import WORD, bound, n_spaced, spaced_words
 
 #: Rows of the sample from which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -21,9 +21,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def word_chars(text: Column) -> Column:
+def word_chars(spaced: Column) -> Column:
     """Code points in words."""
-    return F.coalesce(F.length(F.translate(text, " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")
+    return F.coalesce(F.length(F.translate(spaced, " ", "")), F.lit(0)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
@@ -32,13 +32,13 @@ def n_symbols(text: Column) -> Column:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line of the text."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    return F.coalesce(F.size(lines) - F.size(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))), F.lit(0)).cast("long")
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x))
+    return F.coalesce(bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long")
 
 
-def window_hashes(text: Column, n: int) -> Column:
+def window_hashes(spaced: Column, n: int) -> Column:
     """A hash for each window of n words, in order."""
-    windows = F.regexp_extract_all(spaced_words(text), F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{n - 1}}}[^ ]++))"), F.lit(1))
+    windows = F.regexp_extract_all(spaced, F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{n - 1}}}[^ ]++))"), F.lit(1))
     return F.transform(windows, lambda x: F.xxhash64(x))
 
 
@@ -48,24 +48,28 @@ def _covered(hashes: Column) -> Column:
     Sorted (hash, position) pairs put equal windows side by side; the positions of those with an equal neighbour, in
     order, cover `WINDOW` words each, less what the next one covers too.
     """
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i")))
-    size = F.size(pairs)
-    before = F.concat(none, F.slice(pairs, 1, size - 1))
-    after = F.concat(F.slice(pairs, 2, size), none)
-    sides = F.zip_with(before, after, lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
-    at = F.zip_with(pairs, sides, lambda x, y: F.when((x["h"] == y["a"]) | (x["h"] == y["b"]), x["i"]))
-    at = F.array_sort(F.filter(at, lambda x: x.isNotNull()))
-    following = F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(None).cast("int")))
-    steps = F.zip_with(at, following, lambda x, y: F.least(F.coalesce(y - x, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
-
-
-def n_repeat_words(text: Column) -> Column:
+
+    def positions(pairs: Column) -> Column:
+        before = F.concat(none, F.slice(pairs, 1, F.size(pairs) - 1))
+        after = F.concat(F.slice(pairs, 2, F.size(pairs)), none)
+        sides = F.zip_with(before, after, lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
+        at = F.zip_with(pairs, sides, lambda x, y: F.when((x["h"] == y["a"]) | (x["h"] == y["b"]), x["i"]))
+        return F.sort_array(F.filter(at, lambda x: x.isNotNull()))
+
+    def words(at: Column) -> Column:
+        following = F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(None).cast("int")))
+        steps = F.zip_with(at, following, lambda x, y: F.least(F.coalesce(y - x, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return bound(bound(pairs, positions), words)
+
+
+def n_repeat_words(spaced: Column) -> Column:
     """Words that stand in an 8-word window found twice or more in the text, the first time included."""
-    hashes = window_hashes(text, WINDOW)
-    distinct = F.size(F.array_distinct(hashes))
-    return F.coalesce(F.when(F.size(hashes) > distinct, _covered(hashes)).otherwise(0), F.lit(0)).cast("long")
+    found = bound(window_hashes(spaced, WINDOW), lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), _covered(h)).otherwise(F.lit(0).cast("long")))
+    return F.coalesce(found, F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -128,19 +132,20 @@ def judged(df: DataFrame, counts: bool = False, sample_rows: int = SAMPLE_ROWS)
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     df = df.select(*[c for c in df.columns if c not in added])
-    text = F.col("text")
+    text, spaced = F.col("text"), F.col("__spaced")
     lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(1))
-    plain = [n_words(text), word_chars(text), n_symbols(text), n_dup_lines(text)]
+    plain = [n_spaced(spaced), word_chars(spaced), n_symbols(text), n_dup_lines(text)]
+    df = df.withColumn("__spaced", spaced_words(text))  # more than one column reads it, so it's computed once
     if not counts:
-        rules = base_rules(plain[0], n_repeat_words(text)) + further_rules(*plain, lines)
-        return df.withColumn("kept", cascade(ordered(df, rules, sample_rows)).isNull())
+        rules = base_rules(plain[0], n_repeat_words(spaced)) + further_rules(*plain, lines)
+        return df.withColumn("kept", cascade(ordered(df, rules, sample_rows)).isNull()).drop("__spaced")
     rules = ordered(df, further_rules(*plain, lines), sample_rows)
     names = {r.name: r for r in further_rules(*map(F.col, added[:4]), lines)}
     failed = F.lit(False)
     for rule in base_rules(F.col("n_words"), F.col("n_repeat_words")):
         failed = failed | rule.rejects
-    df = df.withColumns(dict(zip(added, [*plain, n_repeat_words(text)], strict=False))).withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & cascade([names[r.name] for r in rules]).isNull())
+    df = df.withColumns(dict(zip(added, [*plain, n_repeat_words(spaced)], strict=False))).withColumn("base_failed", failed)
+    return df.withColumn("kept", ~F.col("base_failed") & cascade([names[r.name] for r in rules]).isNull()).drop("__spaced")
 
 
 SQL = """
