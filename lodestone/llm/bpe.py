@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 #: Fixed values of the vocabulary file's format: its end-of-word mark, and the one character that stands for it here.
 END, END_MARK = "</w>", "\n"
 #: Fixed values of the vocabulary file's normalizer and pre-tokenizer.
-WHITE = r"\p{White_Space}"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words kept with their tokens in each Python worker; beyond that the cache starts anew.
 CACHE_WORDS = 200_000
 #: Words longer than this aren't kept.
 CACHE_LENGTH = 64
+#: Texts of so many characters are put together from one pass over their new words.
+TOGETHER = 1_000_000
 NEVER = np.int64(1) << 40
 
 
@@ -71,7 +73,10 @@ class Vocabulary:
         self.keys, self.made = keys[order], np.array(list(self.merge.values()), np.int64)[order]
         #: What greedy matching may propose: tokens that merging their own characters gives back.
         self.reachable = {t: i for t, i in self.ids.items() if self.merged(t) == [i]}
-        self.longest = max(map(len, self.reachable))
+        #: The length of the longest such token by its first three characters.
+        self.longest: dict[str, int] = {}
+        for t in self.reachable:
+            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 0))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("special_pattern", "split_pattern")}
@@ -106,9 +111,9 @@ class Vocabulary:
 
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match; None where it would leave a word's end without a character."""
-        out, at, n, find = [], 0, len(word), self.reachable.get
+        out, at, n, find, longest = [], 0, len(word), self.reachable.get, self.longest.get
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + longest(word[at : at + 3], 2)), at, -1):
                 if end != n - 1 and (i := find(word[at:end])) is not None:
                     break
             else:
@@ -129,9 +134,7 @@ class Vocabulary:
         good, live = np.ones(len(a), bool), np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x * v + y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            made = np.where(self.keys[at] == key, self.made[at], NEVER)
+            made = self.made_of(x * v + y)
             bad = (made < into_a[live]) & (made <= into_b[live])
             good[live[bad]] = False
             split_a, split_b = self.left[x] >= 0, self.left[y] >= 0
@@ -143,6 +146,40 @@ class Vocabulary:
             live = live[(split_a | split_b) & ~bad]
         return good
 
+    def made_of(self, key: np.ndarray) -> np.ndarray:
+        """The token that each pair (left * tokens + right) merges into, or NEVER."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], NEVER)
+
+    def merged_together(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of many short words at once: every pass does each word's lowest merge wherever it occurs.
+
+        New pairs never rank below the merge that made them, so the order within a word is that of `merged`. Where
+        occurrences overlap, every second one of the run is taken, from the left.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        parts = [[self.ids[c] for c in w[:-2]] + [self.ids[w[-2:]]] for w in words]
+        ids = np.fromiter((i for p in parts for i in p), np.int64)
+        owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+        while len(ids):
+            made = np.full(len(ids), NEVER)
+            same = owner[1:] == owner[:-1]
+            made[:-1][same] = self.made_of(ids[:-1][same] * len(self.text) + ids[1:][same])
+            starts = np.flatnonzero(np.r_[True, ~same])
+            lowest = np.minimum.reduceat(made, starts)
+            lengths = np.diff(np.r_[starts, len(ids)])
+            for k in np.flatnonzero(lowest == NEVER):
+                out[owner[starts[k]]] = ids[starts[k] : starts[k] + lengths[k]].tolist()
+            live = np.repeat(lowest < NEVER, lengths)
+            hit = (made == np.repeat(lowest, lengths)) & live
+            at = np.arange(len(ids))
+            run = at - np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], at, -1))
+            hit &= run % 2 == 0
+            ids = np.where(hit, made, ids)
+            keep = live & ~np.r_[False, hit[:-1]]
+            ids, owner = ids[keep], owner[keep]
+        return out
+
     def encoded(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word, in byte characters with the end mark."""
         out = [self.proposed(w) for w in words]
@@ -152,8 +189,14 @@ class Vocabulary:
         inner = owner[1:] == owner[:-1]
         pairs, where = np.unique(flat[:-1][inner] * len(self.text) + flat[1:][inner], return_inverse=True)
         good = self.compatible(pairs // len(self.text), pairs % len(self.text))
-        failed = set(owner[1:][inner][~good[where]].tolist()) | {k for k, t in enumerate(out) if t is None}
-        return [self.merged(words[k]) if k in failed else t for k, t in enumerate(out)]
+        failed = sorted(set(owner[1:][inner][~good[where]].tolist()) | {k for k, t in enumerate(out) if t is None})
+        short = [k for k in failed if len(words[k]) <= CACHE_LENGTH]
+        for k, t in zip(short, self.merged_together([words[k] for k in short]), strict=True):
+            out[k] = t
+        for k in failed:
+            if len(words[k]) > CACHE_LENGTH:
+                out[k] = self.merged(words[k])
+        return out
 
 
 def default_vocabulary(path: str | None = None) -> Vocabulary:
@@ -173,7 +216,6 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {}
         self.bytes = str.maketrans({b: c for b, c in enumerate(byte_chars())})
-        self.white = regex.compile(WHITE + "+")
 
     def pieces(self, text: str | None) -> list[str]:
         """The words of a text; a special token stands as its name after a NUL."""
@@ -183,7 +225,8 @@ class Coder:
             if part in self.v.special:
                 out.append("\0" + part)
             elif part:
-                out += self.v.split_pattern.findall(lowered(self.white.sub(" ", unicodedata.normalize("NFC", part))))
+                # white space parts words whichever it is, so the normalizer's replacing it by blanks changes nothing
+                out += self.v.split_pattern.findall(lowered(unicodedata.normalize("NFC", part)))
         return out
 
     def learn(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
@@ -194,16 +237,26 @@ class Coder:
         new = [w for w in words if w not in known]
         plain = [w for w in new if w[0] != "\0" or w[1:] not in self.v.special]
         tokens = self.v.encoded([w.encode().decode("latin-1").translate(self.bytes) + END_MARK for w in plain])
-        fresh = {w: (np.array(t, "<u4").tobytes(), " ".join([text[i] for i in t])) for w, t in zip(plain, tokens, strict=True)}
-        fresh |= {w: (np.array([self.v.special[w[1:]]], "<u4").tobytes(), w[1:]) for w in new if w not in fresh}
+        packed = lambda t: struct.pack(f"<{len(t)}I", *t)
+        fresh = {w: (packed(t), " ".join([text[i] for i in t])) for w, t in zip(plain, tokens, strict=True)}
+        fresh |= {w: (packed([self.v.special[w[1:]]]), w[1:]) for w in new if w not in fresh}
         known.update({w: x for w, x in fresh.items() if len(w) <= CACHE_LENGTH})
         return {**known, **fresh} if any(len(w) > CACHE_LENGTH for w in fresh) else known
 
     def coded(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
-        """(ids, decoded text) of each text."""
+        """(ids, decoded text) of each text; the words of about TOGETHER characters are learnt at once."""
+        group, size = [], 0
         for text in texts:
-            words = self.pieces(text)
-            known = self.learn(set(words))
+            group.append(self.pieces(text))
+            size += len(text or "")
+            if size > TOGETHER:
+                yield from self._put_together(group)
+                group, size = [], 0
+        yield from self._put_together(group)
+
+    def _put_together(self, group: list[list[str]]) -> Iterator[tuple[bytes, str]]:
+        known = self.learn(set().union(*group))
+        for words in group:
             found = [known[w] for w in words]
             yield b"".join([x for x, _ in found]), " ".join([x for _, x in found])
 
