@@ -115,7 +115,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, probes: float = PROBE
     sample = np.stack([v for v in sample if len(v) == dims])
     vectors, asked = (x.where(F.size("embedding") == dims) for x in (vectors, asked))
     total = vectors.count()
-    wanted = lists or int(min(MOST_LISTS, max(1, np.sqrt(total))))
+    wanted = lists or int(min(MOST_LISTS, max(1, np.sqrt(total) / 4)))
     centres = centroids(sample, wanted)
     turn = rotation(dims)
     visits = int(min(len(centres), max(4, np.ceil(probes * len(centres)), np.ceil(4 * k * len(centres) / max(1, total)))))
