@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -27,10 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: lineage ends there and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Have the shuffle files of steps that are over removed now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete a table that `written` made and that no later step reads."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    released(df.sparkSession)
+
+
 def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
     """Before Python runs in tasks: bound what one Arrow batch holds, since single texts may be very long, and let
     workers that start in another folder find this package."""

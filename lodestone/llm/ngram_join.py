@@ -21,19 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, n_spaced, spaced_words, written
+from .common import bound, discarded, n_spaced, released, spaced_words, written
 from .components import components
+from .pivots import PERCENT, of_checked_size, sizes_fit, tied
 from .quality_rules import window_hashes
 
 WORDS = 5
-PERCENT = 80
 #: The longest list that is paired off as it is.
 CHEAP = 16
-#: Lists of at most so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
-#: Pivot rounds end when no more pairs between components are left than this times the number of costly classes.
-PAIRS_A_CLASS = 8
-MOST_ROUNDS = 4
 
 
 def shingles(text: Column) -> Column:
@@ -57,106 +52,77 @@ def matches(n: Column) -> Column:
     return F.least(prefix(n), least_overlap(n))
 
 
-def of_checked_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, to be broadcast if it has few rows; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def _sizes_fit(n: str = "n", m: str = "m") -> Column:
-    return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link; a written table.
 
     First by the stored prefixes: of the member whose prefix ends first all shingles up to there are known to be
     shared or not, and only its others can add to the overlap. Then by whole sets, made anew for what is left.
     """
-    one = sets.select(F.col("id").alias("a"), F.col("n"), F.col("pre").alias("p"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("pre").alias("q"))
+    pairs = written(pairs, "op10-pairs")
+    ids = lambda p: written(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "op10-ids")
+    some = sets.join(of_checked_size(ids(pairs)), "id", "left_semi")
+    one = some.select(F.col("id").alias("a"), F.col("n"), F.col("pre").alias("p"))
+    two = some.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("pre").alias("q"))
     need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
     rest = F.when(F.element_at("p", -1) <= F.element_at("q", -1), F.col("n") - F.size("p")).otherwise(F.col("m") - F.size("q"))
-    near = pairs.join(one, "a").join(two, "b").where(_sizes_fit()).where(F.size(F.array_intersect("p", "q")) + rest >= need)
-    near = written(near.select("a", "b"), "near")
-    named = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "named")
-    whole = docs.select(F.col("doc_id").alias("id"), "text").join(of_checked_size(named), "id", "left_semi")
-    whole = written(whole.select("id", shingles(F.col("text")).alias("set")).dropDuplicates(["id"]), "whole")
+    near = pairs.join(one, "a").join(two, "b").where(sizes_fit()).where(F.size(F.array_intersect("p", "q")) + rest >= need)
+    near = written(near.select("a", "b"), "op10-near")
+    whole = docs.select(F.col("doc_id").alias("id"), "text").join(of_checked_size(ids(near)), "id", "left_semi")
+    whole = written(whole.select("id", shingles(F.col("text")).alias("set")), "op10-whole")
     linked = near.join(whole.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(whole.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    return written(linked.where(shared * (100 + PERCENT) >= (F.size("s") + F.size("t")) * PERCENT).select("a", "b"), "linked")
+    linked = written(linked.where(shared * (100 + PERCENT) >= (F.size("s") + F.size("t")) * PERCENT).select("a", "b").distinct(), "op10-linked")
+    discarded(whole)
+    return linked
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_shingles, id, pre): `id` is the smallest doc_id with an equal set, null for an empty
-    set or doc_id; `pre` the shingles of the longer prefix, on the row that stands for its class only. Written."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text): (doc_id, n, id) for every row, where `id` is the smallest doc_id with an equal set, null for
+    an empty set or doc_id; and (id, n, pre) for every class, with the shingles of its longer prefix. Both written."""
     made = docs.select("doc_id", shingles(F.col("text")).alias("set"))
     n = F.size("set")
     longest = F.least(n, prefix(n) + matches(n) - 1)
     made = made.select("doc_id", n.alias("n"), F.xxhash64("set").alias("f"), F.xxhash64(F.lit(7), "set").alias("g"), F.slice("set", 1, longest).alias("pre"))
-    made = written(made, "op10-sets")
-    first = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f", "g").agg(F.min("doc_id").alias("id"))
-    return written(made.join(first, ["n", "f", "g"], "left").select("doc_id", "n", "id", F.when(F.col("doc_id") == F.col("id"), F.col("pre")).alias("pre")), "op10-classes")
-
-
-def _listed(posts: DataFrame, counts: DataFrame) -> DataFrame:
-    return posts.join(of_checked_size(counts), "token")
+    made = written(made, "op10-made")
+    first = written(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f", "g").agg(F.min("doc_id").alias("id")), "op10-first")
+    rows = written(made.select("doc_id", "n", "f", "g").join(first, ["n", "f", "g"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "op10-rows")
+    # a doc_id that rows of other sets repeat names one of the sets only, so that every class has one row
+    of_id = of_checked_size(written(first.groupBy("id").agg(F.min(F.struct("n", "f", "g")).alias("k")).select("id", "k.*"), "op10-of-id"))
+    sets = made.withColumnRenamed("doc_id", "id").join(of_id, ["id", "n", "f", "g"]).dropDuplicates(["id"]) if rows.where("id = doc_id").count() > first.count() else made.withColumnRenamed("doc_id", "id").join(of_id, ["id", "n", "f", "g"])
+    sets = written(sets.select("id", "n", "pre"), "op10-sets")
+    discarded(made)
+    return rows, sets
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes that give the components of all links; `sets` has (id, n, pre), one row a class."""
     base = sets.select("id", "n", F.explode(F.slice("pre", 1, prefix(F.col("n")))).alias("token"))
-    counts = written(base.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "op10-counts")
-    posts = written(_listed(base, counts), "op10-posts")
+    counts = written(base.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "op10-counts")
+    posts = written(base.join(of_checked_size(counts), "token"), "op10-posts")
     costly = written(posts.groupBy("id").agg(F.max("df").alias("most")).where(F.col("most") > CHEAP).select("id"), "op10-costly")
+    released(docs.sparkSession)
 
     # pairs with a cheap member
-    short = posts.where(F.col("df") <= CHEAP).join(costly.withColumn("costly", F.lit(True)), "id", "left")
+    short = posts.where(F.col("df") <= CHEAP).join(of_checked_size(costly.withColumn("costly", F.lit(True))), "id", "left")
     other = short.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("costly").alias("also"))
-    pairs = short.withColumnRenamed("id", "a").join(other, "token").where((F.col("a") < F.col("b")) & _sizes_fit())
+    pairs = short.withColumnRenamed("id", "a").join(other, "token").where((F.col("a") < F.col("b")) & sizes_fit())
     pairs = pairs.where(F.col("costly").isNull() | F.col("also").isNull()).select("a", "b").distinct()
     found = _verified(pairs, sets, docs)
+    if costly.isEmpty():
+        return found
 
-    # pairs of costly members
+    # lists of costly members; a partner's l may be less: that of the smallest size that fits
     longer = sets.join(of_checked_size(costly), "id", "left_semi").select("id", "n", F.explode("pre").alias("token"))
-    counts = written(longer.groupBy("token").agg(F.count("*").alias("df")), "op10-counts")
-    if counts.isEmpty():
-        return found
-    # a partner's l may be less: that of the smallest size that fits
-    least = F.ceil(F.col("n") * PERCENT / 100).cast("int")
-    rank = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
-    often = written(counts.where("df > 1"), "op10-often")
-    longer = longer.join(of_checked_size(often), "token", "left").withColumn("at", F.row_number().over(rank))
-    total = F.least(F.col("n"), prefix(F.col("n")) + matches(F.col("n")) - 1)
-    kept = longer.where((F.col("df") > 1) & (F.col("at") <= total - F.least(matches(F.col("n")), matches(least)) + 1)).select("token", "id", "n")
-    kept = written(kept, "op10-kept")
-    many = costly.count()
-    for at in range(MOST_ROUNDS + 1):
-        labels = components(found) if not found.isEmpty() else None
-        rows = kept.withColumn("label", F.col("id")) if labels is None else kept.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        sizes = written(rows.groupBy("token", "label").agg(F.count("*").alias("k")), "op10-sizes")
-        lists = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most")).where("labels > 1")
-        lists = written(lists, "op10-lists")
-        left = lists.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
-        rows = written(rows.join(of_checked_size(lists.select("token", "main")), "token"), "op10-rows")
-        if left <= PAIRS_A_CLASS * many or at == MOST_ROUNDS:
-            break
-        # tie each list's classes to a pivot of about their size: another one each round
-        group = [F.col("token"), F.floor(F.log(F.col("n").cast("double")) / 0.1).alias("about")]
-        order = F.struct(F.xxhash64("label", F.lit(at)), "id") if at else F.struct("id", "id")
-        pivots = rows.groupBy(*group).agg(F.min_by("id", order).alias("pivot"), F.count("*").alias("of")).where("of > 1").drop("of")
-        tied = rows.withColumn("about", group[1]).join(pivots, ["token", "about"]).where("id <> pivot")
-        tied = tied.groupBy("id", "pivot").agg(F.count("*").alias("shared"))
-        best = Window.partitionBy("id").orderBy(F.desc("shared"), "pivot")
-        tied = tied.withColumn("at", F.row_number().over(best)).where("at <= 3")
-        tied = tied.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = written(found.unionByName(_verified(tied, sets, docs)).distinct(), "op10-found")
-
-    # what is left between components
-    other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("its"))
-    minor = rows.where("label <> main").withColumnRenamed("id", "a")
-    pairs = minor.join(other, "token").where((F.col("label") != F.col("its")) & _sizes_fit() & ((F.col("its") == F.col("main")) | (F.col("a") < F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.unionByName(_verified(pairs, sets, docs))
+    often = written(longer.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "op10-often")
+    n = F.col("n")
+    total = F.least(n, prefix(n) + matches(n) - 1)
+    least = F.least(matches(n), matches(F.ceil(n * PERCENT / 100).cast("int")))
+    one = Window.partitionBy("id")
+    # shingles of one class only come first in the order by frequency, and needn't be looked at
+    seldom = total - F.count("*").over(one)
+    kept = longer.join(of_checked_size(often), "token").withColumn("at", F.row_number().over(one.orderBy("df", "token")) + seldom)
+    kept = written(kept.where(F.col("at") <= total - least + 1).select("token", "id", "n"), "op10-kept")
+    return tied(kept, found, lambda pairs: _verified(pairs, sets, docs), costly.count())
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -164,18 +130,15 @@ def joined(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links reach, the row's own included. A null, empty or blank text has an
     empty set and links with nothing; a text of less than five words is one shingle. A null doc_id takes part in no
-    link, and its component_id is null. doc_id names a document: rows that repeat one are a single node, so their
-    components are one. Texts are read whole. Further columns don't take part; an empty frame gives an empty frame.
+    link, and its component_id is null. doc_id names a document: where rows with different texts repeat one, a link of
+    any of them counts for all. Texts are read whole. Further columns don't take part; an empty frame gives an empty
+    frame.
     """
     docs = docs.select("doc_id", "text")
-    made = classes(docs)
-    sets = made.where("pre IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("pre").alias("pre"))
-    sets = written(sets, "op10-first")
-    repeated = made.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    found = links(docs, sets)
-    labels = components(found.unionByName(repeated))
-    labels = labels.withColumnRenamed("node", "id").withColumnRenamed("label", "least")
-    return made.join(labels, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id", "doc_id").alias("component_id"))
+    rows, sets = classes(docs)
+    same = rows.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
+    labels = components(links(docs, sets).unionByName(same)).withColumnRenamed("node", "id").withColumnRenamed("label", "least")
+    return rows.join(labels, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id", "doc_id").alias("component_id"))
 
 
 SQL = """

@@ -13,14 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .components import components
 
 PERCENT = 80
 #: Lists of at most so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
-#: Pivot rounds end when no more pairs between components are left than this times the number of nodes.
+BROADCAST_ROWS = 1_500_000
+#: Pivot rounds end when no more pairs between components are left than this times the number of nodes, or when a round
+#: has left more than LITTLE of those before it: the lists then hold nodes that don't link.
 PAIRS_A_NODE = 4
+LITTLE = 0.8
 MOST_ROUNDS = 4
 #: Pivots that a node is tied to in a round: those it shares most lists with.
 TIES = 3
@@ -36,13 +38,15 @@ def sizes_fit(n: str = "n", m: str = "m") -> Column:
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
-def tied(listed: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], nodes: int) -> DataFrame:
+def tied(listed: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], nodes: int, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Links (a, b), `found` included, that give the components of all candidates that link.
 
     `listed` has (token, id, n): node `id` of set size `n` stands in list `token`; it is a written table. `verified`
     takes candidate pairs (a, b), a < b, and returns those that link.
     """
-    for at in range(MOST_ROUNDS + 1):
+    before = None
+    for at in range(rounds + 1):
+        released(listed.sparkSession)
         labels = None if found.isEmpty() else components(found).withColumnRenamed("node", "id")
         rows = listed.withColumn("label", F.col("id")) if labels is None else listed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
@@ -50,8 +54,9 @@ def tied(listed: DataFrame, found: DataFrame, verified: Callable[[DataFrame], Da
         lists = written(lists, "lists")
         left = lists.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
         rows = written(rows.join(of_checked_size(lists.select("token", "main")), "token"), "listed")
-        if left <= PAIRS_A_NODE * nodes or at == MOST_ROUNDS:
+        if left <= PAIRS_A_NODE * nodes or at == rounds or (before is not None and left > LITTLE * before):
             break
+        before = left
         about = F.floor(F.log(F.col("n").cast("double")) / 0.1)
         order = F.struct(F.xxhash64("label", F.lit(at)), "id") if at else F.struct("id", "id")
         pivots = rows.groupBy("token", about.alias("about")).agg(F.min_by("id", order).alias("pivot"), F.count("*").alias("of")).where("of > 1").drop("of")
