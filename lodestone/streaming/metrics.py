@@ -11,6 +11,7 @@ def rolled_up(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -
 
     In a stream a window is final once the watermark has passed it; rows later than `late` are left out then.
     """
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    kind = events.schema["ts"].dataType
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("stage"))
-    return grouped.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("w.start").alias("start"), "stage", "n", "mean")
+    return grouped.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("w.start").cast(kind).alias("start"), "stage", "n", "mean")
