@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, jaccard, section_name, slug, token_set, value_scale
+from ..functions.text import excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
 from .retrieval import fused
 from .vectors import top_k
 
 # Fixed values.
+TEMPLATES = {
+    "fact": [
+        "What does {doc_id} page {page} describe in the '{section}' section?",
+        "According to '{section}' in {doc_id}, what is the key point?",
+        "Which detail is stated in {doc_id} p{page} under '{section}'?",
+    ],
+    "multi_hop": [
+        "How does '{section_a}' in {doc_a} connect to '{section_b}' in {doc_b}?",
+        "What relationship links {doc_a} p{page_a} '{section_a}' with {doc_b} p{page_b} '{section_b}'?",
+        "Using both '{section_a}' and '{section_b}', what combined conclusion is supported?",
+    ],
+    "contrast": [
+        "Contrast '{section_a}' from {doc_a} with '{section_b}' from {doc_b}.",
+        "How does {doc_a} p{page_a} '{section_a}' differ from {doc_b} p{page_b} '{section_b}'?",
+        "What is the main contrast between '{section_a}' and '{section_b}'?",
+    ],
+}
 TYPE_MIX = {"fact": 0.45, "multi_hop": 0.35, "contrast": 0.20}
 DEFAULT_PROVIDER = "local"
 
@@ -90,8 +109,8 @@ def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int) ->
     places = numbered(chunks)
     count = F.lit(places.count())
     draft = spark.range(n).select(F.col("id").alias("idx"), F.pmod("id", count).alias("one"), pair_index(F.col("id"), count, 2 if kind == "contrast" else 1).alias("two"))
-    one = places.select(F.col("at").alias("one"), F.col("chunk_id").alias("first_chunk"), F.col("chunk_text").alias("t1"), section_name(F.col("section")).alias("s1"))
-    two = places.select(F.col("at").alias("two"), F.col("chunk_id").alias("second_chunk"), F.col("chunk_text").alias("t2"), section_name(F.col("section")).alias("s2"))
+    one = places.select(F.col("at").alias("one"), F.col("chunk_id").alias("first_chunk"), F.col("doc_id").alias("d1"), F.col("page").alias("p1"), F.col("chunk_text").alias("t1"), section_name(F.col("section")).alias("s1"))
+    two = places.select(F.col("at").alias("two"), F.col("chunk_id").alias("second_chunk"), F.col("doc_id").alias("d2"), F.col("page").alias("p2"), F.col("chunk_text").alias("t2"), section_name(F.col("section")).alias("s2"))
     rows = draft.join(one, "one").join(two, "two")
     if kind == "fact":
         rows, answer = rows.withColumn("second_chunk", F.lit(None).cast("string")), excerpt(F.col("t1"), 22)
@@ -99,7 +118,25 @@ def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int) ->
         answer = F.trim(F.concat(excerpt(F.col("t1"), 12), F.lit(" "), excerpt(F.col("t2"), 12)))
     else:
         answer = F.trim(F.concat(F.col("s1"), F.lit(" focuses on "), excerpt(F.col("t1"), 10), F.lit(" while "), F.col("s2"), F.lit(" emphasizes "), excerpt(F.col("t2"), 10)))
-    return rows.select("idx", F.lit(kind).alias("type"), "first_chunk", "second_chunk", answer.alias("gold_answer"))
+    named = {"doc_id": "d1", "page": "p1", "section": "s1", "doc_a": "d1", "page_a": "p1", "section_a": "s1", "doc_b": "d2", "page_b": "p2", "section_b": "s2"}
+    fill = lambda template: F.concat(*[F.col(named[x[1:-1]]).cast("string") if x[:1] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", template)])
+    question = F.get(F.array(*[fill(x) for x in TEMPLATES[kind]]), (F.col("idx") % 3).cast("int"))
+    return rows.select("idx", F.lit(kind).alias("type"), question.alias("question"), "first_chunk", "second_chunk", answer.alias("gold_answer"))
+
+
+def generated_questions(spark: SparkSession, chunks: DataFrame, run: str, size: int) -> DataFrame:
+    """(question_id, type, question, first_chunk, second_chunk, gold_answer): `size` questions in the usual mix.
+
+    A question that came before, but for case and white space, gets its draft's number in brackets.
+    """
+    targets = {r["type"]: r["n"] for r in type_targets(spark, size).collect()}  # three rows
+    parts = [question_pairs(spark, chunks, kind, targets[kind]).withColumn("__k", F.lit(k)) for k, kind in enumerate(TYPE_MIX)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    seen = F.row_number().over(Window.partitionBy(F.lower(squeezed(F.col("question")))).orderBy("__k", "idx"))
+    unique = F.when(F.col("__seen") == 1, F.col("question")).otherwise(F.concat("question", F.lit(" ("), (F.col("idx") + 1).cast("string"), F.lit(")")))
+    number = F.row_number().over(Window.orderBy("__k", "idx"))  # an evaluation's bounded set
+    out = out.withColumn("__seen", seen).withColumn("question", unique).withColumn("question_id", F.concat(F.lit(f"{run}:q"), F.lpad(number.cast("string"), 4, "0")))
+    return out.select("question_id", "type", "question", "first_chunk", "second_chunk", "gold_answer")
 
 
 def grid(spark: SparkSession, chunking: list[str], embedding: list[str], retrieval: list[str], providers: list[str] | None = None, rerank: list[bool] | None = None, rerank_models: list[str] | None = None) -> DataFrame:

@@ -248,7 +248,32 @@ FROM p JOIN c a ON a.at = one JOIN c b ON b.at = two""".replace("AS at,", "AS po
 def q29_question_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = v.chunks(spark, sf_dir)
     parts = [evaluate.question_pairs(spark, chunks, kind, n) for kind, n in (("fact", 90), ("multi_hop", 70), ("contrast", 40))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("question")
+
+
+@query(f"""
+WITH {v.CHUNKS},
+c AS (SELECT *, coalesce(nullif(trim(regexp_replace(section, '\\s+', ' ', 'g')), ''), 'Unknown Section') AS s,
+      row_number() OVER (ORDER BY doc_id, page, section, chunk_id) - 1 AS pos FROM chunks),
+k AS (SELECT * FROM (VALUES (0, 'fact', 90, 1), (1, 'multi_hop', 70, 1), (2, 'contrast', 40, 2)) AS t(k, type, cnt, stride)),
+d AS (SELECT k, type, unnest(range(0, cnt)) AS idx, stride FROM k),
+p AS (SELECT k, type, idx, idx % n AS one, CASE WHEN n = 1 THEN 0 ELSE (idx + ((idx // n) % (n - 1) + 1) * stride) % n END AS two FROM d, (SELECT count(*) AS n FROM chunks)),
+q AS (
+  SELECT p.k, type, idx, CASE k * 3 + idx % 3
+    WHEN 0 THEN 'What does ' || a.doc_id || ' page ' || a.page || ' describe in the ''' || a.s || ''' section?'
+    WHEN 1 THEN 'According to ''' || a.s || ''' in ' || a.doc_id || ', what is the key point?'
+    WHEN 2 THEN 'Which detail is stated in ' || a.doc_id || ' p' || a.page || ' under ''' || a.s || '''?'
+    WHEN 3 THEN 'How does ''' || a.s || ''' in ' || a.doc_id || ' connect to ''' || b.s || ''' in ' || b.doc_id || '?'
+    WHEN 4 THEN 'What relationship links ' || a.doc_id || ' p' || a.page || ' ''' || a.s || ''' with ' || b.doc_id || ' p' || b.page || ' ''' || b.s || '''?'
+    WHEN 5 THEN 'Using both ''' || a.s || ''' and ''' || b.s || ''', what combined conclusion is supported?'
+    WHEN 6 THEN 'Contrast ''' || a.s || ''' from ' || a.doc_id || ' with ''' || b.s || ''' from ' || b.doc_id || '.'
+    WHEN 7 THEN 'How does ' || a.doc_id || ' p' || a.page || ' ''' || a.s || ''' differ from ' || b.doc_id || ' p' || b.page || ' ''' || b.s || '''?'
+    ELSE 'What is the main contrast between ''' || a.s || ''' and ''' || b.s || '''?' END AS question
+  FROM p JOIN c a ON a.pos = one JOIN c b ON b.pos = two),
+u AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) ORDER BY k, idx) AS seen, row_number() OVER (ORDER BY k, idx) AS n FROM q)
+SELECT 'run:q' || lpad(n::VARCHAR, 4, '0') AS question_id, type, CASE WHEN seen = 1 THEN question ELSE question || ' (' || (idx + 1) || ')' END AS question FROM u""")
+def q29b_question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.generated_questions(spark, v.chunks(spark, sf_dir), "run", 200).select("question_id", "type", "question")
 
 
 @query("""
