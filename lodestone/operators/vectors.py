@@ -9,6 +9,8 @@ from ..functions.text import hex_number, token_list
 
 DIMENSIONS = 256
 LEAST_NORM = 1e-8
+#: Blocks that vectors are dealt into; each meets all questions.
+BLOCKS = 64
 
 
 def hashed_index(token: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -57,11 +59,16 @@ def top_k(scored: DataFrame, k: int, by: str = "question_id", order: list[Column
 def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(question_id, query) and (row_idx, embedding) to (question_id, rank, row_idx, score).
 
-    Questions are the stated query set; they are few next to the vectors, whose blocks each meet all of them. Ties go
-    to the smaller row_idx.
+    Vectors are dealt into blocks, each of which meets all questions, so that many questions don't land in one task.
+    Ties go to the smaller row_idx.
     """
-    pairs = vectors.join(questions, F.size("query") == F.size("embedding"))
-    return top_k(pairs.select("question_id", "row_idx", cosine(F.col("query"), F.col("embedding")).alias("score")), k, order=[F.col("row_idx")])
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    block = F.pmod(F.xxhash64("row_idx"), F.lit(BLOCKS)).cast("int")
+    rows = vectors.select("row_idx", "embedding", norm("embedding").alias("vn"), block.alias("block"))
+    asked = questions.select("question_id", "query", norm("query").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    pairs = rows.join(asked, (rows["block"] == asked["block"]) & (F.size("query") == F.size("embedding")))
+    score = dot(F.col("query"), F.col("embedding")) / F.greatest(F.col("qn") * F.col("vn"), F.lit(LEAST_NORM))
+    return top_k(pairs.select("question_id", "row_idx", score.alias("score")), k, order=[F.col("row_idx")])
 
 
 def sparse_search(questions: DataFrame, chunks: DataFrame, k: int, dimensions: int = DIMENSIONS) -> DataFrame:

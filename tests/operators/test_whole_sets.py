@@ -1,0 +1,22 @@
+"""Whole query sets against the SQL of the bounded queries, less its bound."""
+
+import __spark_entry__ as entry
+import duckdb
+
+SF = "/root/testdata/sf0.01"
+
+
+def same_as_sql(spark, name, of, bound, instead=""):
+    sql = entry.oracle_sql()[of]
+    assert sql.count(bound) == 1
+    db = duckdb.connect()
+    for table in ("embeddings", "supplier", "part", "orders"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = db.sql(sql.replace(bound, instead))
+    got = entry.queries()[name](spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_cosine(spark):
+    same_as_sql(spark, "q08b_cosine_every_50th", "q08_cosine_topk", "q.vec_id < 10", "q.vec_id % 50 = 0")
+    assert entry.queries()["q08b_cosine_every_50th"](spark, SF).select("question_id").distinct().count() == 10
