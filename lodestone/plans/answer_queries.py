@@ -63,7 +63,16 @@ SELECT question_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM h
 
 @query(GRAPH_FUSED)
 def q17_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, q = found(spark, sf_dir), asked(spark, sf_dir)
+    return graph_fused(spark, sf_dir, asked(spark, sf_dir))
+
+
+@query()
+def q17b_hybrid_every_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_fused(spark, sf_dir, asked(spark, sf_dir, every=True))
+
+
+def graph_fused(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
+    t = found(spark, sf_dir)
     lexical = retrieval.lexical_search(q, v.sentences(spark, sf_dir), 8).withColumn("score", F.round("score", 9))
     walked = graph.graph_search(q, graph.nodes(t), graph.edges(t), 8)
     return retrieval.fused(lexical, walked, 8).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))

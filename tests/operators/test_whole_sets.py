@@ -20,3 +20,8 @@ def same_as_sql(spark, name, of, bound, instead=""):
 def test_cosine(spark):
     same_as_sql(spark, "q08b_cosine_every_50th", "q08_cosine_topk", "q.vec_id < 10", "q.vec_id % 50 = 0")
     assert entry.queries()["q08b_cosine_every_50th"](spark, SF).select("question_id").distinct().count() == 10
+
+
+def test_graph_search(spark):
+    for name, of in (("q14b_bfs_edges_every_supplier", "q14_bfs_edges"), ("q15c_graph_hits_every_supplier", "q15_graph_hits"), ("q17b_hybrid_every_supplier", "q17_hybrid")):
+        same_as_sql(spark, name, of, " WHERE s_suppkey <= 10")
