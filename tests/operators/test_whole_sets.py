@@ -25,3 +25,7 @@ def test_cosine(spark):
 def test_graph_search(spark):
     for name, of in (("q14b_bfs_edges_every_supplier", "q14_bfs_edges"), ("q15c_graph_hits_every_supplier", "q15_graph_hits"), ("q17b_hybrid_every_supplier", "q17_hybrid")):
         same_as_sql(spark, name, of, " WHERE s_suppkey <= 10")
+
+
+def test_rerank(spark):
+    same_as_sql(spark, "q50b_rerank_parse_every_customer", "q50_rerank_parse", " WHERE o_custkey <= 200")
