@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,34 +17,75 @@ SPACES = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none, one of our own."""
+    """The folder that driver and executors share. Where the session names none, a local one gets one of our own; on a
+    cluster that is an error, as executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/lodestone-shared"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Has Spark remove a query's shuffle files when it is over.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables of the steps that are under way, the innermost last.
+_under_way: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a Parquet table in the shared folder: lineage ends there and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+    if _under_way:
+        _under_way[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Have the shuffle files of steps that are over removed now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
 
 
 def discarded(df: DataFrame) -> None:
     """Delete a table that `written` made and that no later step reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    released(df.sparkSession)
+    for paths in _under_way:
+        for path in [p for p in paths if p.rsplit("/", 1)[-1] in _folders(df)]:
+            _deleted(df.sparkSession, path)
+            paths.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are `written` inside are deleted at its end, but those that the frames given to what it yields read."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    _under_way.append([])
+    try:
+        yield keep
+    finally:
+        paths = _under_way.pop()
+        for path in paths:
+            if path.rsplit("/", 1)[-1] not in kept:
+                _deleted(spark, path)
+            elif _under_way:
+                _under_way[-1].append(path)
 
 
 def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:

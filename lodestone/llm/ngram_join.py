@@ -1,128 +1,268 @@
 """N-gram Jaccard self-join by adaptive multi-match prefixes, and the components of its links.
 
-A text's set holds its distinct 5-word shingles as 64-bit hashes, in ascending order. Two sets of a and b shingles link
-if their Jaccard similarity is at least 0.8; they then share at least o(a) = ceil(0.8 a) shingles, and so for every l
-the first a - o(a) + l shingles of the one and b - o(b) + l of the other have at least l in common.
+A text's set holds its distinct 5-word shingles as 64-bit hashes. Two sets of a and b shingles link if their Jaccard
+similarity is at least 0.8; they then share at least o(a) = ceil(0.8 a) shingles. All sets are put into one order of
+shingles, the frequent ones last. Then for every l the first a - o(a) + l shingles of the one set and b - o(b) + l of
+the other have at least l in common, and more if the sizes are near each other (`required`).
 
 * Equal sets are one class; only one document of a class is joined.
-* With l = 1 the prefixes of all classes are counted. A class is cheap if none of its prefix shingles is in more than
-  CHEAP prefixes. A pair with a cheap member must share a prefix shingle of so short a list; these pairs are listed.
-* A costly class gets a longer prefix, with an l that grows with its size. Two costly classes have to share l shingles
-  of their longer prefixes, so each may leave out the l - 1 most frequent of them: what is left is listed.
-* Long lists remain only where most of a text is frequent, as in large groups of near copies. They aren't paired off.
-  In rounds each list ties its classes to a pivot, pairs that are verified join components, and when the pairs between
-  different components have become few, these are listed too. No link between components is lost that way.
-* A pair is dropped when its shared shingles in the stored prefixes leave no room for enough further ones; what is
-  left is verified on whole sets.
+* The order is estimated from counts over all documents: shingles in FREQUENT documents or more, the most frequent
+  MOST_FREQUENT of them, come last, by count; the others come by hash. Any order gives the same result.
+* With l = 1 the prefixes of all classes are counted. Shingles in one prefix only are of no use.
+* Long lists, as large groups of near copies make them, are tied together by pivots first, which names no pairs within
+  a component. Only candidates of different components are left.
+* A class that has many candidates then gets a longer prefix: l grows with their number, which the longest of its lists
+  estimates. It needn't look up the most frequent of its prefix shingles, as l of them or more must be shared.
+* A candidate pair's shared prefix shingles are counted, and only pairs that share what `required` asks for are
+  verified on whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, discarded, n_spaced, released, spaced_words, written
+from .common import discarded, ready_for_python, scratch, written
 from .components import components
-from .pivots import PERCENT, of_checked_size, sizes_fit, tied
-from .quality_rules import window_hashes
+from .pivots import PERCENT, both, ids_of, labelled, least_shared, linked, mixed_lists, of_checked_size, sizes_fit, tied
 
 WORDS = 5
-#: The longest list that is paired off as it is.
-CHEAP = 16
+#: Shingles in so many documents or more are frequent; at most so many are broadcast, 16 bytes each.
+FREQUENT, MOST_FREQUENT = 16, 1 << 21
+#: Shingles counted together in one task, and sent to it in one piece.
+COUNTED, SENT = 1 << 23, 1 << 21
+#: The longest list that isn't tied together by pivots, and the candidates for which l stays 1.
+SHORT, CHEAP = 16, 16
+#: With CHEAP candidates doubled so many times, a whole set is looked at.
+DOUBLINGS = 6
+#: Fixed odd numbers that tell a shingle's places apart.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(text: Column) -> Column:
+def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a text: of all 5-word windows, or of the whole if it has fewer words."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    none = F.array().cast("array<long>")
-    hashes = lambda s: F.when(F.coalesce(s, F.lit("")) == "", none).when(n_spaced(s) < WORDS, F.array(F.xxhash64(s))).otherwise(window_hashes(s, WORDS))
-    return bound(spaced_words(lowered), lambda s: F.sort_array(F.array_distinct(hashes(s))))
+    words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    span = min(WORDS, len(h))
+    if not span:
+        return h.view(np.int64)
+    x = np.full(len(h) - span + 1, span, np.uint64)
+    for k in range(span):
+        x += h[k : len(h) - span + 1 + k] * FACTORS[k]
+    x ^= x >> np.uint64(29)
+    x *= FACTORS[1]
+    x ^= x >> np.uint64(32)
+    return np.unique(x.view(np.int64))
 
 
 def least_overlap(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100).cast("int")
 
 
-def prefix(n: Column) -> Column:
-    return n - least_overlap(n) + 1
+def required(n: Column, m: Column, l: Column, k: Column) -> Column:  # noqa: E741
+    """How many prefix shingles linking sets of sizes n and m share at least, with l and k matches asked of each.
+
+    Of the set whose prefix ends first in the order, all prefix shingles that the other set has are in the other's
+    prefix too; no more than the rest of it can be shared beyond.
+    """
+    return F.greatest(F.least(l, k), least_shared(n, m) - F.greatest(least_overlap(n) - l, least_overlap(m) - k))
+
+
+def required_within(n: Column, fewest: Column, most: Column, l: Column, k: Column) -> Column:  # noqa: E741
+    """The least of `required` for partners of size `fewest` to `most`, as far as these fit at all."""
+    low, high = F.greatest(fewest, least_overlap(n)), F.least(most, F.floor(n * 100 / PERCENT).cast("int"))
+    return F.least(required(n, low, l, k), required(n, high, l, k))  # it rises up to n and falls from there
+
+
+def _short(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket (the top bits) and the next 32 bits of each shingle."""
+    x = tokens.view(np.uint64)
+    return (x >> np.uint64(64 - bits)).astype(np.int64), ((x >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
 
+class Order:
+    """The order of shingles: a number for each by which sets are sorted."""
 
-def matches(n: Column) -> Column:
-    """l of a costly class: its prefix then is nearly twice as long, within the set."""
-    return F.least(prefix(n), least_overlap(n))
+    def __init__(self, bits: int, keys: np.ndarray):
+        """`keys`: bucket and next 32 bits of the frequent shingles, the most frequent one last."""
+        at = np.argsort(keys, kind="stable")
+        self.bits, self.keys, self.rank = bits, keys[at], at
 
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """-1 for shingles that aren't frequent, for others their place among those."""
+        if not len(self.keys) or not len(tokens):
+            return np.full(len(tokens), -1, np.int64)
+        high, low = _short(tokens, self.bits)
+        key = (high << np.int64(32)) | low.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], -1)
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link; a written table.
+    def put(self, tokens: np.ndarray) -> np.ndarray:
+        """Sorted distinct shingles, in this order."""
+        ranks = self.ranks(tokens)
+        return tokens[np.argsort(ranks, kind="stable")] if (ranks >= 0).any() else tokens
 
-    First by the stored prefixes: of the member whose prefix ends first all shingles up to there are known to be
-    shared or not, and only its others can add to the overlap. Then by whole sets, made anew for what is left.
+
+def order_of(docs: DataFrame) -> Order:
+    """The order of the shingles of (text), counted over all documents.
+
+    Tasks send sorted shingles with their counts in pieces to the buckets that they belong to; a bucket is chosen small
+    enough to be counted in one task. Shingles that agree in their first 32 + bits bits are counted together, which
+    may only put them further back.
     """
-    pairs = written(pairs, "op10-pairs")
-    ids = lambda p: written(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "op10-ids")
-    some = sets.join(of_checked_size(ids(pairs)), "id", "left_semi")
-    one = some.select(F.col("id").alias("a"), F.col("n"), F.col("pre").alias("p"))
-    two = some.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("pre").alias("q"))
-    need = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-    rest = F.when(F.element_at("p", -1) <= F.element_at("q", -1), F.col("n") - F.size("p")).otherwise(F.col("m") - F.size("q"))
-    near = pairs.join(one, "a").join(two, "b").where(sizes_fit()).where(F.size(F.array_intersect("p", "q")) + rest >= need)
-    near = written(near.select("a", "b"), "op10-near")
-    whole = docs.select(F.col("doc_id").alias("id"), "text").join(of_checked_size(ids(near)), "id", "left_semi")
-    whole = written(whole.select("id", shingles(F.col("text")).alias("set")), "op10-whole")
-    linked = near.join(whole.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(whole.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    linked = written(linked.where(shared * (100 + PERCENT) >= (F.size("s") + F.size("t")) * PERCENT).select("a", "b").distinct(), "op10-linked")
-    discarded(whole)
-    return linked
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1, total / 6 / COUNTED)))))
+
+    def pieces(tokens: list[np.ndarray]) -> pd.DataFrame:
+        high, low = _short(np.sort(np.concatenate(tokens).view(np.uint64)).view(np.int64), bits)
+        new = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        counts = np.minimum(np.diff(np.r_[new, len(high)]), 65535).astype(np.uint16)
+        high, low = high[new], low[new]
+        cut = np.searchsorted(high, np.arange((1 << bits) + 1))
+        out = [(b, low[i:j].tobytes(), counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        return pd.DataFrame(out, columns=["bucket", "tokens", "counts"])
+
+    def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            for text in frame["text"]:
+                held.append(shingles(text))
+                n += len(held[-1])
+                if n > SENT:
+                    yield pieces(held)
+                    held, n = [], 0
+        if n:
+            yield pieces(held)
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["tokens"]])
+        counts = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["counts"]])
+        at = np.argsort(tokens, kind="stable")
+        tokens, counts = tokens[at], counts[at].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        df, tokens = np.add.reduceat(counts, new), tokens[new]
+        often = df >= FREQUENT
+        return pd.DataFrame({"key": (np.int64(frame["bucket"].iloc[0]) << np.int64(32)) | tokens[often].astype(np.int64), "df": df[often]})
+
+    buckets = docs.select("text").mapInPandas(sent, "bucket long, tokens binary, counts binary").groupBy("bucket")
+    often = buckets.applyInPandas(counted, "key long, df long").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT)
+    keys = often.toArrow().column("key").to_numpy()
+    return Order(bits, np.array(keys[::-1], np.int64))
+
+
+def prefixes(docs: DataFrame, order: Order) -> DataFrame:
+    """(doc_id, text) to (doc_id, n, f, g, pre): size and digest of the set, and its prefix for l = 1. Written."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = shared.value
+        for frame in frames:
+            out = []
+            for text in frame["text"]:
+                x = shingles(text)
+                n, digest = len(x), np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
+                out.append((n, digest[0], digest[1], order.put(x)[: n - -(-n * PERCENT // 100) + 1]))
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64")} | {c: [r[k] for r in out] for k, c in enumerate(("n", "f", "g", "pre"))})
+
+    return written(docs.mapInPandas(made, "doc_id long, n int, f long, g long, pre array<long>"), "op10-made")
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, order: Order) -> DataFrame:
+    """(id, set) for the ids, in order; written. Of rows that repeat a doc_id the one with the least digest is taken."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = shared.value
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "set": [order.put(shingles(x)) for x in frame["text"]]})
+
+    some = docs.select(F.col("doc_id").alias("id"), "text").join(of_checked_size(ids), "id", "left_semi")
+    return written(some.mapInPandas(made, "id long, set array<long>"), "op10-whole")
+
+
+def classes(docs: DataFrame, order: Order) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): (doc_id, n, id) for every row, where `id` is the smallest doc_id with an equal set, null for
-    an empty set or doc_id; and (id, n, pre) for every class, with the shingles of its longer prefix. Both written."""
-    made = docs.select("doc_id", shingles(F.col("text")).alias("set"))
-    n = F.size("set")
-    longest = F.least(n, prefix(n) + matches(n) - 1)
-    made = made.select("doc_id", n.alias("n"), F.xxhash64("set").alias("f"), F.xxhash64(F.lit(7), "set").alias("g"), F.slice("set", 1, longest).alias("pre"))
-    made = written(made, "op10-made")
+    an empty set or doc_id; and (id, n, pre) for every class, with the shingles of its prefix. Both written."""
+    made = prefixes(docs, order)
     first = written(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f", "g").agg(F.min("doc_id").alias("id")), "op10-first")
-    rows = written(made.select("doc_id", "n", "f", "g").join(first, ["n", "f", "g"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "op10-rows")
-    # a doc_id that rows of other sets repeat names one of the sets only, so that every class has one row
-    of_id = of_checked_size(written(first.groupBy("id").agg(F.min(F.struct("n", "f", "g")).alias("k")).select("id", "k.*"), "op10-of-id"))
-    sets = made.withColumnRenamed("doc_id", "id").join(of_id, ["id", "n", "f", "g"]).dropDuplicates(["id"]) if rows.where("id = doc_id").count() > first.count() else made.withColumnRenamed("doc_id", "id").join(of_id, ["id", "n", "f", "g"])
+    rows = made.select("doc_id", "n", "f", "g").join(of_checked_size(first), ["n", "f", "g"], "left")
+    rows = written(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "op10-rows")
+    sets = made.withColumnRenamed("doc_id", "id").join(of_checked_size(first), ["id", "n", "f", "g"], "left_semi")
     sets = written(sets.select("id", "n", "pre"), "op10-sets")
     discarded(made)
+    discarded(first)
     return rows, sets
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that give the components of all links; `sets` has (id, n, pre), one row a class."""
-    base = sets.select("id", "n", F.explode(F.slice("pre", 1, prefix(F.col("n")))).alias("token"))
-    counts = written(base.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "op10-counts")
-    posts = written(base.join(of_checked_size(counts), "token"), "op10-posts")
-    costly = written(posts.groupBy("id").agg(F.max("df").alias("most")).where(F.col("most") > CHEAP).select("id"), "op10-costly")
-    released(docs.sparkSession)
-
-    # pairs with a cheap member
-    short = posts.where(F.col("df") <= CHEAP).join(of_checked_size(costly.withColumn("costly", F.lit(True))), "id", "left")
-    other = short.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("costly").alias("also"))
-    pairs = short.withColumnRenamed("id", "a").join(other, "token").where((F.col("a") < F.col("b")) & sizes_fit())
-    pairs = pairs.where(F.col("costly").isNull() | F.col("also").isNull()).select("a", "b").distinct()
-    found = _verified(pairs, sets, docs)
-    if costly.isEmpty():
-        return found
-
-    # lists of costly members; a partner's l may be less: that of the smallest size that fits
-    longer = sets.join(of_checked_size(costly), "id", "left_semi").select("id", "n", F.explode("pre").alias("token"))
-    often = written(longer.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "op10-often")
-    n = F.col("n")
-    total = F.least(n, prefix(n) + matches(n) - 1)
-    least = F.least(matches(n), matches(F.ceil(n * PERCENT / 100).cast("int")))
-    one = Window.partitionBy("id")
-    # shingles of one class only come first in the order by frequency, and needn't be looked at
-    seldom = total - F.count("*").over(one)
-    kept = longer.join(of_checked_size(often), "token").withColumn("at", F.row_number().over(one.orderBy("df", "token")) + seldom)
-    kept = written(kept.where(F.col("at") <= total - least + 1).select("token", "id", "n"), "op10-kept")
-    return tied(kept, found, lambda pairs: _verified(pairs, sets, docs), costly.count())
+def links(docs: DataFrame, sets: DataFrame, order: Order) -> DataFrame:
+    """Links (a, b) between classes that give the components of all links.
+
+    `sets` has (id, n, pre), one row a class, and each id stands for one text of `docs`.
+    """
+    posts = sets.select("id", "n", F.explode("pre").alias("token"))
+    counts = written(posts.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "op10-counts")
+    posts = written(posts.join(of_checked_size(counts), "token"), "op10-posts")
+    discarded(counts)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        whole = whole_sets(docs, written(ids_of(pairs), "op10-ids"), order)
+        out = written(linked(pairs, whole), "op10-linked")
+        discarded(whole)
+        return out
+
+    # a class can't link in a list whose sizes all ask for more shared shingles than its prefix shares with any other
+    kept = written(posts.groupBy("id").agg(F.count("*").cast("int").alias("kept")), "op10-kept")
+    sizes = written(posts.groupBy("token").agg(F.min("n").alias("fewest"), F.max("n").alias("most")), "op10-sizes")
+    n, one = F.col("n"), F.lit(1)
+    hope = F.col("kept") >= required_within(n, F.col("fewest"), F.col("most"), one, one)
+    posts = written(posts.join(of_checked_size(kept), "id").join(of_checked_size(sizes), "token").where(hope).select("token", "id", "n", "df"), "op10-hopeful")
+    found, _ = tied(posts.where(F.col("df") > SHORT).select("token", "id", "n"), verified)
+
+    # candidates of different components, with l by their cost
+    left = written(mixed_lists(labelled(posts, found)).select("token", "id", "n", "label"), "op10-left")
+    lists = written(left.groupBy("token").agg(F.count("*").alias("df")), "op10-lists")
+    cost = left.join(of_checked_size(lists), "token").groupBy("id", "n", "label").agg(F.max("df").alias("cost"))
+    part = F.least((1 + F.floor(F.log2(F.col("cost") / CHEAP))) / DOUBLINGS, F.lit(1.0))
+    l = F.when(F.col("cost") > CHEAP, F.ceil(least_overlap(n) * part)).otherwise(1)  # noqa: E741
+    cost = written(cost.select("id", "n", "label", l.cast("int").alias("l")), "op10-cost")
+    rows = left.join(of_checked_size(cost.select("id", "l")), "id").select("token", "id", "n", "label", "l")
+    costly = written(cost.where("l > 1"), "op10-costly")
+    if not costly.isEmpty():
+        longer = whole_sets(docs, costly.select("id"), order).join(of_checked_size(costly), "id")
+        longer = longer.select(F.explode(F.slice("set", 1, n - least_overlap(n) + F.col("l"))).alias("token"), "id", "n", "label", "l")
+        rows = rows.where("l = 1").unionByName(longer)
+    rows = written(rows, "op10-longer")
+    lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("l").alias("least"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
+    lists = written(lists.where("x <> y").drop("x", "y"), "op10-lists")
+    # a class shares with a partner as many shingles as `required` asks for; of its most frequent ones it may leave out
+    # all but one of these, as the last that the two share is then left in both
+    mine = Window.partitionBy("id")
+    least = F.least("l", "least")
+    rows = rows.join(of_checked_size(lists), "token").withColumns({"asked": required_within(n, F.col("fewest"), F.col("most"), least, least), "kept": F.count("*").over(mine)})
+    rows = rows.where("kept >= asked").withColumns({"at": F.row_number().over(mine.orderBy(F.desc("df"), "token")), "kept": F.count("*").over(mine)})
+    rows = written(rows.select("token", "id", "n", "label", "l", "at", "asked", "kept"), "op10-prefixes")
+    asked = required(n, F.col("m"), F.least("l", "k"), F.least("l", "k"))
+    looked = rows.where(F.col("at") >= F.col("asked")).select("token", "id", "n", "label", "l", "kept")
+    pairs = looked.withColumnRenamed("id", "a").join(looked.toDF("token", "b", "m", "its", "k", "has"), "token")
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("its")) & sizes_fit() & (F.least("kept", "has") >= asked))
+    pairs = written(pairs.groupBy("a", "b").agg(F.first(asked).alias("asked")), "op10-pairs")
+    stored = written(rows.groupBy("id").agg(F.collect_list("token").alias("set")), "op10-stored")  # no more than a prefix
+    near = both(pairs, stored).where(F.size(F.array_intersect("s", "t")) >= F.col("asked"))
+    new = verified(written(near.select("a", "b"), "op10-near"))
+    return new if found is None else found.unionByName(new)
+
+
+def _rows_and_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, id) for every row and (id, least) for every class that links; doc_ids that aren't null differ."""
+    order = order_of(docs)
+    rows, sets = classes(docs, order)
+    found = links(docs, sets, order)
+    return rows, written(components(found).toDF("id", "least"), "op10-labels")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -134,11 +274,22 @@ def joined(docs: DataFrame) -> DataFrame:
     any of them counts for all. Texts are read whole. Further columns don't take part; an empty frame gives an empty
     frame.
     """
+    spark = docs.sparkSession
+    ready_for_python(spark)
     docs = docs.select("doc_id", "text")
-    rows, sets = classes(docs)
-    same = rows.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    labels = components(links(docs, sets).unionByName(same)).withColumnRenamed("node", "id").withColumnRenamed("label", "least")
-    return rows.join(labels, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id", "doc_id").alias("component_id"))
+    with scratch(spark) as keep:
+        if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+            rows, labels = map(keep, _rows_and_labels(docs))
+        else:  # rows are joined first, then the documents that rows name
+            keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "op10-keyed")
+            rows, labels = _rows_and_labels(keyed.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"))
+            nodes = rows.where("doc_id IS NOT NULL").join(labels, "id", "left").select(F.col("doc_id").alias("row"), "n", F.coalesce("least", "id", "doc_id").alias("class"))
+            nodes = written(nodes.join(keyed.select("row", "doc_id"), "row"), "op10-nodes")
+            first = nodes.groupBy("class").agg(F.min("doc_id").alias("first"))
+            labels = keep(written(components(nodes.join(first, "class").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))).toDF("id", "least"), "op10-labels"))
+            rows = keep(written(nodes.select("doc_id", "n", F.col("doc_id").alias("id")).unionByName(rows.where("doc_id IS NULL")), "op10-rows"))
+    labelled = rows.join(of_checked_size(labels), "id", "left")
+    return labelled.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id", "doc_id").alias("component_id"))
 
 
 SQL = """

@@ -1,9 +1,9 @@
-"""Links from lists of candidates without pairing off the lists.
+"""Links from lists of candidates without naming the pairs within a component.
 
-Two nodes are candidates if they stand in a list together. A list of near copies is long and most of its pairs tell
-nothing new about components, so its nodes are tied to a pivot of about their size first, in a few rounds with other
-pivots. Pairs between different components are what remains; once they are few they are all listed and verified, so
-that no candidate pair that could join two components is left out.
+Two nodes are candidates if they stand in a list together. A list of near copies is long, and most of its pairs tell
+nothing new about components. So in rounds each list names one pivot, the member that shares most with others, and the
+members of other components are verified against it: a round makes no more pairs than the lists have rows. What then
+still stands in a list with another component is left for the caller, who names those pairs and verifies them all.
 """
 
 from __future__ import annotations
@@ -13,24 +13,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import discarded, written
 from .components import components
 
 PERCENT = 80
-#: Lists of at most so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 1_500_000
-#: Pivot rounds end when no more pairs between components are left than this times the number of nodes, or when a round
-#: has left more than LITTLE of those before it: the lists then hold nodes that don't link.
+#: What may be broadcast: a table of numbers whose counted rows take so many bytes at most in memory.
+BROADCAST_BYTES = 96 << 20
+#: What a row of numbers takes in a broadcast table besides 8 bytes a column.
+ROW_BYTES = 40
+#: Rounds end when no more pairs between components are left than this times the number of nodes, or when a round has
+#: left more than LITTLE of those before it: the lists then hold nodes that don't link.
 PAIRS_A_NODE = 4
 LITTLE = 0.8
-MOST_ROUNDS = 4
-#: Pivots that a node is tied to in a round: those it shares most lists with.
-TIES = 3
+MOST_ROUNDS = 3
+#: Pivots that a node is verified against in a round: those it shares most lists with.
+TIES = 2
 
 
-def of_checked_size(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, to be broadcast if it has few rows; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def of_checked_size(df: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if it is small; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * (8 * len(df.columns) + ROW_BYTES) <= BROADCAST_BYTES else df
 
 
 def sizes_fit(n: str = "n", m: str = "m") -> Column:
@@ -38,37 +40,72 @@ def sizes_fit(n: str = "n", m: str = "m") -> Column:
     return (F.col(n) * 100 >= F.col(m) * PERCENT) & (F.col(m) * 100 >= F.col(n) * PERCENT)
 
 
-def tied(listed: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], nodes: int, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Links (a, b), `found` included, that give the components of all candidates that link.
+def least_shared(n: Column, m: Column) -> Column:
+    """How many members sets of these sizes share at least if they link."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT)).cast("int")
+
+
+def both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sets s and t."""
+    one = sets.select(F.col("id").alias("a"), F.col("set").alias("s"))
+    return pairs.join(one, "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose `sets` (id, set) link."""
+    shared = F.size(F.array_intersect("s", "t"))
+    return both(pairs, sets).where(shared * (100 + PERCENT) >= (F.size("s") + F.size("t")) * PERCENT).select("a", "b")
+
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b), once each."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows with an id, with the label of its component: itself where no link has it."""
+    if found is None or found.isEmpty():
+        return rows.withColumn("label", F.col("id"))
+    labels = written(components(found).withColumnRenamed("node", "id"), "labels")
+    return rows.join(of_checked_size(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def mixed_lists(rows: DataFrame) -> DataFrame:
+    """Those rows (token, id, label, ...) whose list holds more than one component; with the list's largest, `main`."""
+    sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
+    lists = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"))
+    lists = written(lists.where("labels > 1").select("token", "main", "k", "most"), "lists")
+    return rows.join(of_checked_size(lists), "token")
+
+
+def tied(listed: DataFrame, verified: Callable[[DataFrame], DataFrame], rounds: int = MOST_ROUNDS) -> tuple[DataFrame | None, DataFrame]:
+    """(links, left): links (a, b) found by pivots, None for none; and the rows of `listed` that are left, with labels.
 
     `listed` has (token, id, n): node `id` of set size `n` stands in list `token`; it is a written table. `verified`
-    takes candidate pairs (a, b), a < b, and returns those that link.
+    takes candidate pairs (a, b), a < b, once each, and returns those that link as a written table. What is left are
+    the rows (token, id, n, label, main) of lists with more than one component; written.
     """
-    before = None
+    found, before, nodes = None, None, listed.select("id").distinct().count()
+    weight = listed.join(listed.groupBy("token").agg(F.count("*").alias("of")), "token").groupBy("id").agg(F.sum("of").alias("weight"))
+    weight = written(weight, "weights")
+    rows = written(listed.join(of_checked_size(weight), "id"), "weighted")
     for at in range(rounds + 1):
-        released(listed.sparkSession)
-        labels = None if found.isEmpty() else components(found).withColumnRenamed("node", "id")
-        rows = listed.withColumn("label", F.col("id")) if labels is None else listed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        sizes = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
-        lists = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most")).where("labels > 1")
-        lists = written(lists, "lists")
-        left = lists.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
-        rows = written(rows.join(of_checked_size(lists.select("token", "main")), "token"), "listed")
-        if left <= PAIRS_A_NODE * nodes or at == rounds or (before is not None and left > LITTLE * before):
+        left = written(mixed_lists(labelled(rows, found)), "left")
+        pairs = left.groupBy("token").agg(F.first("k").alias("k"), F.first("most").alias("most")).agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
+        if pairs <= PAIRS_A_NODE * nodes or at == rounds or (before is not None and pairs > LITTLE * before):
             break
-        before = left
-        about = F.floor(F.log(F.col("n").cast("double")) / 0.1)
-        order = F.struct(F.xxhash64("label", F.lit(at)), "id") if at else F.struct("id", "id")
-        pivots = rows.groupBy("token", about.alias("about")).agg(F.min_by("id", order).alias("pivot"), F.count("*").alias("of")).where("of > 1").drop("of")
-        ties = rows.withColumn("about", about).join(pivots, ["token", "about"]).where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
+        before = pairs
+        # a pivot for each size that may link with it; another one in each round
+        about = F.floor(F.log(F.col("n").cast("double")) / 0.2 + 0.5 * (at % 2))
+        first = F.struct("weight", F.xxhash64("id", F.lit(at))) if at < 2 else F.struct(F.xxhash64("id", F.lit(at)))
+        ranked = left.withColumn("about", about)
+        pivots = ranked.groupBy("token", "about").agg(F.max_by(F.struct("id", "label"), first).alias("p"), F.count("*").alias("of")).where("of > 1")
+        pivots = pivots.select("token", "about", F.col("p.id").alias("pivot"), F.col("p.label").alias("its"))
+        ties = ranked.join(pivots, ["token", "about"]).where("label <> its").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
         best = Window.partitionBy("id").orderBy(F.desc("shared"), "pivot")
         ties = ties.withColumn("at", F.row_number().over(best)).where(F.col("at") <= TIES)
-        pairs = ties.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = written(found.unionByName(verified(pairs)).distinct(), "found")
-
-    # every list's smaller labels against all others; the largest label isn't paired with itself
-    other = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("its"))
-    minor = rows.where("label <> main").withColumnRenamed("id", "a")
-    pairs = minor.join(other, "token").where((F.col("label") != F.col("its")) & sizes_fit() & ((F.col("its") == F.col("main")) | (F.col("a") < F.col("b"))))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return written(found.unionByName(verified(pairs)).distinct(), "found")
+        ties = written(ties.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "ties")
+        new = verified(ties)
+        found = new if found is None else written(found.unionByName(new), "found")
+        discarded(left)
+    return found, left.select("token", "id", "n", "label", "main")
