@@ -35,7 +35,7 @@ WORDS = 5
 #: Shingles in so many documents or more are frequent; at most so many are broadcast, 16 bytes each.
 FREQUENT, MOST_FREQUENT = 16, 1 << 21
 #: Shingles counted together in one task, and sent to it in one piece.
-COUNTED, SENT = 1 << 23, 1 << 21
+COUNTED, SENT = 1 << 22, 1 << 21
 #: The longest list that isn't tied together by pivots, and the candidates for which l stays 1.
 SHORT, CHEAP = 16, 16
 #: With CHEAP candidates doubled so many times, a whole set is looked at.
