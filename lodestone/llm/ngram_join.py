@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discarded, ready_for_python, scratch, written
 from .components import components
-from .pivots import PERCENT, both, ids_of, labelled, least_shared, linked, mixed_lists, of_checked_size, sizes_fit, tied
+from .pivots import PERCENT, ids_of, labelled, least_overlap, linked, mixed_lists, of_checked_size, remaining, required_within, tied
 
 WORDS = 5
 #: Shingles in so many documents or more are frequent; at most so many are broadcast, 16 bytes each.
@@ -60,25 +60,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-def least_overlap(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100).cast("int")
-
-
-def required(n: Column, m: Column, l: Column, k: Column) -> Column:  # noqa: E741
-    """How many prefix shingles linking sets of sizes n and m share at least, with l and k matches asked of each.
-
-    Of the set whose prefix ends first in the order, all prefix shingles that the other set has are in the other's
-    prefix too; no more than the rest of it can be shared beyond.
-    """
-    return F.greatest(F.least(l, k), least_shared(n, m) - F.greatest(least_overlap(n) - l, least_overlap(m) - k))
-
-
-def required_within(n: Column, fewest: Column, most: Column, l: Column, k: Column) -> Column:  # noqa: E741
-    """The least of `required` for partners of size `fewest` to `most`, as far as these fit at all."""
-    low, high = F.greatest(fewest, least_overlap(n)), F.least(most, F.floor(n * 100 / PERCENT).cast("int"))
-    return F.least(required(n, low, l, k), required(n, high, l, k))  # it rises up to n and falls from there
-
-
 def _short(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket (the top bits) and the next 32 bits of each shingle."""
     x = tokens.view(np.uint64)
@@ -237,24 +218,7 @@ def links(docs: DataFrame, sets: DataFrame, order: Order) -> DataFrame:
         longer = longer.select(F.explode(F.slice("set", 1, n - least_overlap(n) + F.col("l"))).alias("token"), "id", "n", "label", "l")
         rows = rows.where("l = 1").unionByName(longer)
     rows = written(rows, "op10-longer")
-    lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("l").alias("least"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
-    lists = written(lists.where("x <> y").drop("x", "y"), "op10-lists")
-    # a class shares with a partner as many shingles as `required` asks for; of its most frequent ones it may leave out
-    # all but one of these, as the last that the two share is then left in both
-    mine = Window.partitionBy("id")
-    least = F.least("l", "least")
-    rows = rows.join(of_checked_size(lists), "token").withColumns({"asked": required_within(n, F.col("fewest"), F.col("most"), least, least), "kept": F.count("*").over(mine)})
-    rows = rows.where("kept >= asked").withColumns({"at": F.row_number().over(mine.orderBy(F.desc("df"), "token")), "kept": F.count("*").over(mine)})
-    rows = written(rows.select("token", "id", "n", "label", "l", "at", "asked", "kept"), "op10-prefixes")
-    asked = required(n, F.col("m"), F.least("l", "k"), F.least("l", "k"))
-    looked = rows.where(F.col("at") >= F.col("asked")).select("token", "id", "n", "label", "l", "kept")
-    pairs = looked.withColumnRenamed("id", "a").join(looked.toDF("token", "b", "m", "its", "k", "has"), "token")
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("its")) & sizes_fit() & (F.least("kept", "has") >= asked))
-    pairs = written(pairs.groupBy("a", "b").agg(F.first(asked).alias("asked")), "op10-pairs")
-    stored = written(rows.groupBy("id").agg(F.collect_list("token").alias("set")), "op10-stored")  # no more than a prefix
-    near = both(pairs, stored).where(F.size(F.array_intersect("s", "t")) >= F.col("asked"))
-    new = verified(written(near.select("a", "b"), "op10-near"))
-    return new if found is None else found.unionByName(new)
+    return remaining(rows, verified, found)
 
 
 def _rows_and_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

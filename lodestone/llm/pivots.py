@@ -2,8 +2,8 @@
 
 Two nodes are candidates if they stand in a list together. A list of near copies is long, and most of its pairs tell
 nothing new about components. So in rounds each list names one pivot, the member that shares most with others, and the
-members of other components are verified against it: a round makes no more pairs than the lists have rows. What then
-still stands in a list with another component is left for the caller, who names those pairs and verifies them all.
+members of other components are verified against it: a round makes no more pairs than the lists have rows (`tied`).
+What then still stands in a list with another component is paired by its rarest members (`remaining`).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ ROW_BYTES = 40
 #: left more than LITTLE of those before it: the lists then hold nodes that don't link.
 PAIRS_A_NODE = 4
 LITTLE = 0.8
-MOST_ROUNDS = 3
+MOST_ROUNDS = 2
 #: Pivots that a node is verified against in a round: those it shares most lists with.
 TIES = 2
 
@@ -45,6 +45,25 @@ def least_shared(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * PERCENT / (100 + PERCENT)).cast("int")
 
 
+def least_overlap(n: Column) -> Column:
+    return F.ceil(n * PERCENT / 100).cast("int")
+
+
+def required(n: Column, m: Column, l: Column, k: Column) -> Column:  # noqa: E741
+    """How many prefix shingles linking sets of sizes n and m share at least, with l and k matches asked of each.
+
+    Of the set whose prefix ends first in the order, all prefix shingles that the other set has are in the other's
+    prefix too; no more than the rest of it can be shared beyond.
+    """
+    return F.greatest(F.least(l, k), least_shared(n, m) - F.greatest(least_overlap(n) - l, least_overlap(m) - k))
+
+
+def required_within(n: Column, fewest: Column, most: Column, l: Column, k: Column) -> Column:  # noqa: E741
+    """The least of `required` for partners of size `fewest` to `most`, as far as these fit at all."""
+    low, high = F.greatest(fewest, least_overlap(n)), F.least(most, F.floor(n * 100 / PERCENT).cast("int"))
+    return F.least(required(n, low, l, k), required(n, high, l, k))  # it rises up to n and falls from there
+
+
 def both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with their sets s and t."""
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("s"))
@@ -79,7 +98,7 @@ def mixed_lists(rows: DataFrame) -> DataFrame:
 
 
 def tied(listed: DataFrame, verified: Callable[[DataFrame], DataFrame], rounds: int = MOST_ROUNDS) -> tuple[DataFrame | None, DataFrame]:
-    """(links, left): links (a, b) found by pivots, None for none; and the rows of `listed` that are left, with labels.
+    """(links, left): links (a, b) by pivots, None for none; and the rows of `listed` that are left, with labels.
 
     `listed` has (token, id, n): node `id` of set size `n` stands in list `token`; it is a written table. `verified`
     takes candidate pairs (a, b), a < b, once each, and returns those that link as a written table. What is left are
@@ -109,3 +128,35 @@ def tied(listed: DataFrame, verified: Callable[[DataFrame], DataFrame], rounds:
         found = new if found is None else written(found.unionByName(new), "found")
         discarded(left)
     return found, left.select("token", "id", "n", "label", "main")
+
+
+def remaining(rows: DataFrame, verified: Callable[[DataFrame], DataFrame], found: DataFrame | None) -> DataFrame:
+    """Links (a, b): `found` and those between its components.
+
+    `rows` is a written table (token, id, n, label, l): the first n - least_overlap(n) + l members of each node's set in
+    one order; for l = 1 only those of them that the prefix for l = 1 of a node of another component has too. All pairs
+    that may link are verified, and none whose common members here are too few.
+    """
+    n, m, one = F.col("n"), F.col("m"), F.lit(1)
+    rows = rows.select("token", "id", "n", "label", (least_overlap(n) - F.col("l")).alias("rest"), (F.col("l") == 1).alias("plain"))
+    lists = rows.groupBy("token").agg(F.count("*").alias("df"), F.max("rest").alias("others"), F.max("plain").alias("any_plain"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
+    lists = written(lists.where("x <> y").drop("x", "y"), "lists")
+    # a node shares with a partner as many members as `required` asks for; the last of these, the rarest, has as many
+    # before it in both, so that only from there on members are looked up, and pairs are made of none before
+    mine = Window.partitionBy("id")
+    asked = F.when(F.col("any_plain"), required_within(n, F.col("fewest"), F.col("most"), one, one))
+    asked = asked.otherwise(F.greatest(one, least_shared(n, F.greatest("fewest", least_overlap(n))) - F.greatest("rest", "others")))
+    rows = rows.join(of_checked_size(lists), "token").withColumns({"asked": asked, "kept": F.count("*").over(mine)}).where("kept >= asked")
+    rows = rows.withColumn("at", F.row_number().over(mine.orderBy(F.desc("df"), "token")))
+    rows = written(rows.select("token", "id", "n", "label", "rest", "plain", "at", "asked"), "prefixes")
+    rest = F.when(F.col("plain") | F.col("its_plain"), F.greatest(least_overlap(n), least_overlap(m)) - 1).otherwise(F.greatest("rest", "its_rest"))
+    asked = F.greatest(one, least_shared(n, m) - rest)
+    looked = rows.where(F.col("at") >= F.col("asked")).select("token", "id", "n", "label", "rest", "plain", "at")
+    pairs = looked.withColumnRenamed("id", "a").join(looked.toDF("token", "b", "m", "its", "its_rest", "its_plain", "its_at"), "token")
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("its")) & sizes_fit() & (F.least("at", "its_at") >= asked))
+    pairs = written(pairs.groupBy("a", "b").agg(F.first(asked).alias("asked")), "pairs")
+    stored = rows.join(of_checked_size(written(ids_of(pairs), "ids")), "id", "left_semi")
+    stored = written(stored.groupBy("id").agg(F.collect_list("token").alias("set")), "stored")  # no more than the set
+    near = written(both(pairs, stored).where(F.size(F.array_intersect("s", "t")) >= F.col("asked")).select("a", "b"), "near")
+    new = verified(near)
+    return new if found is None else written(found.unionByName(new), "found")
