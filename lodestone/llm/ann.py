@@ -103,11 +103,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, probes: float = PROBE
     vectors in double precision, ties to the smaller vec_id; a vector whose vec_id is the query's own is no candidate.
     `probes` is the share of lists visited, more than k vectors' worth at least. Vectors and queries that are null or
     zero, or hold null or non-finite components, take no part; neither do vectors of another length than most of the
-    sample. Rows that repeat a vec_id are candidates of their own. Without vectors or queries the result is empty.
+    sample. Rows that repeat a vec_id are candidates of their own; queries
+    that repeat a query_id are answered once for each vector that they have. Without vectors or queries the result is empty.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    vectors, asked = usable(df), usable(queries.withColumnRenamed("query_id", "vec_id"))
+    vectors, asked = usable(df), usable(queries.withColumnRenamed("query_id", "vec_id")).dropDuplicates(["vec_id", "embedding"])
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     if not len(sample):
         return spark.createDataFrame([], schema)
@@ -142,7 +143,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, probes: float = PROBE
     indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     visited = asked.mapInPandas(listed(visits), "vec_id long, embedding array<double>, list int").join(F.broadcast(blocks), "list")
     visited = visited.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    visited = visited.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(copies)).cast("int")).withColumnRenamed("vec_id", "query_id")
+    visited = visited.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(copies)).cast("int")).withColumnRenamed("vec_id", "query_id").withColumn("query", F.xxhash64("embedding"))
 
     def scanned(found: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -156,10 +157,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, probes: float = PROBE
             for j, (query_id, one, turned_one) in enumerate(zip(queries["query_id"], q, q @ turn, strict=True)):
                 order = np.concatenate([np.argsort(first[j], kind="stable"), rest])
                 i, d = scan(one, turned, originals, turned_one, ids == query_id, k, order)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[i], "score": d}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                out.append(pd.DataFrame({"query_id": query_id, "query": queries["query"].iloc[j], "vec_id": ids[i], "score": d}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     key = ["list", "block", "part"]
-    near = indexed.groupBy(*key).cogroup(visited.groupBy(*key)).applyInPandas(scanned, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = indexed.groupBy(*key).cogroup(visited.groupBy(*key)).applyInPandas(scanned, "query_id long, query long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

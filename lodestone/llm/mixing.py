@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+from .pivots import of_checked_size
+
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SEED = "mix-1"
@@ -101,7 +104,14 @@ def systematic_copies(
 
 
 def mixed(df: DataFrame, **how) -> DataFrame:
-    """The rows of the mix: each row of `df` as often as it has copies, with the columns it had."""
-    drawn = systematic_copies(df, **how).where(F.col("copies") > 0)
-    again = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*df.columns)
+    """The rows of the mix: each row of `df` as often as it has copies, with the columns it had.
+
+    Where doc_ids differ, only these, sources and sizes go through the windows, and rows find their copies by doc_id.
+    """
+    keys = written(df.select("doc_id", "source", "size"), "mix-sizes")
+    if keys.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        copies = systematic_copies(keys, **how).where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+        drawn = df.join(of_checked_size(written(copies, "mix-copies")), F.col("doc_id") == F.col("__id"))
+    else:
+        drawn = systematic_copies(df, **how).where(F.col("copies") > 0).withColumn("__copies", F.col("copies"))
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*df.columns)

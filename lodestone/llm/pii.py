@@ -4,9 +4,11 @@ What is found and valid is replaced by a keyed permutation within its own format
 in every document and different ones stay different:
 
 * digits and ASCII letters go through a Feistel network over their characters: the halves of the string shift each
-  other's characters by keyed SHA-256 numbers, each within its own class (digit, small, capital, or hexadecimal);
+  other's characters by keyed SHA-256 numbers, each within its own class (digit, small or capital letter);
 * card numbers keep separators and a right Luhn digit, addresses stay addresses (a Feistel network over two 16-bit
-  halves), dates stay dates of the calendar (one over 189 x 773, the 146,097 days of 1900 to 2299).
+  halves), dates stay dates of the calendar (one over 189 x 773, the 146,097 days of 1700 to 2099). A date with slashes
+  is read day first; one that is no date so but is month first stays so, as the permutation is walked on to a day over
+  the 12th.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from .common import bound
 
 ROUNDS = 8
 DAYS = (189, 773)
-FIRST_DAY = "1900-01-01"
+FIRST_DAY = "1700-01-01"
 #: Fixed patterns, by kind, in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -30,7 +32,8 @@ KINDS = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api_key)) ?[=:] ?\"?[A-Za-z0-9_+/-]{8,}+\"?",
 }
-HEX = "0123456789abcdef"
+#: Steps after which a day is sure to have come to the 13th of a month or later: each does for three in five.
+WALK = 64
 
 
 def _number(*parts: Column) -> Column:
@@ -38,12 +41,11 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
 
 
-def _shifted(c: Column, by: Column, is_hex: Column) -> Column:
+def _shifted(c: Column, by: Column) -> Column:
     code = F.ascii(c)
     within = lambda first, size: F.char((code - first + by) % size + first)
     return (
-        F.when(is_hex, F.substr(F.lit(HEX), ((F.instr(F.lit(HEX), c) - 1 + by) % 16 + 1).cast("int"), F.lit(1)))
-        .when(c.between("0", "9"), within(48, 10))
+        F.when(c.between("0", "9"), within(48, 10))
         .when(c.between("a", "z") & (F.octet_length(c) == 1), within(97, 26))
         .when(c.between("A", "Z") & (F.octet_length(c) == 1), within(65, 26))
         .otherwise(c)
@@ -54,12 +56,11 @@ def permuted(value: Column, key: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the strings that have the same characters' classes at the same places."""
 
     def network(s: Column) -> Column:
-        is_hex = F.coalesce(s.rlike("^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{8,}$"), F.lit(False))
         half = F.ceil(F.length(s) / 2).cast("int")
         state = F.struct(F.substr(s, F.lit(1), half).alias("x"), F.substr(s, half + 1, F.length(s)).alias("y"))
 
         def turn(at: Column, r: Column) -> Column:
-            new = F.transform(F.split(at["x"], ""), lambda c, i: _shifted(c, _number(F.lit(key), r.cast("string"), i.cast("string"), at["y"]), is_hex))
+            new = F.transform(F.split(at["x"], ""), lambda c, i: _shifted(c, _number(F.lit(key), r.cast("string"), i.cast("string"), at["y"])))
             return F.struct(at["y"].alias("x"), F.array_join(new, "").alias("y"))
 
         rounds_ = F.array(*[F.lit(r) for r in range(rounds - rounds % 2)])  # an even number puts the halves back in order
@@ -130,14 +131,15 @@ def _ip(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     iso, slash = m.contains("-"), m.contains("/")
-    day = F.coalesce(
-        F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).when(slash, F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))).otherwise(F.try_to_timestamp(m, F.lit("dd.MM.yyyy"))),
-        F.when(slash, F.try_to_timestamp(m, F.lit("MM/dd/yyyy"))),
-    ).cast("date")
-    american = slash & F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNull()
-    at = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    two = _two(F.floor(at / DAYS[1]), at % DAYS[1], DAYS, key)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (two["a"] * DAYS[1] + two["b"]).cast("int"))
+    day_first = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).when(slash, F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))).otherwise(F.try_to_timestamp(m, F.lit("dd.MM.yyyy")))
+    day = F.coalesce(day_first, F.when(slash, F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))).cast("date")
+    american = slash & day_first.isNull()
+    first = F.lit(FIRST_DAY).cast("date")
+    at = F.datediff(day, first).cast("long")
+    moved = lambda at: bound(_two(F.floor(at / DAYS[1]), at % DAYS[1], DAYS, key), lambda p: p["a"] * DAYS[1] + p["b"])
+    late = lambda at: F.dayofmonth(F.date_add(first, at.cast("int"))) > 12
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(at), lambda s, _: F.when(late(s), s).otherwise(moved(s)))
+    new = F.date_add(first, F.when(american, walked).otherwise(moved(at)).cast("int"))
     shown = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(american, F.date_format(d, "MM/dd/yyyy")).when(slash, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
     return F.when(day.isNotNull() & (at >= 0) & (at < DAYS[0] * DAYS[1]), bound(new, shown)).otherwise(m)
 

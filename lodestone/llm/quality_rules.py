@@ -17,6 +17,7 @@ from .common import WORD, bound, n_spaced, spaced_words
 
 #: Rows of the sample from which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
+SAMPLE_SHARE = 0.1
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -93,12 +94,17 @@ def further_rules(words: Column, chars: Column, symbols: Column, dup_lines: Colu
 
 
 def ordered(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost on a sample, the highest first; on an empty frame, as they stand."""
-    sample = df.limit(sample_rows).cache()
+    """The rules by rejection per cost on a sample, the highest first; where that is empty, as they stand.
+
+    The sample is every tenth row or so of the first partitions, as many of these as hold `sample_rows`; no others are
+    read. Rules may read column text and the words of `spaced_words` in column __spaced.
+    """
+    rows = df.select("text").sample(SAMPLE_SHARE, seed=7).limit(sample_rows).collect()
+    if not rows:
+        return rules
+    sample = df.sparkSession.createDataFrame(rows, "text string").withColumn("__spaced", spaced_words(F.col("text"))).cache()
     try:
         n = sample.count()
-        if not n:
-            return rules
 
         def timed(what: Column) -> tuple[float, int]:
             begun = time.perf_counter()

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -39,8 +40,9 @@ def test_join_equals_brute_force(docs, rows):
 
 def test_join_of_nothing_and_of_repeated_ids(spark, empty):
     assert ngram_join.joined(empty).count() == 0
-    twice = spark.createDataFrame([(5, "a b c d e f"), (5, "x y z u v w"), (3, "x y z u v w"), (2, "A b c d e f")], "doc_id long, text string")
-    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.joined(twice).collect()} == {(5, 2), (3, 2), (2, 2)}
+    twice = spark.createDataFrame([(5, "a b c d e f"), (5, "x y z u v w"), (3, "x y z u v w"), (2, "A b c d e f"), (None, "A b c d e f")], "doc_id long, text string")
+    out = ngram_join.joined(twice).collect()
+    assert len(out) == 5 and {(r["doc_id"], r["component_id"]) for r in out} == {(5, 2), (3, 2), (2, 2), (None, None)} and {r["n_shingles"] for r in out} == {2}
 
 
 def test_components(spark):
@@ -51,8 +53,41 @@ def test_components(spark):
 
 
 def runs(line):
-    low = line.lower()
-    return {low[k : k + 8] for k in range(max(1, len(low) - 7))}
+    low, at, out = line.lower(), 0, set()
+    while at < len(low):
+        end = at + 1
+        if low[at] != " ":
+            out.add(low[at : at + 8])
+            while low[at] < "\u2e80" and end < min(len(low), at + 8) and low[end] != " " and low[end] < "\u2e80":
+                end += 1
+        at = end
+    return out
+
+
+def test_sets_of_lines(spark):
+    lines = ["Word and another", "a", "an_unbroken_word_of_many_letters x", "日本語のテキスト です 🎉a", "a\tb\u2028c d", "mixed日本 words日"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    hashes = lambda x: {r[0] for r in spark.createDataFrame([(y,) for y in x], "x string").selectExpr("xxhash64(x)").collect()}
+    got = df.select(line_dedup.shingle_set(df["line"]).alias("s")).collect()
+    assert [set(r["s"]) for r in got] == [hashes(runs(x)) for x in lines]
+
+
+def test_most_links_of_lines_are_found(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    lines = []
+    for _ in range(120):
+        base = rng.choices(words, k=rng.choice([6, 12, 25, 60, 200]))
+        for _ in range(5):
+            new = [rng.choice(words) if rng.random() < 0.02 else w for w in base]
+            lines.append(" ".join(new))
+    lines = list(dict.fromkeys(lines))
+    sets = [runs(x) for x in lines]
+    links = [(a, b) for a, b in combinations(range(len(lines)), 2) if 180 * len(sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]))]
+    gone = {(r["doc_id"], r["pos"]) for r in line_dedup.dropped(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    label = closed(range(len(lines)), links)
+    want = {(k, 0) for k in label if label[k] != k}
+    assert len(links) > 300 and gone <= want and len(gone) >= 0.97 * len(want)
 
 
 def test_lines_equal_brute_force(docs, rows):

@@ -146,6 +146,35 @@ def test_pseudonyms_are_one_to_one(spark):
     assert pairs.distinct().count() == 35
 
 
+def test_dates_and_secrets_are_one_to_one(spark):
+    for form in ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
+        days = spark.range(1500).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), form).alias("v"))
+        both = days if form != "MM/dd/yyyy" else days.union(spark.range(1500).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy")))
+        seen = both.distinct().select("v", pii.pseudonym(F.col("v"), "k").alias("p"))
+        assert seen.where("v = p").count() <= 1 and seen.select("p").distinct().count() == seen.count()
+    hexes = spark.range(3000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 8).alias("v")).distinct()
+    assert hexes.select(pii.permuted(F.col("v"), "k").alias("p")).distinct().count() == hexes.count()
+    assert spark.createDataFrame([("x 12/05/1850 y",)], "text string").select(F.lit(1).alias("doc_id"), "text").transform(lambda d: pii.pseudonymised(d, "k")).first()["n_found"] == 1
+
+
+def test_recall_as_shipped(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    x = np.stack([r["embedding"] for r in df.orderBy("vec_id").collect()]).astype(float)
+    ids = np.array([r["vec_id"] for r in df.orderBy("vec_id").select("vec_id").collect()])
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    asked = asked.union(asked.limit(2))  # repeated queries are answered once
+    got = {}
+    for r in ann.search(df, asked).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        assert len(found) == len(set(found)) == 10
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(found))
+    assert hits / (10 * len(got)) >= 0.9
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)).round(2)
