@@ -31,7 +31,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; of rows that repeat a doc_id one stays.
+    """The document with the smallest doc_id of each group of near duplicates.
+
+    Of its rows that repeat a text too, one stays: the first in the order of the other columns.
 
     Documents without doc_id take no part and stay.
     """
@@ -39,7 +41,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     repeats = not first.where(F.col("rows") > 1).isEmpty()
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    kept = kept.dropDuplicates(["doc_id"]) if repeats else kept
+    if repeats:
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others, F.lit(0).alias("__"))).alias("__own"))
+        kept = kept.select(*[F.col(f"__own.{c}" if c in others else c).alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
