@@ -183,10 +183,44 @@ def judge_reason(raw: Column) -> Column:
 
 
 def roman_or_arabic(raw: Column) -> Column:
-    """A page number in digits or in Roman numerals up to C; null if it is neither, or 0."""
+    """A page number in digits or in Roman numerals up to C; null if it is neither."""
     s = F.upper(F.trim(raw))
     value = lambda c: F.when(c == "I", 1).when(c == "V", 5).when(c == "X", 10).when(c == "L", 50).when(c == "C", 100).otherwise(0)
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("last"))
-    add = lambda at, c: F.struct((at["total"] + F.when(value(c) < at["last"], -value(c)).otherwise(value(c))).alias("total"), F.greatest(at["last"], value(c)).alias("last"))
+    add = lambda at, c: F.struct((at["total"] + F.when(value(c) < at["last"], -value(c)).otherwise(value(c))).alias("total"), value(c).alias("last"))
     roman = F.aggregate(F.reverse(F.split(s, "")), start, add, lambda at: at["total"])
-    return F.nullif(F.when(s.rlike("^[0-9]+$"), s.try_cast("int")).when(s.rlike("^[IVXLC]+$"), roman), F.lit(0))
+    return F.when(s.rlike("^[0-9]+$"), s.try_cast("int")).when(s.rlike("^[IVXLC]+$"), F.when(roman > 0, roman))
+
+
+# Fixed values.
+RUN_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+STORE_NAME = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$"
+EMBEDDING_MODELS = ["embed", "embedding", "bge", "e5", "gte", "mxbai", "nomic-embed", "all-minilm"]
+
+
+def is_run_id(name: Column) -> Column:
+    """Letters, digits and . _ - from a letter or digit on, without two dots in a row."""
+    s = F.trim(name)
+    return s.rlike(RUN_ID) & ~s.contains("..")
+
+
+def is_store_name(name: Column) -> Column:
+    return F.trim(name).rlike(STORE_NAME)
+
+
+def is_embedding_model(name: Column) -> Column:
+    """Whether a model's name holds one of the usual keywords."""
+    return F.lower(F.trim(name)).rlike("|".join(EMBEDDING_MODELS))
+
+
+def model_variants(name: Column) -> Column:
+    """A model's name with and without its tag; one without gets "latest"."""
+    s = F.trim(name)
+    return F.array(s, F.when(s.contains(":"), F.substring_index(s, ":", 1)).otherwise(F.concat(s, F.lit(":latest"))))
+
+
+def is_diagram(width: Column, height: Column, least: float = 100, most_ratio: float = 8.0) -> Column:
+    """Whether an image is large and not too narrow to be a diagram."""
+    if least < 1:
+        raise ValueError("least must be at least 1")
+    return (width >= least) & (height >= least) & (F.greatest(width, height) / F.greatest(F.lit(1.0), F.least(width, height)) <= most_ratio)

@@ -19,9 +19,12 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """Not blank, at most 90 characters, and marked with # or title-cased with at most eight words."""
+    """Not blank, at most 90 characters, and marked with # or title-cased with at most eight words.
+
+    A line without cased letters, such as a number or a Japanese one, counts as title-cased.
+    """
     s = F.trim(line)
-    title = ~s.rlike(r"(?<![\p{Lu}\p{Ll}\p{Lt}])\p{Ll}") & ~s.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]\p{Lu}") & s.rlike(r"[\p{Lu}\p{Lt}]")
+    title = ~s.rlike(r"(?<![\p{Lu}\p{Ll}\p{Lt}])\p{Ll}") & ~s.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]\p{Lu}")
     return (s != "") & (F.length(s) <= 90) & (s.startswith("#") | (title & (F.size(F.split(s, r"(?U)\s+")) <= 8)))
 
 
@@ -44,23 +47,30 @@ def sentence_windows(text: Column, size: int) -> Column:
 
 def semantic_chunks(text: Column, size: int, breakpoint: float) -> Column:
     """A fold over sentences: each is appended, then the chunk is closed if it has `size` words or its last two
-    sentences are less alike than `breakpoint`. After closing, the next sentence is compared with none."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("last"))
-
-    def add(at: Column, s: Column) -> Column:
-        tokens, n = token_set(s), at["n"] + F.size(words(s))
-        alike = F.when(at["last"].isNull(), 1.0).otherwise(jaccard(at["last"], tokens))
-        text = F.when(at["open"] == "", s).otherwise(F.concat(at["open"], F.lit(" "), s))
-        close = (alike < breakpoint) | (n >= size)
-        return F.struct(
-            F.when(close, F.concat(at["done"], F.array(text))).otherwise(at["done"]).alias("done"),
-            F.when(close, "").otherwise(text).alias("open"),
-            F.when(close, 0).otherwise(n).alias("n"),
-            F.when(close, F.lit(None).cast("array<string>")).otherwise(tokens).alias("last"),
+    sentences are less alike than `breakpoint`. After closing, the next sentence is compared with none.
+
+    The fold carries numbers only: where chunks start, and the words of the open one. The texts are cut out once after it.
+    """
+    state = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+
+    def add(at: Column, x: Column) -> Column:
+        n = F.when(at["closed"], x["n"]).otherwise(at["n"] + x["n"])
+        close = (~at["closed"] & (x["alike"] < breakpoint)) | (n >= size)
+        return F.struct(F.when(at["closed"], F.concat(at["starts"], F.array(x["k"]))).otherwise(at["starts"]).alias("starts"), n.alias("n"), close.alias("closed"))
+
+    def cut(s: Column) -> Column:
+        marks = bound(
+            F.transform(s, lambda x: token_set(x)),
+            lambda t: F.transform(
+                s,
+                lambda x, k: F.struct(k.alias("k"), F.size(words(x)).alias("n"), F.when(k == 0, 1.0).otherwise(jaccard(F.get(t, k - 1), F.get(t, k))).alias("alike")),
+            ),
         )
+        starts = F.aggregate(marks, state, add, lambda at: at["starts"])
+        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(s))
+        return bound(starts, lambda at: F.transform(at, lambda first, j: F.array_join(F.slice(s, first + 1, end(at, j) - first), " ")))
 
-    finish = lambda at: F.when(at["open"] == "", at["done"]).otherwise(F.concat(at["done"], F.array(at["open"])))
-    return bound(sentences(text), lambda s: F.when(F.element_at(s, 1) == "", F.array(F.lit(EMPTY))).otherwise(F.aggregate(s, state, add, finish)))
+    return bound(sentences(text), lambda s: F.when(F.element_at(s, 1) == "", F.array(F.lit(EMPTY))).otherwise(cut(s)))
 
 
 def markdown_windows(text: Column, size: int, overlap: int) -> Column:

@@ -29,19 +29,49 @@ def without_repeated_lines(pages: DataFrame, doc: str = "doc_id", page: str = "p
     return pages.select(doc, page).join(kept, [doc, page], "left").select(doc, page, F.coalesce(text, F.lit(EMPTY_PAGE)).alias("text"))
 
 
-#: Fixed forms of a contents line: numbered with leader dots or spaces, plain with leader dots.
-CONTENTS = [(r"^(\d+(?:\.\d+)*)\.?\s+(.+?)\s*\.{2,}\s*([0-9IVXLCivxlc]+)$", True), (r"^(\d+(?:\.\d+)*)\.?\s+(.+?)\s{2,}([0-9IVXLCivxlc]+)$", True), (r"^()(.+?)\s*\.{3,}\s*([0-9IVXLCivxlc]+)$", False)]
+# Forms of a contents line in the order in which they are tried, and a contents page's heading.
+CONTENTS = [
+    r"^(\d+(?:\.\d+)*)\s+(.+?)\.{2,}\s+(\d+)$",
+    r"^(\d+(?:\.\d+)*)\s+(.+?)\s+(\d+)$",
+    r"^(\d+(?:\.\d+)*)\s+(.+?)\s{2,}(\d+)$",
+    r"^(\d+(?:\.\d+)*)[.\s]+(.+?)\s+([IVXivx\d]+)$",
+]
+CONTENTS_HEADING = r"(?i)^(?:table of contents|contents)$"
+CONTENTS_PAGES = 30
+#: A line's place in a document is its page times this plus its number.
+LINES_A_PAGE = 1 << 32
+
+
+def contents_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text) to (doc_id, pos, line) of each document's contents: the first page with their heading among
+    its first ten lines, and the 29 pages after it. Documents without such a page have none."""
+    heading = F.exists(F.slice(F.split("text", "\n"), 1, 10), lambda x: F.trim(x, F.lit(" \t\r\x0b\f")).rlike(CONTENTS_HEADING))
+    first = pages.where(heading).groupBy("doc_id").agg(F.min("page").alias("__first"))
+    near = pages.join(first, "doc_id").where(F.col("page").between(F.col("__first"), F.col("__first") + CONTENTS_PAGES - 1))
+    lines = near.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", (F.col("page").cast("long") * LINES_A_PAGE + F.col("n")).alias("pos"), F.trim("line", F.lit(" \t\r\x0b\f")).alias("line"))
 
 
 def contents_entries(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) to (doc_id, pos, number, title, page, level) of the lines that are contents entries."""
+    """(doc_id, pos, line) to (doc_id, pos, number, title, page, level) of the lines that are contents entries.
+
+    The first form that a line has decides; if that form's page is no number, the line is no entry. Of entries with one
+    number and page the last gives the title and the first the place.
+    """
     form = F.lit(None).cast("struct<number:string,title:string,raw:string>")
-    for pattern, _ in reversed(CONTENTS):
+    for pattern in reversed(CONTENTS):
         part = lambda k: F.regexp_extract("line", pattern, k)  # noqa: B023, E731
         form = F.when(F.col("line").rlike(pattern), F.struct(part(1).alias("number"), part(2).alias("title"), part(3).alias("raw"))).otherwise(form)
     out = lines.withColumn("f", form).where("f IS NOT NULL").withColumn("page", roman_or_arabic(F.col("f.raw"))).where("page IS NOT NULL")
-    level = F.when(F.col("f.number") == "", 1).otherwise(F.size(F.split("f.number", "\\.")))
-    return out.select("doc_id", "pos", F.col("f.number").alias("number"), F.trim("f.title").alias("title"), "page", level.alias("level"))
+    out = out.groupBy("doc_id", F.col("f.number").alias("number"), "page").agg(F.min("pos").alias("pos"), F.trim(F.max_by("f.title", "pos")).alias("title"))
+    return out.select("doc_id", "pos", "number", "title", "page", F.size(F.split("number", "\\.")).alias("level"))
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, path): the section that each page of a document with contents lies in."""
+    entries = contents_paths(contents_entries(contents_lines(pages)))
+    last = pages.groupBy("doc_id").agg(F.count_distinct("page").cast("int").alias("last_page"))
+    return page_sections(entries.join(last, "doc_id"), F.col("last_page"))
 
 
 def contents_paths(entries: DataFrame) -> DataFrame:
@@ -74,26 +104,55 @@ def section_as_of(pages: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("path", found).where("is_page = 1").select("doc_id", "page", "path")
 
 
-def pipe_tables(lines: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, table_no, width, markdown) of every block of at least two consecutive lines with a bar.
+def _cells(line: Column, between: str) -> Column:
+    return F.transform(F.split(line, between), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
 
-    The first row is the header; cells are stripped, rows filled up to the widest. Blocks of one column, or without a
-    cell below the header, are no tables.
-    """
-    order = Window.partitionBy(*key).orderBy("pos")
-    bars = lines.where(F.col("line").contains("|")).withColumn("island", F.col("pos") - F.row_number().over(order))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
-    rows = bars.withColumn("cells", cells).where(~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
-    blocks = rows.groupBy(*key, "island").agg(F.sort_array(F.collect_list(F.struct("pos", "cells"))).alias("rows"))
-    blocks = blocks.where(F.size("rows") >= 2).withColumn("rows", F.transform("rows", lambda r: r["cells"]))
-    blocks = blocks.withColumn("width", F.array_max(F.transform("rows", lambda r: F.size(r)))).where("width >= 2")
+
+def _rendered(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, place, rows) to the tables among them, with width and markdown. The first row is the header; rows are filled
+    up to the widest; bars within cells are escaped. What has one column or no cell below the header is no table."""
+    blocks = blocks.where(F.size("rows") >= 2).withColumn("width", F.array_max(F.transform("rows", lambda r: F.size(r)))).where("width >= 2")
     blocks = blocks.where(F.exists(F.slice("rows", 2, F.size("rows")), lambda r: F.exists(r, lambda c: c != "")))
-    row = lambda cells: F.concat(F.lit("| "), F.array_join(F.concat(cells, F.array_repeat(F.lit(""), F.col("width") - F.size(cells))), " | "), F.lit(" |"))
-    text = F.transform("rows", row)
+    escaped = lambda cells: F.transform(cells, lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(F.concat(escaped(cells), F.array_repeat(F.lit(""), F.col("width") - F.size(cells))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
-    markdown = F.array_join(F.concat(F.slice(text, 1, 1), F.array(rule), F.slice(text, 2, F.size(text))), "\n")
-    no = F.row_number().over(Window.partitionBy(*key).orderBy("island"))
-    return blocks.withColumn("table_no", no).select(*key, "table_no", "width", markdown.alias("markdown"))
+    text = blocks.withColumn("text", F.transform("rows", row))
+    return text.select(*key, "place", "width", F.array_join(F.concat(F.slice("text", 1, 1), F.array(rule), F.slice("text", 2, F.size("text"))), "\n").alias("markdown"))
+
+
+def _pipe_blocks(lines: DataFrame, key: list[str]) -> DataFrame:
+    bars = lines.where(F.col("line").contains("|"))
+    bars = bars.withColumn("place", F.col("pos") - F.row_number().over(Window.partitionBy(*key).orderBy("pos")))
+    rows = bars.groupBy(*key, "place").agg(F.sort_array(F.collect_list(F.struct("pos", _cells(F.trim("line"), r"\|").alias("cells")))).alias("rows"))
+    return rows.withColumn("rows", F.transform("rows", lambda r: r["cells"]))
+
+
+def pipe_tables(lines: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, pos, line) to (key…, table_no, width, markdown) of every block of at least two consecutive lines with a bar.
+
+    Cells are what stands between bars, so a line that begins with a bar has an empty first cell; rules are rows as well.
+    """
+    found = _rendered(_pipe_blocks(lines, key), key)
+    no = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    return found.withColumn("table_no", no).select(*key, "table_no", "width", "markdown")
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text) to (doc_id, page, table_id, width, markdown): a page's pipe tables, then, as one table, all its
+    lines with columns set apart by two blanks or more, if there are at least two such lines."""
+    key = ["doc_id", "page"]
+    lines = pages.select(*key, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    spaced = lines.where(F.col("line").rlike(r"\S\s{2,}\S")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", _cells(F.trim("line", F.lit(" \t\r\x0b\f")), r"\s{2,}").alias("cells")))).alias("rows"))
+    spaced = spaced.select(*key, F.lit((1 << 31) - 1).alias("place"), F.transform("rows", lambda r: r["cells"]).alias("rows"))
+    found = _rendered(_pipe_blocks(lines, key).unionByName(spaced), key)
+    no = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    name = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-t"), no.cast("string"))
+    return found.withColumn("table_id", name).select(*key, "table_id", "width", "markdown")
+
+
+def markdown_title(text: Column, fallback: Column) -> Column:
+    """The first heading of the first level, else the fallback."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^# (.*)$", 1)), F.lit("")), fallback)
 
 
 def markdown_sections(lines: DataFrame) -> DataFrame:

@@ -40,22 +40,34 @@ def deduplicated(hits: DataFrame, k: int) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
 
 
-def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(question_id, recall, ndcg) at k for every question with gold (question_id, chunk_id)."""
+def _every(questions: DataFrame, rows: DataFrame, *metrics: str) -> DataFrame:
+    return questions.select("question_id").distinct().join(rows, "question_id", "left").fillna(0.0, list(metrics))
+
+
+def ranking_metrics(hits: DataFrame, gold: DataFrame, k: int, questions: DataFrame | None = None) -> DataFrame:
+    """(question_id, recall, ndcg) at k for every question with gold (question_id, chunk_id).
+
+    Given the questions, those without gold count too, with 0.
+    """
     gold = gold.select("question_id", "chunk_id").distinct()
     size = gold.groupBy("question_id").agg(F.count("*").alias("gold"))
     found = deduplicated(hits, k).join(gold, ["question_id", "chunk_id"])
     gain = found.groupBy("question_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("position") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("gold", F.lit(k)).cast("int")), F.lit(0.0), lambda t, i: t + 1 / F.log2(i + 1.0))
     out = size.join(gain, "question_id", "left").fillna({"found": 0, "dcg": 0.0})
-    return out.select("question_id", (F.col("found") / F.col("gold")).alias("recall"), (F.col("dcg") / ideal).alias("ndcg"))
+    out = out.select("question_id", (F.col("found") / F.col("gold")).alias("recall"), (F.col("dcg") / ideal).alias("ndcg"))
+    return out if questions is None else _every(questions, out, "recall", "ndcg")
+
 
+def citation_precision(cited: DataFrame, gold: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(question_id, precision): share of a question's distinct cited chunks that are gold.
 
-def citation_precision(cited: DataFrame, gold: DataFrame) -> DataFrame:
-    """(question_id, precision): share of a question's distinct cited chunks that are gold."""
+    Given the questions, those without citations count too, with 0.
+    """
     cited = cited.select("question_id", "chunk_id").distinct()
     hit = cited.join(gold.select("question_id", "chunk_id").distinct().withColumn("good", F.lit(1)), ["question_id", "chunk_id"], "left")
-    return hit.groupBy("question_id").agg((F.count("good") / F.count("*")).alias("precision"))
+    out = hit.groupBy("question_id").agg((F.count("good") / F.count("*")).alias("precision"))
+    return out if questions is None else _every(questions, out, "precision")
 
 
 def faithfulness(answers: DataFrame, trace: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -67,6 +79,19 @@ def faithfulness(answers: DataFrame, trace: DataFrame, chunks: DataFrame) -> Dat
     return answers.select("question_id").join(rate, "question_id", "left").fillna(0.0, ["faithfulness"])
 
 
+def query_metrics(questions: DataFrame, hits: DataFrame, gold: DataFrame, trace: DataFrame, answers: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, recall, ndcg, precision, faithfulness) of every question, 0 where it has no gold, citation or answer."""
+    ranked = ranking_metrics(hits, gold, k, questions)
+    cited = citation_precision(trace, gold, questions)
+    said = _every(questions, faithfulness(answers, trace, chunks), "faithfulness")
+    return ranked.join(cited, "question_id").join(said, "question_id")
+
+
+def judge_means(judgements: DataFrame) -> DataFrame:
+    """(question_id, criterion, score) to (question_id, avg_score), the mean of a question's scores; a missing score is 0."""
+    return judgements.groupBy("question_id").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("avg_score"))
+
+
 def averaged(rows: DataFrame, *metrics: str) -> DataFrame:
     """One row with each metric's mean, 0 without rows."""
     return rows.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
@@ -92,13 +117,25 @@ def pair_index(idx: Column, count: Column, stride: int) -> Column:
     return F.when(count == 1, F.lit(0)).otherwise(F.pmod(idx + offset * stride, count))
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in a checkpoint: what a lost executor held isn't dealt anew. Where the session names no
+    folder for it, a local one gets one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or "file:///tmp/lodestone-shared")
+    return df.checkpoint()
+
+
 def numbered(chunks: DataFrame) -> DataFrame:
     """Chunks with their place, from 0, in the order of doc_id, page, section, chunk_id.
 
     Ranges of the order are numbered apart and shifted by the counts before them, so no task holds all chunks.
     """
     order = ["doc_id", "page", "section", "chunk_id"]
-    parts = chunks.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist()
+    parts = fixed(chunks.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     before = parts.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
     return parts.withColumn("at", local).join(F.broadcast(before.drop("__c")), "__p").withColumn("at", F.col("at") + F.col("__b")).drop("__p", "__b")

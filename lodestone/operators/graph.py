@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_name, edge_id, meaningful, node_id, sentences, token_set
+from ..functions.text import bound, canonical_name, edge_id, meaningful, node_id, sentences, token_set
 from .vectors import top_k
 
 #: Cue phrases and their relations. A cue counts wherever it stands, within words too.
@@ -25,16 +25,15 @@ def relations(sentence: Column) -> Column:
     def pair(cue: str, relation: str) -> Column:
         at = F.instr(low, F.lit(cue))
         left, right = meaningful(F.substring(low, F.lit(1), at - 1)), meaningful(F.substring(low, at + len(cue), F.length(low)))
-        source = F.array_join(F.slice(left, F.greatest(F.size(left) - 2, F.lit(1)), 3), " ")
+        source = F.array_join(F.reverse(F.slice(F.reverse(left), 1, 3)), " ")
         target = F.array_join(F.slice(right, 1, 3), " ")
-        found = F.struct(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
-        return F.when((at > 0) & (source != "") & (target != "") & (source != target), found)
+        return F.when(at > 0, F.struct(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target")))
 
-    pairs = F.filter(F.array(*[pair(c, r) for c, r in CUES]), lambda x: x.isNotNull())
-    tokens = meaningful(low)
-    first, last = F.array_join(F.slice(tokens, 1, 2), " "), F.array_join(F.slice(tokens, -2, 2), " ")
-    other = F.when((F.size(tokens) >= 4) & (first != last), F.array(F.struct(first.alias("source"), F.lit(RELATED).alias("relation"), last.alias("target"))))
-    return F.when(F.size(pairs) > 0, pairs).otherwise(F.coalesce(other, F.array().cast("array<struct<source:string,relation:string,target:string>>")))
+    differ = lambda x: x.isNotNull() & (x["source"] != "") & (x["target"] != "") & (x["source"] != x["target"])
+    pairs = F.filter(F.array(*[pair(c, r) for c, r in CUES]), differ)
+    ends = lambda t: F.struct(F.array_join(F.slice(t, 1, 2), " ").alias("source"), F.lit(RELATED).alias("relation"), F.array_join(F.slice(t, -2, 2), " ").alias("target"))
+    other = bound(meaningful(low), lambda t: F.filter(F.when(F.size(t) >= 4, F.array(ends(t))).otherwise(F.array().cast("array<struct<source:string,relation:string,target:string>>")), differ))
+    return bound(pairs, lambda p: F.when(F.size(p) > 0, p).otherwise(other))
 
 
 def triples(chunks: DataFrame) -> DataFrame:
@@ -91,13 +90,16 @@ def walked(questions: DataFrame, graph_nodes: DataFrame, graph_edges: DataFrame,
     return reached.join(graph_edges, F.col("node_id") == F.col("source_node_id")).select("question_id", "edge_id", (F.col("depth") + 1).alias("depth"))
 
 
-def graph_search(questions: DataFrame, graph_nodes: DataFrame, graph_edges: DataFrame, k: int, max_depth: int = 2) -> DataFrame:
+def graph_search(questions: DataFrame, graph_nodes: DataFrame, graph_edges: DataFrame, k: int, max_depth: int = 2, chunks: DataFrame | None = None) -> DataFrame:
     """The k chunks with the largest sum of weight / depth over the walked edges that they are evidence for.
 
-    Ties: the chunk reached at the least depth, then chunk_id.
+    Given the chunks, evidence that is no longer among them doesn't count. Ties: the chunk reached at the least depth,
+    then chunk_id.
     """
     found = walked(questions, graph_nodes, graph_edges, max_depth).join(graph_edges, "edge_id")
     each = found.select("question_id", "depth", "weight", F.explode("evidence_chunk_ids").alias("chunk_id"))
+    if chunks is not None:
+        each = each.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     scored = each.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / F.col("depth")), 9).alias("score"), F.min("depth").alias("depth"))
     return top_k(scored, k, order=[F.col("depth"), F.col("chunk_id")]).select("question_id", "rank", "chunk_id", "score")
 

@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
-from .vectors import top_k
+from .vectors import broadcast_if_small, top_k
 
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question_id, question) and (chunk_id, chunk_text) to (question_id, rank, chunk_id, score), by Jaccard.
 
-    An inverted index: only chunks that share a token with a question meet it. Chunks that share none come after all
-    others in the order of chunk_id, so where fewer than k share one, the tail is filled from the k first chunks.
+    An inverted index: only chunks that share a token with a question meet it. The questions' tokens are broadcast after
+    being counted. Chunks that share none come after all others in the order of chunk_id, so where fewer than k share
+    one, the tail is filled from the first chunks.
     """
     q = questions.select("question_id", token_set(F.col("question")).alias("tokens")).withColumn("qn", F.size("tokens"))
     c = chunks.select("chunk_id", token_set(F.col("chunk_text")).alias("tokens")).withColumn("cn", F.size("tokens"))
     left = q.select("question_id", "qn", F.explode("tokens").alias("token"))
     right = c.select("chunk_id", "cn", F.explode("tokens").alias("token"))
-    shared = right.join(left, "token").groupBy("question_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
+    shared = right.join(broadcast_if_small(left), "token").groupBy("question_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
     hits = shared.select("question_id", "chunk_id", (F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))).alias("score"))
     hits = top_k(hits, k, order=[F.col("chunk_id")]).drop("rank")
-    # at most k rows for each question; of the chunks without a shared token the first k in order are enough
+    # a question with fewer than k hits has all its chunks among them, so of the first 2 k chunks enough are left
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    tail = questions.select("question_id").crossJoin(F.broadcast(first)).join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    none = tail.join(shared.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(hits.unionByName(none), k, order=[F.col("chunk_id")]).select("question_id", "rank", "chunk_id", "score")
+    none = questions.select("question_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    both = hits.unionByName(none).groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(both, k, order=[F.col("chunk_id")]).select("question_id", "rank", "chunk_id", "score")
 
 
 def fused(vector: DataFrame, graph: DataFrame, k: int, vector_weight: float = 0.6, graph_weight: float = 0.4) -> DataFrame:

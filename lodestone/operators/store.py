@@ -35,6 +35,30 @@ def removed(doc_id, *tables: DataFrame) -> list[DataFrame]:
     return [t.where(F.col("doc_id") != doc_id) for t in tables]
 
 
+def document_removed(doc_id, documents: DataFrame, pages: DataFrame, chunks: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """The tables without a document, its embedding rows left out and the others numbered anew; None if it is unknown."""
+    if not documents.where(F.col("doc_id") == doc_id).limit(1).count():
+        return None
+    documents, pages, chunks = removed(doc_id, documents, pages, chunks)
+    return documents, pages, chunks, realigned(meta, chunks)
+
+
+def aligned(meta: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks with their embedding rows. An embedding row without a chunk is an error."""
+    lost = meta.join(chunks.select("chunk_id"), "chunk_id", "left_anti").limit(1).count()
+    if lost:
+        raise ValueError("an embedding row names a chunk that there isn't")
+    return meta.join(chunks, "chunk_id")
+
+
+def kept_sets(runs: DataFrame, keep: DataFrame, keep_latest: int = 3) -> DataFrame:
+    """(run_id, state): retained, removable, or missing for a name in `keep` that no run has."""
+    marked = retention(runs, keep_latest).join(keep.select("run_id").distinct().withColumn("__k", F.lit(True)), "run_id", "left")
+    state = F.when(F.col("retained") | F.coalesce("__k", F.lit(False)), "retained").otherwise("removable")
+    missing = keep.select("run_id").distinct().join(runs, "run_id", "left_anti").select("run_id", F.lit("missing").alias("state"))
+    return marked.select("run_id", state.alias("state")).unionByName(missing)
+
+
 def document_counts(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents with their numbers of pages and chunks, 0 where there are none."""
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))

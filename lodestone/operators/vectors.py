@@ -11,6 +11,13 @@ DIMENSIONS = 256
 LEAST_NORM = 1e-8
 #: Blocks that vectors are dealt into; each meets all questions.
 BLOCKS = 64
+#: Rows of questions' tokens or weights, and bytes of their dense vectors, that are broadcast after being counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, to be broadcast if it has at most `most` rows of a few dozen bytes; they are counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hashed_index(token: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -26,8 +33,10 @@ def sparse_embedding(df: DataFrame, key: str, text: str, dimensions: int = DIMEN
 
     A text without tokens, or whose counts cancel out, has no rows: it is the zero vector.
     """
-    tokens = df.select(key, F.explode(token_list(F.col(text))).alias("token"))
-    raw = tokens.groupBy(key, hashed_index(F.col("token"), dimensions).alias("idx")).agg(F.sum(hashed_sign(F.col("token"))).alias("raw")).where("raw <> 0")
+    # texts are dealt by key once; counts, norms and sums by key need no further shuffle
+    tokens = df.select(key, text).repartition(key).select(key, F.explode(token_list(F.col(text))).alias("token"))
+    tokens = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))  # each token is hashed once a text
+    raw = tokens.groupBy(key, hashed_index(F.col("token"), dimensions).alias("idx")).agg(F.sum(hashed_sign(F.col("token")) * F.col("n")).alias("raw")).where("raw <> 0")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "idx", (F.col("raw") / norm).alias("weight"))
 
@@ -59,14 +68,20 @@ def top_k(scored: DataFrame, k: int, by: str = "question_id", order: list[Column
 def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(question_id, query) and (row_idx, embedding) to (question_id, rank, row_idx, score).
 
-    Vectors are dealt into blocks, each of which meets all questions, so that many questions don't land in one task.
-    Ties go to the smaller row_idx.
+    Few questions are broadcast after being counted, and vectors stay where they are. With more, vectors are dealt into
+    blocks, each of which meets all questions, so that many questions don't land in one task. Either way the k best of
+    a task are taken before the shuffle. Vectors of unlike sizes don't meet. Ties go to the smaller row_idx.
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     block = F.pmod(F.xxhash64("row_idx"), F.lit(BLOCKS)).cast("int")
     rows = vectors.select("row_idx", "embedding", norm("embedding").alias("vn"), block.alias("block"))
-    asked = questions.select("question_id", "query", norm("query").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    pairs = rows.join(asked, (rows["block"] == asked["block"]) & (F.size("query") == F.size("embedding")))
+    asked = questions.select("question_id", "query", norm("query").alias("qn"))
+    size = asked.agg(F.coalesce(F.sum(F.size("query") * 8 + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        pairs = rows.join(F.broadcast(asked), F.size("query") == F.size("embedding"))
+    else:
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+        pairs = rows.join(asked, (rows["block"] == asked["block"]) & (F.size("query") == F.size("embedding")))
     score = dot(F.col("query"), F.col("embedding")) / F.greatest(F.col("qn") * F.col("vn"), F.lit(LEAST_NORM))
     return top_k(pairs.select("question_id", "row_idx", score.alias("score")), k, order=[F.col("row_idx")])
 
@@ -74,9 +89,10 @@ def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
 def sparse_search(questions: DataFrame, chunks: DataFrame, k: int, dimensions: int = DIMENSIONS) -> DataFrame:
     """(question_id, question) and (chunk_id, chunk_text) to the k chunks of largest positive cosine per question.
 
-    The dot product is an equi-join on the vector index, so it costs what the vectors' non-zero entries cost.
+    The dot product is an equi-join on the vector index, so it costs what the vectors' non-zero entries cost. The
+    questions' weights are broadcast after being counted; chunks then stay dealt by chunk_id until the k best are known.
     """
     q = sparse_embedding(questions, "question_id", "question", dimensions).withColumnRenamed("weight", "q")
     c = sparse_embedding(chunks, "chunk_id", "chunk_text", dimensions)
-    scored = c.join(q, "idx").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score"))
+    scored = c.join(broadcast_if_small(q), "idx").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score"))
     return top_k(scored.where("score > 0"), k, order=[F.col("chunk_id")])

