@@ -22,9 +22,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def word_chars(spaced: Column) -> Column:
-    """Code points in words."""
-    return F.coalesce(F.length(F.translate(spaced, " ", "")), F.lit(0)).cast("long")
+def word_chars(spaced: Column, words: Column) -> Column:
+    """Code points in words: all but the single spaces between them."""
+    return F.coalesce(F.length(spaced) - F.greatest(words - 1, F.lit(0)), F.lit(0)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
@@ -140,11 +140,24 @@ def judged(df: DataFrame, counts: bool = False, sample_rows: int = SAMPLE_ROWS)
     df = df.select(*[c for c in df.columns if c not in added])
     text, spaced = F.col("text"), F.col("__spaced")
     lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(1))
-    plain = [n_spaced(spaced), word_chars(spaced), n_symbols(text), n_dup_lines(text)]
-    df = df.withColumn("__spaced", spaced_words(text))  # more than one column reads it, so it's computed once
+
+    def counted(spaced: Column, words: Column) -> list[Column]:
+        return [words, word_chars(spaced, words), n_symbols(text), n_dup_lines(text)]
+
     if not counts:
-        rules = base_rules(plain[0], n_repeat_words(spaced)) + further_rules(*plain, lines)
-        return df.withColumn("kept", cascade(ordered(df, rules, sample_rows)).isNull()).drop("__spaced")
+        def rules(spaced: Column, words: Column) -> list[Rule]:
+            return base_rules(words, n_repeat_words(spaced)) + further_rules(*counted(spaced, words), lines)
+
+        order = [r.name for r in ordered(df, rules(spaced, n_spaced(spaced)), sample_rows)]
+
+        def verdict(spaced: Column, words: Column) -> Column:
+            named = {r.name: r for r in rules(spaced, words)}
+            return cascade([named[name] for name in order])
+
+        # every rule reads the words, so they are bound: a filter on the verdict would take them from the text again for each
+        return df.withColumn("kept", bound(spaced_words(text), lambda s: bound(n_spaced(s), lambda n: verdict(s, n))).isNull())
+    plain = counted(spaced, n_spaced(spaced))
+    df = df.withColumn("__spaced", spaced_words(text))  # more than one column reads it, so it's computed once
     rules = ordered(df, further_rules(*plain, lines), sample_rows)
     names = {r.name: r for r in further_rules(*map(F.col, added[:4]), lines)}
     failed = F.lit(False)
