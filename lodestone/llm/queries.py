@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, line_dedup, mixing, nbsvm, ngram_join, pii, quality_rules, sharding
+from . import ann, bpe, chat, line_dedup, mixing, nbsvm, ngram_join, phrases, pii, prefix_trie, quality_rules, resampling, sharding
 from .common import n_words, ready_for_python, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,30 @@ def op10_multi_match_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_multi_match_prefixes"] = ngram_join.SQL
+
+
+@query
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every window of the benchmark."""
+    return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_positional_index"] = phrases.SQL
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score towards the benchmark's words; a tenth of those of 20 words or more is drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op12_importance_resampling"] = resampling.SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op13_prefix_trie"] = prefix_trie.SQL
