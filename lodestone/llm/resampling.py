@@ -117,8 +117,8 @@ class Tournament:
         if not self.free:
             keys, self.size = self.keys, 2 * self.size
             self.keys, self.tree, self.free = [NONE] * self.size, [0] * self.size + list(range(self.size)), list(range(len(keys), self.size))
-            for leaf, key in enumerate(keys):
-                self.put(leaf, key)
+            for leaf in range(self.size):
+                self.put(leaf, keys[leaf] if leaf < len(keys) else NONE)
         return self.free.pop()
 
     def leave(self, leaf: int) -> None:
