@@ -18,9 +18,17 @@ from ..functions.text import EMPTY_PAGE, document_type, first_line, page_text
 PageParser = Callable[[bytes], list[str] | None]
 
 
+#: What Spark's reader of whole files gives.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
     """(path, content, doc_id, sha256, document_type) of every file with the suffix under the folder."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder)
+    return described(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """(path, content) with doc_id, sha256 and document_type."""
     sha = F.sha2("content", 256)
     return found.select("path", "content", sha.alias("sha256"), F.concat(F.lit("doc_"), F.substring(sha, 1, 12)).alias("doc_id"), document_type(F.col("path")).alias("document_type"))
 
@@ -60,10 +68,13 @@ def pages(found: DataFrame, parser: PageParser | None = None) -> DataFrame:
 
 
 def documents(found: DataFrame, page_rows: DataFrame) -> DataFrame:
-    """(doc_id, title, source_path, sha256, document_type); the title is the first page's first line, or the file's name."""
+    """(doc_id, title, source_path, sha256, document_type, n_pages); the title is the first page's first line, or the file's
+    name. n_pages counts the pages, whatever rows each has."""
     first = page_rows.where((F.col("page") == 1) & (F.col("text") != EMPTY_PAGE)).select("doc_id", F.substring(first_line(F.col("text")), 1, 200).alias("title"))
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    return found.join(first, "doc_id", "left").select("doc_id", F.coalesce("title", name).alias("title"), F.col("path").alias("source_path"), "sha256", "document_type")
+    n_pages = page_rows.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
+    named = found.join(first, "doc_id", "left").join(n_pages, "doc_id", "left")
+    return named.select("doc_id", F.coalesce("title", name).alias("title"), F.col("path").alias("source_path"), "sha256", "document_type", F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"))
 
 
 def typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
