@@ -32,8 +32,8 @@ NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves
 PART = ("depth", "n", "first", "children", "leaves", "saved")
 PARTS = "array<struct<depth:long,n:long,first:long,children:long,leaves:long,saved:long,ends:string>>"
 ROWS = f"kind string, node binary, {', '.join(f'{c} long' for c in NODE)}, ends_sha256 string, path binary, sizes array<long>, parts {PARTS}"
-#: Rows of nodes sent at a time.
-SENT = 5000
+#: Rows sent at a time, and ids joined to one text.
+SENT, PACKED = 5000, 2000
 
 
 def turn_key(role: Column, text: Column) -> Column:
@@ -63,34 +63,60 @@ def rebuilt(talks: DataFrame, group: int = GROUP, most: int = MOST_SHARED) -> Da
     return joined.select("conv_id", F.concat(own, rest).alias("turns"))
 
 
-def distinct(talks: DataFrame) -> DataFrame:
-    """(conv_id, turns) to (path, sizes, n, first, ends): each sequence of turns once, with how many conversations have
-    it, the first of these, and the digest of all.
+def ends_of(named: DataFrame) -> DataFrame:
+    """(name, conv_id) to (name, ends): the digest of each name's ids, in order and joined by commas.
 
-    The ids of one sequence go through a digest in order, one after the other, and aren't held.
+    Ids are sorted in ranges, which part those of a frequent name; each range joins its ids to texts of PACKED at most,
+    and only these texts, one after the other, go through the name's digest. None are held together.
     """
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, out = None, [], []
+        rows = ((n, c) for batch in batches for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for name, conv in rows:
+            if ids and (name != at or len(ids) == PACKED):
+                out.append((at, ids[0], ",".join(map(str, ids))))
+                ids = []
+            at = name
+            ids.append(conv)
+            if len(out) >= SENT:
+                yield _columns(out, "name", "first", "ids")
+                out = []
+        if ids:
+            out.append((at, ids[0], ",".join(map(str, ids))))
+        yield _columns(out, "name", "first", "ids")
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
         for batch in batches:
             out = []
-            for path, conv in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path == at:
-                    state.update(f",{conv}".encode())
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name == at:
+                    state.update(f",{ids}".encode())
                 else:
                     if at is not None:
                         out.append((at, state.hexdigest()))
-                    at, state = path, hashlib.sha256(str(conv).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["name", "ends"])
+                    at, state = name, hashlib.sha256(ids.encode())
+            yield _columns(out, "name", "ends")
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([state.hexdigest()])], names=["name", "ends"])
+            yield _columns([(at, state.hexdigest())], "name", "ends")
+
+    texts = named.repartitionByRange("name", "conv_id").sortWithinPartitions("name", "conv_id").mapInArrow(packed, "name string, first long, ids string")
+    return texts.repartition("name").sortWithinPartitions("name", "first").mapInArrow(digests, "name string, ends string")
+
 
+def _columns(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64() if c == "first" else pa.string()) for k, c in enumerate(names)})
+
+
+def distinct(talks: DataFrame) -> DataFrame:
+    """(conv_id, turns) to (path, sizes, n, first, ends): each sequence of turns once, with how many conversations have
+    it, the first of these, and the digest of all."""
     path = F.unhex(F.array_join(F.transform("turns", lambda x: F.hex(x["key"])), ""))
     named = talks.select("conv_id", path.alias("path"), F.col("turns.bytes").alias("sizes")).withColumn("name", F.sha2("path", 256))
     named = written(named, "trie-named")
     same = named.groupBy("name").agg(F.first("path").alias("path"), F.first("sizes").alias("sizes"), F.count("*").alias("n"), F.min("conv_id").alias("first"))
-    ends = named.select("name", "conv_id").repartition("name").sortWithinPartitions("name", "conv_id").mapInArrow(digests, "name string, ends string")
-    return same.join(ends, "name").drop("name")
+    return same.join(ends_of(named.select("name", "conv_id")), "name").drop("name")
 
 
 class Point:
