@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import t_test_p_value
 from ..functions.text import excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
 from .retrieval import fused
 from .vectors import top_k
@@ -161,18 +163,40 @@ def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int) ->
     return rows.select("idx", F.lit(kind).alias("type"), question.alias("question"), "first_chunk", "second_chunk", answer.alias("gold_answer"))
 
 
-def generated_questions(spark: SparkSession, chunks: DataFrame, run: str, size: int) -> DataFrame:
-    """(question_id, type, question, first_chunk, second_chunk, gold_answer): `size` questions in the usual mix.
+def unique_questions(drafts: DataFrame, order: list[str], question: str = "question", seed: str = "idx") -> DataFrame:
+    """Drafts with their question made unique, but for case and white space, as if they came one by one in `order`.
+
+    The first of equal questions stays, stripped. A later one gets a number in brackets, the first from seed + 1 on that
+    makes a question none before it has: neither a draft's own nor a numbered one. `order` must be total.
 
-    A question that came before, but for case and white space, gets its draft's number in brackets.
+    Each draft asks for a name, the first in order gets it, and the others go on to their next number, until all have
+    different names. Of those that go on from one number of one question, each later one starts one number further, as
+    those before it take that many. So a round settles whole groups, and what all rounds give is what going through the
+    drafts one by one gives: a draft leaves a name only for one before it.
     """
+    base = F.regexp_replace(F.col(question), r"(?U)^\s+|\s+$", "")
+    same = lambda c: F.lower(squeezed(c))
+    now = fixed(drafts.select(*order, F.col(seed).cast("long").alias("__seed"), base.alias("__base"), F.lit(None).cast("long").alias("__number")))
+    name = F.when(F.col("__number").isNull(), F.col("__base")).otherwise(F.concat("__base", F.lit(" ("), F.col("__number").cast("string"), F.lit(")")))
+    while True:
+        asked = now.withColumn("__name", name).withColumn("__place", F.row_number().over(Window.partitionBy(same(F.col("__name"))).orderBy(*order)))
+        asked = fixed(asked)
+        if asked.where("__place > 1").isEmpty():
+            break
+        lost, following = F.col("__place") > 1, F.coalesce(F.col("__number") + 1, F.col("__seed") + 1)
+        group = Window.partitionBy(same(F.col("__base")), lost, following).orderBy(*order)
+        now = asked.withColumn("__number", F.when(lost, following + F.row_number().over(group) - 1).otherwise(F.col("__number"))).drop("__name", "__place")
+    return drafts.drop(question).join(asked.select(*order, F.col("__name").alias(question)), order)
+
+
+def generated_questions(spark: SparkSession, chunks: DataFrame, run: str, size: int) -> DataFrame:
+    """(question_id, type, question, first_chunk, second_chunk, gold_answer): `size` questions in the usual mix, each one
+    unique: see `unique_questions`."""
     targets = {r["type"]: r["n"] for r in type_targets(spark, size).collect()}  # three rows
     parts = [question_pairs(spark, chunks, kind, targets[kind]).withColumn("__k", F.lit(k)) for k, kind in enumerate(TYPE_MIX)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    seen = F.row_number().over(Window.partitionBy(F.lower(squeezed(F.col("question")))).orderBy("__k", "idx"))
-    unique = F.when(F.col("__seen") == 1, F.col("question")).otherwise(F.concat("question", F.lit(" ("), (F.col("idx") + 1).cast("string"), F.lit(")")))
+    out = unique_questions(fixed(parts[0].unionByName(parts[1]).unionByName(parts[2])), ["__k", "idx"])
     number = F.row_number().over(Window.orderBy("__k", "idx"))  # an evaluation's bounded set
-    out = out.withColumn("__seen", seen).withColumn("question", unique).withColumn("question_id", F.concat(F.lit(f"{run}:q"), F.lpad(number.cast("string"), 4, "0")))
+    out = out.withColumn("question_id", F.concat(F.lit(f"{run}:q"), F.lpad(number.cast("string"), 4, "0")))
     return out.select("question_id", "type", "question", "first_chunk", "second_chunk", "gold_answer")
 
 
@@ -228,10 +252,29 @@ def leaderboard(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w))
 
 
+def ab_runs(run: Callable[[int], DataFrame], variants: tuple[str, str], n_runs: int = 1) -> DataFrame:
+    """(variant, score) of paired runs: for each run and question one score of either variant.
+
+    `run` gives (question_id, variant, score) of a run by its number; a question that a variant didn't score, or scored
+    with null, counts as 0 for it. Rows of other variants don't take part.
+    """
+    if n_runs < 1:
+        raise ValueError("n_runs must be at least 1")
+    out = None
+    for k in range(n_runs):
+        rows = run(k).where(F.col("variant").isin(*variants))
+        sides = rows.groupBy("question_id").agg(*[F.coalesce(F.max(F.when(F.col("variant") == v, F.col("score"))), F.lit(0.0)).alias(f"s{i}") for i, v in enumerate(variants)])
+        both = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"s{i}").cast("double").alias("score")) for i, v in enumerate(variants)])
+        pairs = sides.select(F.inline(both))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def compared(scores: DataFrame) -> DataFrame:
-    """(variant, score) of two variants: mean, population deviation, and Welch's t and degrees of freedom.
+    """(variant, score) of two variants: mean, population deviation, Welch's t, its degrees of freedom and p-value.
 
-    Repeated runs of deterministic variants add equal scores, which shrinks the error that t sees.
+    t, df and p_value are null where a variant has less than two scores, or neither varies. Repeated runs of
+    deterministic variants add equal scores, which shrinks the error that t sees.
     """
     s = scores.groupBy("variant").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.var_samp("score").alias("v"))
     names = s.agg(F.min("variant").alias("a"), F.max("variant").alias("b"))
@@ -239,6 +282,24 @@ def compared(scores: DataFrame) -> DataFrame:
     both = side("a", s).crossJoin(side("b", s))
     ea, eb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
     both = both.withColumn("t", (F.col("mean_a") - F.col("mean_b")) / F.nullif(F.sqrt(ea + eb), F.lit(0.0)))
-    both = both.withColumn("df", (ea + eb) * (ea + eb) / F.nullif(ea * ea / (F.col("n_a") - 1) + eb * eb / (F.col("n_b") - 1), F.lit(0.0)))
+    # the parts of the error, so that small variances don't vanish when squared
+    pa, pb = ea / F.nullif(ea + eb, F.lit(0.0)), eb / F.nullif(ea + eb, F.lit(0.0))
+    both = both.withColumn("df", 1 / F.nullif(pa * pa / F.nullif(F.col("n_a") - 1, F.lit(0)) + pb * pb / F.nullif(F.col("n_b") - 1, F.lit(0)), F.lit(0.0)))
     winner = F.when(F.col("mean_a") > F.col("mean_b"), F.col("variant_a")).when(F.col("mean_b") > F.col("mean_a"), F.col("variant_b"))
-    return both.withColumn("winner", winner).drop("v_a", "v_b")
+    return both.withColumn("p_value", t_test_p_value(F.col("t"), F.col("df"))).withColumn("winner", winner).drop("v_a", "v_b")
+
+
+MEANS = ("recall_at_5", "recall_at_10", "ndcg_at_5", "ndcg_at_10", "citation_precision", "faithfulness_proxy")
+
+
+def experiment_means(rows: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """(exp_id, question_id, MEANS...) to a row for each experiment with the mean of each metric, a missing value as 0.
+
+    `latency` (stage, metric_name, value) are metric rows of the experiments' timers, the stage being the exp_id: their
+    seconds, added up, are latency_ms; null where an experiment wasn't timed.
+    """
+    out = rows.groupBy("exp_id").agg(*[F.avg(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in MEANS])
+    if latency is None:
+        return out.withColumn("latency_ms", F.lit(None).cast("double"))
+    took = latency.where(F.col("metric_name").endswith(".seconds")).groupBy(F.col("stage").alias("exp_id")).agg((F.sum("value") * 1000).alias("latency_ms"))
+    return out.join(took, "exp_id", "left")
