@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import EMPTY_PAGE, document_type, first_line, page_text
+from ..functions.text import EMPTY_PAGE, document_type, first_line, is_diagram, page_text
 
 #: A parser of real PDF bytes: from a file's content to its pages' texts. None stands for "can't".
 PageParser = Callable[[bytes], list[str] | None]
@@ -87,9 +89,112 @@ def typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return found.select(*[cast(f).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of a JSON lines file; blank lines go, a line that isn't JSON is an error."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): the lines of text files, numbered from 1 in each file.
+
+    Files are read in splits. The lines of a split are numbered as they are read, and the numbers of lines in the splits
+    before it, a row each, are added. No file is read by one task alone, and no line is shuffled unless the splits are
+    too many to be broadcast.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = read.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Spark gives a task's rows rising ids, and a scan of the same files the same tasks
+    offsets = splits.select("file", "block", (F.col("first") - before).alias("shift"))
+    return read.join(offsets, ["file", "block"]).select("file", (F.col("id") - F.col("shift") + 1).alias("line_no"), "line")
+
+
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line, record, kind) of the lines that aren't blank: `record` is the line as a VARIANT, null if it
+    isn't JSON; kind is object, other (for any other JSON) or invalid."""
+    lines = numbered_lines(spark, path).where(F.length(F.trim("line", F.lit(" \t\r\x0b\f"))) > 0).withColumn("record", F.try_parse_json("line"))
+    kind = F.when(F.col("record").isNull(), "invalid").when(F.schema_of_variant("record").startswith("OBJECT"), "object").otherwise("other")
+    return lines.withColumn("kind", kind)
+
+
+def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line_no, the schema's columns): the JSON objects of JSON lines files. Blank lines and JSON that is no object
+    go; a line that isn't JSON is an error that names its file and number. No file is no row."""
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    ddl = ddl if ddl.lower().startswith("struct<") else StructType.fromDDL(ddl).simpleString()
+    if not _exists(spark, path):
+        return spark.createDataFrame([], StructType.fromDDL("file string, line_no long")).select("*", F.from_json(F.lit("{}"), ddl).alias("r")).select("file", "line_no", "r.*")
+    broken = F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(" at line "), F.col("line_no").cast("string")))
+    rows = parsed_lines(spark, path).where(F.when(F.col("kind") == "invalid", broken).otherwise(F.col("kind") == "object"))
+    return rows.select("file", "line_no", F.from_json("line", ddl).alias("r")).select("file", "line_no", "r.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, or one that a pattern matches."""
+    fs, where = _file_system(spark, path)
+    return bool(fs.globStatus(where))
+
+
+#: Rows of an array that are decoded at a time.
+NPY_ROWS = 4096
+
+
+def npy_rows(found: DataFrame, element: str | None = None) -> DataFrame:
+    """(path, content) of `.npy` files to (path, row_idx, embedding): the rows of each two-dimensional array.
+
+    A file's header says its type and shape; then rows are taken from its bytes in ranges, so beside the content only one
+    range is decoded at a time. The element type is the arrays' own, float or double, unless one is given; arrays of
+    different types need it given. Anything but a matrix of numbers is an error. A file must fit in one row, 2 GB.
+    """
+    if element is None:
+        kinds = [r[0] for r in found.select(F.regexp_extract(F.substring("content", 1, 512).cast("string"), r"'descr':\s*'([^']+)'", 1)).distinct().limit(3).collect()]
+        if len(kinds) > 1:
+            raise ValueError(f"arrays of different types: {kinds}")
+        element = {"f4": "float", "f8": "double", "i4": "int", "i8": "bigint"}.get(kinds[0][1:], "double") if kinds else "double"
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                head = io.BytesIO(content[: 1 << 16])
+                version = np.lib.format.read_magic(head)
+                shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+                if len(shape) != 2 or kind.kind not in "fiu":
+                    raise ValueError(f"{path} holds no matrix of numbers: {kind}, {shape}")
+                flat = np.frombuffer(content, kind, shape[0] * shape[1], head.tell())
+                matrix = flat.reshape(shape, order="F" if by_column else "C")
+                for at in range(0, shape[0], NPY_ROWS):
+                    part = matrix[at : at + NPY_ROWS]
+                    yield pd.DataFrame({"path": path, "row_idx": np.arange(at, at + len(part)), "embedding": list(part)})
+
+    return found.select("path", "content").mapInPandas(rows, f"path string, row_idx long, embedding array<{element}>")
+
+
+#: A parser of images: from a file's content to its pages' images, each a mapping with name, x0, top, x1, bottom, width, height.
+ImageParser = Callable[[bytes], list[list[dict]]]
+
+
+def image_boxes(found: DataFrame, parser: ImageParser) -> DataFrame:
+    """(path, content) to (path, page_num, image_idx, name, x0, y0, x1, y1, width, height, area) of every image.
+
+    Pages and their images are numbered from 1. What is no number counts as 0, and an image without a name is called
+    img_<page>_<number>. A null content, and a file without images, has no rows.
+    """
+
+    def number(value: object) -> float:
+        try:
+            return float(value) if isinstance(value, int | float | str) else 0.0
+        except ValueError:
+            return 0.0
+
+    @F.udtf(returnType="page_num int, image_idx int, name string, x0 double, y0 double, x1 double, y1 double, width double, height double, area double")
+    class Boxes:
+        def eval(self, content: bytes):
+            for page, images in enumerate(parser(bytes(content)) if content is not None else [], 1):
+                for k, image in enumerate(images, 1):
+                    at = [number(image.get(c)) for c in ("x0", "top", "x1", "bottom", "width", "height")]
+                    yield page, k, str(image.get("name", f"img_{page}_{k}")), *at, at[4] * at[5]
+
+    return found.select("path", "content").lateralJoin(Boxes(F.col("content").outer())).drop("content")
+
+
+def diagrams(boxes: DataFrame, least: float = 100, most_ratio: float = 8.0) -> DataFrame:
+    """Those images that are large and not too narrow to be diagrams."""
+    return boxes.where(is_diagram(F.col("width"), F.col("height"), least, most_ratio))
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
