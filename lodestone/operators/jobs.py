@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_text, section_of, snippet
 from ..sources.files import documents
-from . import answer, chunking, cleaning, evaluate, graph, retrieval, vectors
+from . import answer, chunking, cleaning, evaluate, graph, retrieval, store, vectors
 
 REPEATED = 0.7
 GUIDED = "pmbok"
 #: Names of the built-in hashed embedding; anything else is a model of the caller's.
-HASHED = ("local", "local-hash", "local_hash")
+HASHED = store.HASHED_PROVIDERS
 
 
 class Ingested(NamedTuple):
@@ -115,6 +115,23 @@ def retrieved(questions: DataFrame, chunks: DataFrame, mode: str, k: int, built:
     return both.select(*columns).unionByName(alone.join(some, "question_id", "left_anti"))
 
 
+def vector_query(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, k: int, provider: str = "local_hash", model: str = "hash", dimensions: int = vectors.DIMENSIONS) -> DataFrame:
+    """(question_id, rank, score, chunk_id, doc_id, page, section): the k chunks nearest to each question by the stored
+    vectors, ties to the smaller row_idx. k below 1 counts as 1.
+
+    The index is held against its chunks and the settings in the query's own plan: where its metadata mix providers,
+    models or dimensions, its rows are misnumbered or name unknown chunks, or the settings name another provider, model
+    or dimension, the query fails with what is wrong.
+    """
+    if provider_of(provider) != "local_hash":
+        raise ValueError(f"questions of provider {provider} are embedded by its model: search their vectors")
+    asked = store.guarded(questions.select("question_id", "question"), store.index_problem(embeddings, chunks, provider_of(provider), model, dimensions))
+    asked = asked.select("question_id", vectors.dense_embedding(F.col("question"), dimensions).alias("query"))
+    rows = store.aligned(embeddings.select("row_idx", "chunk_id", "embedding"), chunks.select("chunk_id", "doc_id", "page", "section"))
+    hits = vectors.cosine_search(asked, rows.select("row_idx", "embedding"), k)
+    return hits.join(rows.drop("embedding"), "row_idx").select("question_id", "rank", "score", "chunk_id", "doc_id", "page", "section")
+
+
 def answered(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int = 8, built: Graph | None = None, replies: DataFrame | None = None, candidates: int = 30, max_sentences: int = 3) -> DataFrame:
     """(question_id, answer_text, citations): grounded answers. With a model's replies (question_id, raw), of which each
     ranks its question's candidates anew, the first k of that order count. A question without hits says so."""

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
 from .vectors import broadcast_if_small, top_k
 
+#: What a reranking model is told before the question.
+RERANK_HEAD = (
+    "Order the candidates below by how well they answer the question, the best first.",
+    'Reply with one JSON object and nothing else: {"ranked_chunk_ids": [...]}, with each chunk_id once.',
+)
+
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question_id, question) and (chunk_id, chunk_text) to (question_id, rank, chunk_id, score), by Jaccard.
@@ -62,25 +71,88 @@ def widened(hits: DataFrame, mode: str) -> DataFrame:
     return hits.withColumn("vector_score", F.col("score") if mode == "vector" else zero).withColumn("graph_score", F.col("score") if mode == "graph" else zero)
 
 
-def reranked(hits: DataFrame, replies: DataFrame) -> DataFrame:
-    """(question_id, chunk_id, rank, …) in the order that a model's raw reply (question_id, raw) names.
+#: Characters of a candidate's text in a prompt.
+PROMPT_TEXT = 320
+#: A model's client: from a prompt to its raw reply. What it raises is kept as that question's error.
+Client = Callable[[str], str]
+
 
-    The reply is a JSON object with ranked_chunk_ids. Unknown ids and repeats are left out, hits that it doesn't name
-    follow in their old order. status: ok, partial_ids, invalid_json, invalid_schema or no_candidates.
+def rerank_prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, prompt): what a model is asked to rank a question's hits (…, doc_id, page, section) by.
+
+    The head is fixed; then comes a JSON object for each hit with the beginning of its text, and the form of the reply.
+    A hit whose chunk is gone has an empty text.
+    """
+    text = F.translate(F.trim(F.coalesce("chunk_text", F.lit("")), F.lit(" \t\r\n")), "\n", " ")
+    cut = F.when(F.length(text) > PROMPT_TEXT, F.concat(F.substring(text, 1, PROMPT_TEXT), F.lit("..."))).otherwise(text)
+    seen = hits.join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left")
+    line = F.to_json(F.struct("chunk_id", *[c for c in ("doc_id", "page", "section", "score") if c in hits.columns], cut.alias("text")), {"ignoreNullFields": "false"})
+    listed = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"), "chunk_id")))  # the candidates of one question
+    asked = seen.groupBy("question_id").agg(listed.alias("c")).join(questions.select("question_id", "question"), "question_id")
+    form = F.to_json(F.struct(F.col("c.chunk_id").alias("ranked_chunk_ids")))
+    parts = [*map(F.lit, RERANK_HEAD), F.concat(F.lit("Question: "), "question"), F.lit("Candidates:"), F.array_join("c.line", "\n"), form]
+    return asked.select("question_id", F.concat_ws("\n", *parts).alias("prompt"))
+
+
+def replies_of(prompts: DataFrame, client: Client) -> DataFrame:
+    """(question_id, prompt) to (question_id, raw, error, prompt_hash): each prompt goes to the client once, in a task; a
+    prompt that it fails on has an error and no reply, and the others go on."""
+    kind = prompts.schema["question_id"].dataType.simpleString()
+
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            raw, error = [], []
+            for prompt in frame["prompt"]:
+                try:
+                    said = client(prompt)
+                    raw.append(said if isinstance(said, str) else None)
+                    error.append(None if isinstance(said, str) else "the reply is no text")
+                except Exception as e:  # whatever a client raises becomes a row
+                    raw.append(None)
+                    error.append(str(e) or type(e).__name__)
+            yield pd.DataFrame({"question_id": frame["question_id"], "raw": raw, "error": error})
+
+    out = prompts.select("question_id", "prompt").mapInPandas(asked, f"question_id {kind}, raw string, error string")
+    return out.join(prompts.select("question_id", F.sha1("prompt").alias("prompt_hash")), "question_id")
+
+
+def parsed_replies(hits: DataFrame, replies: DataFrame) -> DataFrame:
+    """(question_id, known, status) of replies (question_id, raw and, if there is one, error).
+
+    A reply is a JSON object with ranked_chunk_ids alone, a list of at least one text. `known` are those among the
+    question's hits, each once. status: no_candidates without hits; client_error; invalid_json; invalid_schema;
+    partial_ids where ids that aren't hits were left out; ok otherwise, also if some hits aren't named.
     """
-    named = F.from_json("raw", "struct<ranked_chunk_ids:array<string>>")
-    parsed = replies.select("question_id", "raw", named.alias("r"), F.get_json_object("raw", "$").alias("json"))
-    ids = parsed.select("question_id", "json", F.array_distinct(F.filter("r.ranked_chunk_ids", lambda x: x.isNotNull())).alias("ids"))
+    json, error = F.try_parse_json("raw"), F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    members = F.try_variant_get(json, "$.ranked_chunk_ids", "array<variant>")
+    texts = F.coalesce(F.forall(members, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))), F.lit(False))
+    fits = texts & (F.size(members) > 0) & (F.coalesce(F.size(F.json_object_keys("raw")), F.lit(0)) == 1)
+    ids = replies.select("question_id", error.alias("error"), json.isNotNull().alias("is_json"), fits.alias("fits"), F.try_variant_get(json, "$.ranked_chunk_ids", "array<string>").alias("ids"))
     have = hits.groupBy("question_id").agg(F.collect_set("chunk_id").alias("have"))  # the candidates of one question
-    both = ids.join(have, "question_id", "left").withColumn("known", F.filter("ids", lambda x: F.array_contains("have", x)))
+    both = ids.join(have, "question_id", "left")
+    known = F.when(F.col("fits"), F.array_distinct(F.filter("ids", lambda x: F.array_contains("have", x))))
     status = (
         F.when(F.col("have").isNull(), "no_candidates")
-        .when(F.col("json").isNull(), "invalid_json")
-        .when(F.col("ids").isNull(), "invalid_schema")
-        .when((F.size("known") < F.size("have")) | (F.size("known") < F.size("ids")), "partial_ids")
+        .when(F.col("error").isNotNull(), "client_error")
+        .when(~F.col("is_json"), "invalid_json")
+        .when(~F.col("fits"), "invalid_schema")
+        .when(F.exists("ids", lambda x: ~F.array_contains("have", x)), "partial_ids")
         .otherwise("ok")
     )
-    both = both.select("question_id", F.coalesce("known", F.array().cast("array<string>")).alias("known"), status.alias("status"))
+    return both.select("question_id", F.coalesce(known, F.array().cast("array<string>")).alias("known"), status.alias("status"))
+
+
+def reranked(hits: DataFrame, replies: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, rank, …, status): hits in the order that their question's reply names; see `parsed_replies`.
+
+    Hits that it doesn't name follow in their old order; all do where the reply can't be used, or there is none (null).
+    """
     at = F.array_position("known", F.col("chunk_id"))
-    out = hits.join(both, "question_id", "left").withColumn("__at", F.when(F.coalesce(at, F.lit(0)) > 0, at))
+    out = hits.join(parsed_replies(hits, replies), "question_id", "left").withColumn("__at", F.when(F.coalesce(at, F.lit(0)) > 0, at))
     return renumbered(out, F.col("__at").asc_nulls_last(), F.col("rank")).drop("__at", "known")
+
+
+def rerank_trace(hits: DataFrame, replies: DataFrame, model: str, candidates: int) -> DataFrame:
+    """(question_id, model, candidate_k, parse_status, prompt_hash, raw_output, error), a row for each reply."""
+    said = parsed_replies(hits, replies).select("question_id", "status").join(replies, "question_id")
+    return said.select("question_id", F.lit(model).alias("model"), F.lit(candidates).alias("candidate_k"), F.col("status").alias("parse_status"), "prompt_hash", F.col("raw").alias("raw_output"), "error")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Providers whose vectors any dimension can be had of.
+HASHED_PROVIDERS = ("local", "local-hash", "local_hash")
+
 
 def additions(new: DataFrame, existing: DataFrame, content: str, order: Column) -> DataFrame:
     """The rows of `new` whose content digest the store hasn't, the first of each digest in the order given."""
@@ -44,11 +47,16 @@ def document_removed(doc_id, documents: DataFrame, pages: DataFrame, chunks: Dat
 
 
 def aligned(meta: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks with their embedding rows. An embedding row without a chunk is an error."""
-    lost = meta.join(chunks.select("chunk_id"), "chunk_id", "left_anti").limit(1).count()
-    if lost:
-        raise ValueError("an embedding row names a chunk that there isn't")
-    return meta.join(chunks, "chunk_id")
+    """Embedding rows with their chunks, a row for each of `meta`; in the order of row_idx when sorted by it.
+
+    Of chunks with one chunk_id the last in the order of their other columns counts. An embedding row that names a chunk
+    that there isn't fails the query that reads it, by a check in its plan.
+    """
+    others = [c for c in chunks.columns if c != "chunk_id"]
+    once = chunks.groupBy("chunk_id").agg(F.max(F.struct(F.lit(1).alias("__is"), *others)).alias("__c"))
+    lost = F.raise_error(F.concat(F.lit("embedding metadata names an unknown chunk_id: "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null"))))
+    found = meta.join(once, "chunk_id", "left").where(F.when(F.col("__c").isNull(), lost).otherwise(True))
+    return found.select(*meta.columns, *[F.col(f"__c.{c}").alias(c) for c in others if c not in meta.columns])
 
 
 def kept_sets(runs: DataFrame, keep: DataFrame, keep_latest: int = 3) -> DataFrame:
@@ -90,7 +98,36 @@ def integrity(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     return out
 
 
-def doctor(rows: DataFrame) -> DataFrame:
-    """(name, found, valid) to the checks' status and how many there are of each."""
-    status = F.when(~F.col("found"), "missing").when(F.col("valid"), "valid").otherwise("invalid")
-    return rows.withColumn("status", status)
+def index_problem(embeddings: DataFrame, chunks: DataFrame, provider: str | None = None, model: str | None = None, dim: int | None = None) -> DataFrame:
+    """One row (problem): what is wrong with an index (row_idx, chunk_id, embedding, provider, embedding_model, dim) over
+    its chunks, and with what the settings say of it; null if nothing is. One aggregate over each table."""
+    name = lambda c: F.lower(F.trim(c)) if c == "provider" else F.trim(c)
+    mixed = {c: (F.min(name(c)).alias(f"least_{c}"), F.max(name(c)).alias(f"most_{c}")) for c in ("provider", "embedding_model")}
+    facts = embeddings.agg(
+        F.count("*").alias("rows"), F.count_distinct("row_idx").alias("places"), F.min("row_idx").alias("least_row"), F.max("row_idx").alias("most_row"),
+        F.min("dim").alias("least_dim"), F.max("dim").alias("most_dim"), F.min(F.size("embedding")).alias("least_size"), F.max(F.size("embedding")).alias("most_size"),
+        *[x for pair in mixed.values() for x in pair],
+    )
+    facts = facts.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # one row and one row
+    c = F.col
+    differs = lambda found, said: F.lit(False) if said is None else found != F.lit(said)
+    of = lambda what, found, said: F.concat(F.lit(f"embedding {what} mismatch between settings and index: {said} != "), found.cast("string"))
+    hashed = c("least_provider").isin(*HASHED_PROVIDERS)
+    problem = (
+        F.when((c("rows") == 0) | (c("chunks") == 0), "missing chunks or embedding metadata")
+        .when(c("least_provider") != c("most_provider"), "embedding metadata mixes multiple providers")
+        .when(c("least_embedding_model") != c("most_embedding_model"), "embedding metadata mixes multiple embedding models")
+        .when(c("least_dim") != c("most_dim"), "embedding metadata mixes multiple dimensions")
+        .when((c("places") != c("rows")) | (c("least_row") != 0) | (c("most_row") != c("rows") - 1), "embedding rows aren't numbered from 0 without gaps")
+        .when((c("least_size") != c("least_dim")) | (c("most_size") != c("least_dim")), "embedding matrix dimension does not match metadata")
+        .when(differs(c("least_provider"), provider and provider.strip().lower()), of("provider", c("least_provider"), provider))
+        .when(differs(c("least_embedding_model"), model and model.strip()), of("model", c("least_embedding_model"), model))
+        .when(hashed & differs(c("least_dim"), dim), of("dimension", c("least_dim"), dim))
+    )
+    return facts.select(problem.alias("problem"))
+
+
+def guarded(rows: DataFrame, problem: DataFrame) -> DataFrame:
+    """The same rows; a query that reads any of them fails where the one row (problem) names a problem."""
+    checked = rows.crossJoin(F.broadcast(problem.withColumnRenamed("problem", "__problem")))  # of one row
+    return checked.where(F.when(F.col("__problem").isNotNull(), F.raise_error(F.col("__problem"))).otherwise(True)).drop("__problem")

@@ -89,7 +89,7 @@ def typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return found.select(*[cast(f).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line): the lines of text files, numbered from 1 in each file.
 
     Files are read in splits. The lines of a split are numbered as they are read, and the numbers of lines in the splits
@@ -104,7 +104,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return read.join(offsets, ["file", "block"]).select("file", (F.col("id") - F.col("shift") + 1).alias("line_no"), "line")
 
 
-def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+def parsed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line, record, kind) of the lines that aren't blank: `record` is the line as a VARIANT, null if it
     isn't JSON; kind is object, other (for any other JSON) or invalid."""
     lines = numbered_lines(spark, path).where(F.length(F.trim("line", F.lit(" \t\r\x0b\f"))) > 0).withColumn("record", F.try_parse_json("line"))
@@ -126,7 +126,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, or one that a pattern matches."""
-    fs, where = _file_system(spark, path)
+    fs, where = file_system(spark, path)
     return bool(fs.globStatus(where))
 
 
@@ -199,7 +199,7 @@ def diagrams(boxes: DataFrame, least: float = 100, most_ratio: float = 8.0) -> D
 
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A Parquet table as declared; no rows where there is no such table."""
-    return typed(spark, path, schema) if _file_system(spark, path)[0].exists(_file_system(spark, path)[1]) else spark.createDataFrame([], schema)
+    return typed(spark, path, schema) if file_system(spark, path)[0].exists(file_system(spark, path)[1]) else spark.createDataFrame([], schema)
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -228,14 +228,15 @@ def mapping(path: str) -> dict:
     return found or {}
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system that a path is in, and the path as it knows it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def newest_run(spark: SparkSession, root: str, holding: str = "chunks.parquet") -> str | None:
     """The run under `root` that holds the table and changed last, ties by name; None if there is none."""
-    fs, top = _file_system(spark, root)
+    fs, top = file_system(spark, root)
     changed = [(-fs.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, n)).getModificationTime(), n) for n in run_names(spark, root, holding)]
     return min(changed)[1] if changed else None
 

@@ -41,6 +41,9 @@ def test_rerank(spark):
     order = lambda raw: [(r["chunk_id"], r["status"]) for r in retrieval.reranked(hits, reply(raw)).orderBy("rank").collect()]
     assert order('{"ranked_chunk_ids": ["c2", "unknown", "c2"]}') == [(c, "partial_ids") for c in ("c2", "c1", "c3")]
     assert order('{"ranked_chunk_ids": ["c3", "c1", "c2"]}') == [(c, "ok") for c in ("c3", "c1", "c2")]
+    assert order('{"ranked_chunk_ids": ["c3"]}') == [(c, "ok") for c in ("c3", "c1", "c2")]
+    for raw in ('{"ranked_chunk_ids": []}', '{"ranked_chunk_ids": [1]}', '{"ranked_chunk_ids": ["c1"], "more": 1}', "[]", '{"ranked_chunk_ids": null}'):
+        assert order(raw) == [(c, "invalid_schema") for c in ("c1", "c2", "c3")]
     assert order("not json")[0] == ("c1", "invalid_json") and order('{"x": 1}')[0] == ("c1", "invalid_schema")
 
 

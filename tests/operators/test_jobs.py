@@ -106,8 +106,10 @@ def test_life_of_a_store(spark, tmp_path):
     left = store.document_removed("d1", docs, docs, chunks, meta)
     assert rows(left[2]) == [("d2", "b")] and rows(left[3].select("chunk_id", "row_idx")) == [("b", 0)]
     assert store.aligned(meta, chunks).count() == 2
-    with pytest.raises(ValueError):
-        store.aligned(meta, chunks.where("doc_id = 'd1'"))
+    with pytest.raises(Exception, match="unknown chunk_id: b"):
+        store.aligned(meta, chunks.where("doc_id = 'd1'")).count()
+    twice = chunks.unionByName(spark.createDataFrame([("d0", "a"), ("d3", "a")], "doc_id string, chunk_id string"))
+    assert [tuple(r) for r in store.aligned(meta, twice).orderBy("row_idx").collect()] == [("a", 0, "d3"), ("b", 1, "d2")]
 
 
 def test_heading_without_cased_letters(spark):
