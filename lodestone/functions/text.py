@@ -48,6 +48,21 @@ def containment(part: Column, whole: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(part, whole)) / F.nullif(F.size(part), F.lit(0)), F.lit(0.0))
 
 
+#: All white space, and what ends a line.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.trim(text, F.lit(WHITE))
+
+
+def line_list(text: Column) -> Column:
+    """The lines of a text, whichever way they end; one empty line for an empty text."""
+    return F.split(text, LINE_END)
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -126,19 +141,19 @@ def snippet(text: Column, most: int = 280) -> Column:
 
 def is_boilerplate(line: Column) -> Column:
     """Running heads, page numbers and lines of less than two characters."""
-    s = F.trim(line)
+    s = stripped(line)
     return (F.length(s) < 2) | s.rlike(r"^\d+$") | s.rlike("(?i)" + "|".join(f"(?:{p})" for p in BOILERPLATE))
 
 
 def page_text(text: Column) -> Column:
     """A page's lines, stripped, without blank ones and boilerplate."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~is_boilerplate(x))
+    lines = F.filter(F.transform(line_list(F.coalesce(text, F.lit(""))), stripped), lambda x: (x != "") & ~is_boilerplate(x))
     return bound(F.array_join(lines, "\n"), lambda t: F.when(t == "", EMPTY_PAGE).otherwise(t))
 
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, stripped; null if there is none."""
-    return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(line_list(text), stripped), lambda x: x != ""), F.lit(0))
 
 
 def section_of(text: Column) -> Column:

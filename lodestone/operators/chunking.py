@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, cross_references, jaccard, sentences, token_set, words
+from ..functions.text import bound, cross_references, jaccard, line_list, sentences, stripped, token_set, words
 
 STRATEGIES = ("fixed", "heading_recursive", "sentence_window", "semantic_breakpoint")
 EMPTY = "(empty)"
@@ -23,20 +23,26 @@ def is_heading(line: Column) -> Column:
 
     A line without cased letters, such as a number or a Japanese one, counts as title-cased.
     """
-    s = F.trim(line)
+    s = stripped(line)
     title = ~s.rlike(r"(?<![\p{Lu}\p{Ll}\p{Lt}])\p{Ll}") & ~s.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]\p{Lu}")
     return (s != "") & (F.length(s) <= 90) & (s.startswith("#") | (title & (F.size(F.split(s, r"(?U)\s+")) <= 8)))
 
 
 def heading_blocks(text: Column) -> Column:
-    """The text cut before each heading: each block's lines stripped and joined by blanks."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    start = F.array().cast("array<string>")
-    last = lambda at: F.element_at(at, -1)
-    add = lambda at, x: F.when(is_heading(x) | (F.size(at) == 0), F.concat(at, F.array(x))).otherwise(
-        F.concat(F.slice(at, 1, F.size(at) - 1), F.array(F.concat(last(at), F.lit(" "), x)))
-    )
-    return bound(F.aggregate(lines, start, add), lambda b: F.when(F.size(b) == 0, F.array(F.coalesce(text, F.lit("")))).otherwise(b))
+    """The text cut before each heading: each block's lines stripped and joined by blanks; a text without a line is one
+    block as it is.
+
+    Where blocks begin is found first; then each is joined once from its stretch of lines.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.transform(line_list(whole), stripped), lambda x: x != "")
+
+    def cut(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda x, k: F.when(is_heading(x) | (k == 0), k)), lambda k: k.isNotNull())
+        end = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(rows))
+        return bound(starts, lambda at: F.transform(at, lambda first, j: F.array_join(F.slice(rows, first + 1, end(at, j) - first), " ")))
+
+    return bound(lines, lambda rows: F.when(F.size(rows) == 0, F.array(whole)).otherwise(cut(rows)))
 
 
 def sentence_windows(text: Column, size: int) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import EMPTY_PAGE, roman_or_arabic
+from ..functions.text import EMPTY_PAGE, line_list, roman_or_arabic, stripped
 
 
 def numbered_lines(pages: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, pos, line): every line of the text, stripped."""
-    return pages.select(*key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    """(key…, pos, line): every line of the text, stripped, whichever way it ends."""
+    return pages.select(*key, F.posexplode(line_list(F.col("text"))).alias("pos", "line")).withColumn("line", stripped(F.col("line")))
 
 
 def without_repeated_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page", threshold: float = 0.7) -> DataFrame:
@@ -45,11 +45,11 @@ LINES_A_PAGE = 1 << 32
 def contents_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, text) to (doc_id, pos, line) of each document's contents: the first page with their heading among
     its first ten lines, and the 29 pages after it. Documents without such a page have none."""
-    heading = F.exists(F.slice(F.split("text", "\n"), 1, 10), lambda x: F.trim(x, F.lit(" \t\r\x0b\f")).rlike(CONTENTS_HEADING))
+    heading = F.exists(F.slice(line_list(F.col("text")), 1, 10), lambda x: stripped(x).rlike(CONTENTS_HEADING))
     first = pages.where(heading).groupBy("doc_id").agg(F.min("page").alias("__first"))
     near = pages.join(first, "doc_id").where(F.col("page").between(F.col("__first"), F.col("__first") + CONTENTS_PAGES - 1))
-    lines = near.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.select("doc_id", (F.col("page").cast("long") * LINES_A_PAGE + F.col("n")).alias("pos"), F.trim("line", F.lit(" \t\r\x0b\f")).alias("line"))
+    lines = near.select("doc_id", "page", F.posexplode(line_list(F.col("text"))).alias("n", "line"))
+    return lines.select("doc_id", (F.col("page").cast("long") * LINES_A_PAGE + F.col("n")).alias("pos"), stripped(F.col("line")).alias("line"))
 
 
 def contents_entries(lines: DataFrame) -> DataFrame:
@@ -74,13 +74,26 @@ def contents(pages: DataFrame) -> DataFrame:
     return page_sections(entries.join(last, "doc_id"), F.col("last_page"))
 
 
-def contents_paths(entries: DataFrame) -> DataFrame:
-    """Adds path: the titles from the top level down, by the nearest earlier entry of a lower level."""
+def contents_paths(entries: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """Adds path: the titles from the top level down, by the nearest earlier entry of a lower level.
+
+    Of each level the last entry before a row is carried along the order of a document. It is on the row's path if its
+    level is lower than the row's and it comes after the last entries of all lower levels. A row costs as many steps as
+    there are levels, however many entries come before it. The levels are looked up unless they are given.
+    """
+    if levels is None:
+        levels = sorted(r["level"] for r in entries.select("level").distinct().collect())  # as many as numbers have parts
+    if not levels:
+        return entries.withColumn("path", F.lit(None).cast("string"))
     order = Window.partitionBy("doc_id").orderBy("page", "pos")
-    before = F.collect_list(F.struct("level", "title")).over(order.rowsBetween(Window.unboundedPreceding, -1))  # one contents table
-    start = F.struct(F.col("level").alias("level"), F.col("title").alias("path"))
-    up = lambda at, e: F.when(e["level"] < at["level"], F.struct(e["level"].alias("level"), F.concat(e["title"], F.lit(" / "), at["path"]).alias("path"))).otherwise(at)
-    return entries.withColumn("path", F.aggregate(F.reverse(before), start, up)["path"])
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = entries.withColumn("__at", F.row_number().over(order))
+    last = [F.last(F.when(F.col("level") == n, F.struct(F.lit(n).alias("level"), "__at", "title")), ignorenulls=True).over(before) for n in levels]
+    rows = rows.withColumn("__last", F.array(*last))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("titles"))
+    on = lambda at, e: F.when(e.isNotNull() & (e["__at"] > at["at"]), F.struct(e["__at"].alias("at"), F.concat(at["titles"], F.array(e["title"])).alias("titles"))).otherwise(at)
+    above = F.aggregate(F.filter("__last", lambda e: e["level"] < F.col("level")), start, on, lambda at: at["titles"])
+    return rows.withColumn("path", F.array_join(F.concat(above, F.array("title")), " / ")).drop("__at", "__last")
 
 
 def page_sections(entries: DataFrame, last_page: Column) -> DataFrame:
@@ -162,7 +175,7 @@ def markdown_sections(lines: DataFrame) -> DataFrame:
     marked = marked.withColumn("section_no", F.count("level").over(Window.partitionBy("doc_id").orderBy("pos"))).where("section_no > 0")
     body = F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("pos", "line", "level"))), lambda x: x["level"].isNull()), lambda x: x["line"]), "\n")
     out = marked.groupBy("doc_id", "section_no").agg(F.max("level").alias("level"), F.max(F.when(F.col("level").isNotNull(), F.trim(F.regexp_extract("line", heading, 2)))).alias("title"), body.alias("content"))
-    paths = contents_paths(out.select("doc_id", F.col("section_no").alias("pos"), F.lit(0).alias("page"), "level", "title"))
+    paths = contents_paths(out.select("doc_id", F.col("section_no").alias("pos"), F.lit(0).alias("page"), "level", "title"), [1, 2, 3, 4, 5, 6])
     return out.join(paths.select("doc_id", F.col("pos").alias("section_no"), "path"), ["doc_id", "section_no"]).withColumn("content", F.trim("content", F.lit(" \t\r\n")))
 
 
