@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.files import FILE_SCHEMA, PageParser, described, raw_pages
+from ..sources.shared import fixed
 from ..sources.stores import Manifest, Store
 from . import chunking, jobs
-from .evaluate import fixed
+from .observability import Log, Metrics
 from .store import realigned
 from .vectors import DIMENSIONS
 
@@ -46,13 +49,35 @@ def index_of(embeddings: DataFrame) -> tuple[str, str, int] | None:
     return None if row["provider_0"] is None else tuple(row[f"{c}_0"] for c in names)
 
 
-def add(store: Store, found: DataFrame, parser: PageParser | None = None, strategy: str | None = None, mark: tuple[str, int] | None = None, dimensions: int = DIMENSIONS, **sizes) -> Added:
+@contextmanager
+def stage(name: str, metrics: Metrics | None, log: Log | None) -> Iterator[dict[str, float]]:
+    """Writes a stage's seconds, and the counts that are put into what it yields, to `metrics`, and its start and end to
+    `log`; after an error too."""
+    counts: dict[str, float] = {}
+    if log:
+        log.info(name, "start")
+    with metrics.timer(name) if metrics else nullcontext() as inside:
+        try:
+            yield counts
+        except Exception as error:
+            if log:
+                log.error(name, "failed", error=str(error)[:2000])
+            raise
+        if inside:
+            for c, n in counts.items():
+                inside.counter(c, n)
+    if log:
+        log.info(name, "complete", **{c.split(".")[0]: n for c, n in counts.items()})
+
+
+def add(store: Store, found: DataFrame, parser: PageParser | None = None, strategy: str | None = None, mark: tuple[str, int] | None = None, dimensions: int = DIMENSIONS, metrics: Metrics | None = None, log: Log | None = None, **sizes) -> Added:
     """Files (path, content, ...) become rows of the store's documents, pages, chunks and embeddings, by one commit.
 
     A file whose content the store has, or an earlier path of `found` has, is skipped and counted. The strategy is that
     of the chunks that there are, else the one given. New embeddings go on with the numbers, model and dimensions of
     those that there are; where chunks have none yet, all are embedded. With a mark (source, number) an addition that
-    has been made is not made again. What fails before the commit leaves the store as it was.
+    has been made is not made again. What fails before the commit leaves the store as it was. The stages ingest,
+    chunking and index_vector are timed, counted and logged where `metrics` and `log` are given.
     """
     before = store.manifest()
     if mark and before.marks.get(mark[0], -1) >= mark[1]:
@@ -66,23 +91,29 @@ def add(store: Store, found: DataFrame, parser: PageParser | None = None, strate
             store.commit(before, {}, marks)
         return Added(skipped_duplicates=total)
     chosen = described(found).join(fresh, ["path", "sha256"], "left_semi")
-    raw = fixed(raw_pages(chosen, parser))
-    old_chunks = store.table("chunks", before)
-    strategy = strategy or "heading_recursive"
-    out = jobs.ingested(chosen, raw, chunking.strategy_of(old_chunks) if before.rows("chunks") else strategy, **sizes)
-    parts = {"documents": store.part("documents", out.documents), "pages": store.part("pages", out.pages), "chunks": store.part("chunks", out.chunks)}
-    chunks = store.of_part("chunks", parts["chunks"])
-    known = index_of(store.table("embeddings", before)) if before.rows("embeddings") else None
-    if known and before.rows("embeddings") != before.rows("chunks"):
-        raise ValueError("embeddings and chunks of the store differ in number")
-    if known:
-        if jobs.provider_of(known[0]) != "local_hash":
+    old_chunks, parts = store.table("chunks", before), {}
+    strategy = chunking.strategy_of(old_chunks) if before.rows("chunks") else strategy or "heading_recursive"
+    with stage("ingest", metrics, log) as counts:
+        raw = fixed(raw_pages(chosen, parser))
+        out = jobs.ingested(chosen, raw, strategy, **sizes)
+        parts |= {t: store.part(t, df) for t, df in (("documents", out.documents), ("pages", out.pages))}
+        counts |= {"documents.count": new, "pages.count": parts["pages"]["rows"], "duplicates.count": total - new}
+    with stage("chunking", metrics, log) as counts:
+        parts["chunks"] = store.part("chunks", out.chunks)
+        counts |= {"chunks.count": parts["chunks"]["rows"]}
+    with stage("index_vector", metrics, log) as counts:
+        chunks = store.of_part("chunks", parts["chunks"])
+        known = index_of(store.table("embeddings", before)) if before.rows("embeddings") else None
+        if known and before.rows("embeddings") != before.rows("chunks"):
+            raise ValueError("embeddings and chunks of the store differ in number")
+        if known and jobs.provider_of(known[0]) != "local_hash":
             raise ValueError(f"the store's embeddings are of provider {known[0]}; its model must embed the new chunks")
-        rows = jobs.index(chunks, known[1], known[2]).withColumn("row_idx", F.col("row_idx") + before.rows("embeddings"))
+        if known:
+            rows, kept = jobs.index(chunks, known[1], known[2]).withColumn("row_idx", F.col("row_idx") + before.rows("embeddings")), before.parts["embeddings"]
+        else:
+            rows, kept = jobs.index(old_chunks.unionByName(chunks), dimensions=dimensions), []
         parts["embeddings"] = store.part("embeddings", rows)
-        kept = before.parts["embeddings"]
-    else:
-        parts["embeddings"], kept = store.part("embeddings", jobs.index(old_chunks.unionByName(chunks), dimensions=dimensions)), []
+        counts |= {"chunks.indexed": parts["embeddings"]["rows"]}
     tables = {t: [*(kept if t == "embeddings" else before.parts.get(t, [])), p] for t, p in parts.items()}
     after = store.commit(before, tables, marks)
     if any(len(p) > MOST_PARTS for p in after.parts.values()):
@@ -143,7 +174,7 @@ def received(spark: SparkSession, folder: str, uploads: list[tuple[str, object]]
     return paths
 
 
-def counts(store: Store, manifest: Manifest | None = None) -> dict[str, int]:
+def row_counts(store: Store, manifest: Manifest | None = None) -> dict[str, int]:
     """Rows of each table, from the manifest alone."""
     manifest = manifest or store.manifest()
     return {t: manifest.rows(t) for t in store.schemas}

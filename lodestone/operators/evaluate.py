@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import t_test_p_value
 from ..functions.text import excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
+from ..sources.shared import fixed
 from .retrieval import fused
 from .vectors import top_k
 
@@ -119,18 +120,6 @@ def pair_index(idx: Column, count: Column, stride: int) -> Column:
     return F.when(count == 1, F.lit(0)).otherwise(F.pmod(idx + offset * stride, count))
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in a checkpoint: what a lost executor held isn't dealt anew. Where the session names no
-    folder for it, a local one gets one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(where or "file:///tmp/lodestone-shared")
-    return df.checkpoint()
-
-
 def numbered(chunks: DataFrame) -> DataFrame:
     """Chunks with their place, from 0, in the order of doc_id, page, section, chunk_id.
 

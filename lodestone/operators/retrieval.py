@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
+from ..sources.shared import fixed
 from .vectors import broadcast_if_small, top_k
 
 #: What a reranking model is told before the question.
@@ -156,3 +157,14 @@ def rerank_trace(hits: DataFrame, replies: DataFrame, model: str, candidates: in
     """(question_id, model, candidate_k, parse_status, prompt_hash, raw_output, error), a row for each reply."""
     said = parsed_replies(hits, replies).select("question_id", "status").join(replies, "question_id")
     return said.select("question_id", F.lit(model).alias("model"), F.lit(candidates).alias("candidate_k"), F.col("status").alias("parse_status"), "prompt_hash", F.col("raw").alias("raw_output"), "error")
+
+
+def rerank(questions: DataFrame, hits: DataFrame, chunks: DataFrame, client: Client) -> tuple[DataFrame, DataFrame]:
+    """A question's hits in the order that a model gives them, and (question_id, status, error) of every question.
+
+    Each question with hits is one prompt; the replies are fixed, so no prompt goes to the client again.
+    """
+    replies = fixed(replies_of(rerank_prompts(questions, hits, chunks), client))
+    said = parsed_replies(hits, replies).select("question_id", "status").join(replies.select("question_id", "error"), "question_id")
+    statuses = questions.select("question_id").join(said, "question_id", "left").withColumn("status", F.coalesce("status", F.lit("no_candidates")))
+    return reranked(hits, replies), statuses

@@ -70,7 +70,8 @@ def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
 
     Few questions are broadcast after being counted, and vectors stay where they are. With more, vectors are dealt into
     blocks, each of which meets all questions, so that many questions don't land in one task. Either way the k best of
-    a task are taken before the shuffle. Vectors of unlike sizes don't meet. Ties go to the smaller row_idx.
+    a task are taken before the shuffle. Vectors of unlike sizes don't meet. Scores are rounded to nine digits, so that
+    equal angles tie however they were summed; ties go to the smaller row_idx.
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     block = F.pmod(F.xxhash64("row_idx"), F.lit(BLOCKS)).cast("int")
@@ -82,7 +83,7 @@ def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     else:
         asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
         pairs = rows.join(asked, (rows["block"] == asked["block"]) & (F.size("query") == F.size("embedding")))
-    score = dot(F.col("query"), F.col("embedding")) / F.greatest(F.col("qn") * F.col("vn"), F.lit(LEAST_NORM))
+    score = F.round(dot(F.col("query"), F.col("embedding")) / F.greatest(F.col("qn") * F.col("vn"), F.lit(LEAST_NORM)), 9)
     return top_k(pairs.select("question_id", "row_idx", score.alias("score")), k, order=[F.col("row_idx")])
 
 

@@ -3,7 +3,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import additions
+from lodestone.operators import additions, observability
 from lodestone.sources import files, stores
 
 
@@ -64,6 +64,20 @@ def test_what_fails_half_way_leaves_the_store(spark, incoming, tmp_path, monkeyp
     assert all(stores.readable(store, t) for t in stores.TABLES)
 
 
+def test_stages_are_timed_counted_and_logged(spark, incoming, tmp_path, monkeypatch):
+    store, metrics, log = stores.Store(spark, str(tmp_path / "s")), observability.Metrics(spark, "run", str(tmp_path / "m")), observability.Log(spark, "run", str(tmp_path / "l"))
+    additions.add(store, files.files(spark, str(incoming)), dimensions=8, metrics=metrics, log=log)
+    got = {(r["stage"], r["metric_name"]): r["value"] for r in observability.metric_rows(spark, metrics.path).collect()}
+    assert got["ingest", "documents.count"] == 2 and got["ingest", "duplicates.count"] == 1 and got["chunking", "chunks.count"] == got["index_vector", "chunks.indexed"] == 3
+    assert all(got[s, f"{s}.seconds"] > 0 for s in ("ingest", "chunking", "index_vector"))
+    monkeypatch.setattr(store, "part", lambda *given: 1 / 0)
+    file_of(incoming, "d.pdf", "Another one")
+    with pytest.raises(ZeroDivisionError):
+        additions.add(store, files.files(spark, str(incoming)), metrics=metrics, log=log)
+    events = [(r["level"], r["stage"], r["event"]) for r in observability.log_rows(spark, log.path).orderBy("timestamp").collect()]
+    assert events == [("info", s, e) for s in ("ingest", "chunking", "index_vector") for e in ("start", "complete")] + [("info", "ingest", "start"), ("error", "ingest", "failed")]
+
+
 def test_two_changes_at_once(spark, incoming, tmp_path):
     store = stores.Store(spark, str(tmp_path / "s"))
     before = store.manifest()
@@ -101,7 +115,7 @@ def test_removal_numbers_anew(spark, incoming, tmp_path):
     doc = store.table("documents").where("n_pages = 2").first()["doc_id"]
     assert additions.remove(store, doc) and not additions.remove(store, doc)
     assert [len(x) for x in state(store)] == [1, 1, 1, 1] and state(store)[3][0][0] == 0
-    assert additions.counts(store) == {t: 1 for t in stores.TABLES}
+    assert additions.row_counts(store) == {t: 1 for t in stores.TABLES}
 
 
 def test_embeddings_of_two_models(spark, incoming, tmp_path):
