@@ -66,11 +66,6 @@ def q17_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_fused(spark, sf_dir, asked(spark, sf_dir))
 
 
-@query()
-def q17b_hybrid_every_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_fused(spark, sf_dir, asked(spark, sf_dir, every=True))
-
-
 def graph_fused(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
     t = found(spark, sf_dir)
     lexical = retrieval.lexical_search(q, v.sentences(spark, sf_dir), 8).withColumn("score", F.round("score", 9))

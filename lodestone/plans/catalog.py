@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, build_queries, graph_queries, job_queries, search_queries, store_queries  # noqa: F401
+from . import answer_queries, build_queries, engine_queries, graph_queries, job_queries, search_queries, store_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -56,7 +56,7 @@ def q13_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASKED = """asked AS (SELECT s_suppkey AS question_id, 'What ' || p_name || ' ' || lower(p_type) || ' has?' AS question
-  FROM supplier JOIN part ON s_suppkey = p_partkey WHERE s_suppkey <= 10)"""
+  FROM supplier JOIN part ON s_suppkey = p_partkey)"""
 WALK = f"""{TRIPLES}, {ASKED},
 qt AS (SELECT DISTINCT question_id, unnest({v.tokens("question")}) AS t FROM asked),
 nt AS (SELECT DISTINCT node_id, canonical_name, unnest({v.tokens("canonical_name")}) AS t FROM nodes),
@@ -72,9 +72,9 @@ graph_hits AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION
 """
 
 
-def asked(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """A question for each of the first ten suppliers, as in ASKED, or for every supplier."""
-    s = v.table(spark, sf_dir, "supplier").where("true" if every else "s_suppkey <= 10")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every supplier, as in ASKED."""
+    s = v.table(spark, sf_dir, "supplier")
     text = F.concat(F.lit("What "), F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" has?"))
     return s.join(v.table(spark, sf_dir, "part"), F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("question_id"), text.alias("question"))
 
@@ -91,18 +91,6 @@ def q15_graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_search(asked(spark, sf_dir), graph.nodes(t), graph.edges(t), 8).withColumn("score", F.round("score", 6))
 
 
-@query()
-def q14b_bfs_edges_every_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = found(spark, sf_dir)
-    return graph.walked(asked(spark, sf_dir, every=True), graph.nodes(t), graph.edges(t), 2)
-
-
-@query()
-def q15c_graph_hits_every_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = found(spark, sf_dir)
-    return graph.graph_search(asked(spark, sf_dir, every=True), graph.nodes(t), graph.edges(t), 8).withColumn("score", F.round("score", 6))
-
-
 @query(f"WITH {TRIPLES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM (SELECT DISTINCT chunk_id, node_id FROM ends)) AS mentions")
 def q15b_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = found(spark, sf_dir)

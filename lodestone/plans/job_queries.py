@@ -18,8 +18,10 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOILERPLATE = "(?i)(" + "|".join(f"({p.replace('(?:®)?', '®?')})" for p in t.BOILERPLATE).replace("(?:", "(") + ")"
-PAGES = rf"""
-r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id, page_id AS page, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages),
+RAW_PAGES = r"""
+r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS doc_id, page_id AS page, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages)"""
+#: What becomes of raw pages `r` (doc_id, page, text): the table `p`.
+CLEANED_PAGES = rf"""
 l AS (SELECT doc_id, page, i, trim(x) AS x FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM r)),
 k AS (SELECT * FROM l WHERE length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '{BOILERPLATE}')
       UNION ALL SELECT doc_id, page, 0, '(empty page)' FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = r.doc_id AND l.page = r.page AND length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '{BOILERPLATE}'))),
@@ -30,6 +32,7 @@ p AS (SELECT r.doc_id, r.page, coalesce(c.text, '(empty page)') AS text,
       CASE WHEN c.text IS NULL OR c.text = '(empty page)' THEN 'Section'
            ELSE coalesce(nullif(substr(trim(regexp_replace(c.first, '(?i)^section\s+\d+[.:\-]?\s*', ''), ' :-'), 1, 120), ''), 'Section') END AS section
       FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND c.page = r.page)"""
+PAGES = f"{RAW_PAGES}, {CLEANED_PAGES}"
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page, section, text FROM p")

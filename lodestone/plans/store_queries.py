@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import retrieval, store
+from ..operators import doctor, observability, retrieval, store
+from ..sources.shared import shared_folder
 from ..streaming import metrics
 from . import views as v
 from .registry import query
@@ -64,25 +67,31 @@ def q47_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def q48_metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = v.table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    rows = v.table(spark, sf_dir, "events").select(F.lit("run").alias("run_id"), F.col("event_type").alias("stage"), F.lit("value").alias("metric_name"), "value")
+    return observability.rolled_up(rows).select("stage", "n", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
 
 
-@query("SELECT event_id, len(json_keys(props)) AS fields FROM events")
+@query("""
+SELECT event_id, event_type AS stage, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'info' END AS level, len(json_keys(props)) AS fields,
+       CASE WHEN event_id % 5 = 0 THEN round(value, 6) END AS value FROM events""")
 def q49_log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys("props")).cast("long").alias("fields"))
+    """Log rows of unlike fields, written by two appends and read back."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    events = v.table(spark, sf_dir, "events").withColumns({"timestamp": F.col("ts").cast("string"), "run_id": F.lit("run"), "stage": F.col("event_type"), "event": F.col("event_id").cast("string")})
+    observability.logged(events.where("event_id % 5 <> 0").withColumn("level", F.lit("info")), path, "props")
+    more = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.when(F.size(F.json_object_keys("props")) > 0, ", ").otherwise(""), F.lit('"__value": '), F.col("value").cast("string"), F.lit("}"))
+    observability.logged(events.where("event_id % 5 = 0").withColumns({"level": F.lit("error"), "props": more}), path, "props")
+    rows = observability.log_rows(spark, path)
+    value = F.try_variant_get("record", "$.__value", "double")
+    fields = F.size(F.json_object_keys(F.to_json("record"))) - len(observability.LOG) - F.when(value.isNotNull(), 1).otherwise(0)
+    return rows.select(F.col("event").cast("long").alias("event_id"), "stage", "level", fields.cast("long").alias("fields"), F.round(value, 6).alias("value"))
 
 
 @query("""
 WITH h AS (SELECT o_custkey AS question_id, o_orderkey::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank,
-                  count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey <= 200)
-SELECT question_id, chunk_id, (CASE WHEN rank = n THEN 1 ELSE rank + 1 END)::INT AS rank, CASE WHEN n > 1 THEN 'partial_ids' ELSE 'partial_ids' END AS status FROM h""")
+                  count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT question_id, chunk_id, (CASE WHEN rank = n THEN 1 ELSE rank + 1 END)::INT AS rank, 'partial_ids' AS status FROM h""")
 def q50_rerank_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked_orders(v.table(spark, sf_dir, "orders").where("o_custkey <= 200"))
-
-
-@query()
-def q50b_rerank_parse_every_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked_orders(v.table(spark, sf_dir, "orders"))
 
 
@@ -105,17 +114,35 @@ def q51_judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_acctbal > 0 THEN 'valid' ELSE 'invalid' END AS status FROM supplier""")
+SELECT 'nation' || n_nationkey AS name,
+       CASE WHEN n_nationkey % 5 = 0 THEN 'missing' WHEN n_nationkey % 5 = 1 OR n = 0 THEN 'invalid' WHEN n_nationkey % 5 = 2 AND bad > 0 THEN 'invalid' ELSE 'valid' END AS status,
+       CASE WHEN n_nationkey % 5 = 0 THEN 'Missing required file: nation=' || n_nationkey || '.' WHEN n_nationkey % 5 = 1 OR n = 0 THEN 'File is empty.'
+            WHEN n_nationkey % 5 = 2 AND bad > 0 THEN 'Row ' || first || ' is missing non-empty `citations`.' ELSE 'Validated ' || n || ' answer row(s) with required fields.' END AS message
+FROM nation JOIN (
+  SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_custkey % 7 = 0) AS bad, min(i) FILTER (c_custkey % 7 = 0) AS first
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer) GROUP BY 1) ON c_nationkey = n_nationkey""")
 def q52_doctor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 5 != 0).alias("found"), (F.col("s_acctbal") > 0).alias("valid"))
-    return store.doctor(rows).select("name", "status")
+    """Files of answers, one for each nation with its customers as answers: some are missing, some blank, and in some an
+    answer lacks its citations. A blank line stands before each answer."""
+    path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    key = F.col("c_nationkey")
+    answer = F.to_json(F.struct(F.col("c_name").alias("answer_text"), F.when((key % 5 == 2) & (F.col("c_custkey") % 7 == 0), F.array().cast("array<string>")).otherwise(F.array("c_name")).alias("citations")))
+    line = F.when(key % 5 == 1, " ").otherwise(F.concat(F.lit("\n"), answer))
+    rows = v.table(spark, sf_dir, "customer").where(key % 5 != 0).select(key.alias("nation"), "c_custkey", line.alias("value"))
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(path)
+    nations = [r[0] for r in v.table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # 25 files
+    return doctor.checked(spark, [doctor.Wanted(f"nation{n}", f"{path}/nation={n}", "answers") for n in nations]).select("name", "status", "message")
 
 
 @query("""
-SELECT 'unknown_chunk' AS "check", (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS bad
-UNION ALL SELECT 'repeated_chunk', 0 UNION ALL SELECT 'mixed_provider', 0 UNION ALL SELECT 'mixed_embedding_model', 0 UNION ALL SELECT 'mixed_dim', 0""")
+WITH m AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'other' ELSE 'local' END AS provider, 'm' || doc_id % 4 AS model, 256 + doc_id % 2 AS dim FROM documents)
+SELECT 'unknown_chunk' AS "check", (SELECT count(*) FROM m WHERE doc_id % 50 = 0) AS bad
+UNION ALL SELECT 'repeated_chunk', (SELECT count(*) FROM m WHERE doc_id % 20 = 1)
+UNION ALL SELECT 'mixed_provider', count(DISTINCT provider) - 1 FROM m UNION ALL SELECT 'mixed_embedding_model', count(DISTINCT model) - 1 FROM m UNION ALL SELECT 'mixed_dim', count(DISTINCT dim) - 1 FROM m""")
 def q53_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.integrity(v.chunks(spark, sf_dir).where("doc_id % 50 <> 0"), meta(spark, sf_dir))
+    chunks = v.chunks(spark, sf_dir).where("doc_id % 50 <> 0")
+    rows = meta(spark, sf_dir).withColumns({"provider": F.when(F.col("row_idx") % 9 == 0, "other").otherwise(F.col("provider")), "embedding_model": F.concat(F.lit("m"), (F.col("row_idx") % 4).cast("string")), "dim": 256 + F.col("row_idx") % 2})
+    return store.integrity(chunks.unionByName(chunks.where("doc_id % 20 = 1")), rows)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
