@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, cross_references, jaccard, line_list, sentences, stripped, token_set, words
@@ -87,6 +87,22 @@ def markdown_windows(text: Column, size: int, overlap: int) -> Column:
     return bound(words(text), lambda w: F.when(F.size(w) <= size, F.array(text)).otherwise(every(w)))
 
 
+def markdown_chunks(sections: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """Sections (doc_id, section_no, level, path, content) to (doc_id, chunk_id, section_path, section_level, chunk_text).
+
+    A section of at most `size` words is one chunk as it is, a longer one is cut into windows; sections without a word
+    have none. chunk_id is chunk_<number>, of at least six digits: chunks are numbered from 0 through each document, in
+    its order. Only the counts of a document's sections stand in its window, not their texts.
+    """
+    parts = sections.where(F.size(words(F.col("content"))) > 0).withColumn("__parts", markdown_windows(F.col("content"), size, overlap))
+    order = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("doc_id", "section_no", F.size("__parts").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0)))
+    cut = parts.join(before, ["doc_id", "section_no"]).select("doc_id", "path", "level", "__before", F.posexplode("__parts").alias("__k", "chunk_text"))
+    number = (F.col("__before") + F.col("__k")).cast("string")
+    name = F.concat(F.lit("chunk_"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")))
+    return cut.select("doc_id", name.alias("chunk_id"), F.col("path").alias("section_path"), F.col("level").alias("section_level"), "chunk_text")
+
+
 def chunk_pages(pages: DataFrame, strategy: str = "heading_recursive", size: int = 512, overlap: int = 50, window: int = 3, breakpoint: float = 0.2) -> DataFrame:
     """Adds chunk_no (from 1 in each page row), chunk_id and chunk_text; text goes."""
     text = F.col("text")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import additions, cleaning, evaluate, jobs, observability, retrieval
-from ..sources import files, stores
+from ..operators import additions, chunking, cleaning, evaluate, jobs, observability, retrieval
+from ..sources import files, sinks, stores
 from ..sources.shared import fixed, shared_folder
 from . import views as v
 from .job_queries import CLEANED_PAGES
@@ -254,3 +254,48 @@ def q75_sections_and_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("See exhibit 77, Table\t"), size, F.lit("."), (F.col("p_partkey") % 3).cast("string"), F.lit(".1 and figure "), number, F.lit(".2; Chapter  "), size, F.lit(", section "), size, F.lit(" again. TABLE 9, sections 4 and tables are none."))
     # they come by kind: sections, chapters, figures, tables, exhibits
     return p.select("p_partkey", t.section_of(F.concat(F.lit("\t\r\n "), head, F.lit("\t\r\nnext line"))).alias("section"), F.array_join(t.cross_references(said), ",").alias("refs"))
+
+
+@query(f"""
+WITH r AS (SELECT 'd' || doc_id AS doc_id, 1 AS page, coalesce(text, '') AS text FROM documents), {CLEANED_PAGES},
+w AS (SELECT doc_id, section, {v.words("text")} AS w FROM p),
+ch AS (SELECT doc_id, section, doc_id || '-p1-fixed-c' || (s // 462 + 1) AS chunk_id, CASE WHEN len(w) = 0 THEN '(empty)' ELSE array_to_string(w[s + 1:s + 512], ' ') END AS chunk_text
+       FROM (SELECT *, unnest(range(0, greatest(len(w), 1), 462)) AS s FROM w)),
+qs AS (SELECT item_id AS question_id, text AS question, list_distinct({v.tokens("text")}) AS a FROM benchmark),
+cs AS (SELECT *, list_distinct({v.tokens("chunk_text")}) AS b FROM ch),
+sc AS (SELECT question_id, question, doc_id, section, chunk_id, chunk_text, len(list_intersect(a, b)) AS inter, len(a) AS n1, len(b) AS n2 FROM qs, cs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN n1 + n2 - inter = 0 THEN 0 ELSE inter::DOUBLE / (n1 + n2 - inter) END DESC, chunk_id) AS rank FROM sc)
+SELECT question_id, 'For ''' || question || ''', the source states: ' || CASE WHEN length(chunk_text) > 280 THEN substr(chunk_text, 1, 277) || '...' ELSE chunk_text END AS answer_text,
+       chunk_id, doc_id, 1 AS page, section FROM rk WHERE rank = 1""")
+def q76_smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw pages to an answer with one citation for each question."""
+    raw = v.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("parsed"))
+    return jobs.smoke(v.questions(spark, sf_dir), raw)
+
+
+@query("""
+WITH s AS (SELECT c_nationkey AS doc_id, c_custkey % 7 AS section_no, string_agg(c_name, ' ' ORDER BY c_custkey) AS content, list(c_name ORDER BY c_custkey) AS w FROM customer WHERE c_custkey % 7 <> 3 GROUP BY ALL),
+k AS (SELECT doc_id, section_no, content, w, unnest(CASE WHEN len(w) <= 4 THEN [0] ELSE range(0, len(w) - 1, 3) END) AS s FROM s)
+SELECT doc_id, 'chunk_' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY section_no, s) - 1)::VARCHAR, 6, '0') AS chunk_id, 'Part ' || section_no AS section_path, 2 AS section_level,
+       CASE WHEN len(w) <= 4 THEN content ELSE array_to_string(w[s + 1:s + 4], ' ') END AS chunk_text FROM k""")
+def q77_markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each nation's sections, which hold its customers' names; one section is blank."""
+    c = v.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id"), (F.col("c_custkey") % 7).alias("section_no"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", F.regexp_replace("c_name", " ", "_").alias("c_name")))), lambda x: x["c_name"]), " ")
+    sections = c.agg(names.alias("names")).withColumns({"content": F.when(F.col("section_no") == 3, " \n").otherwise(F.col("names")), "path": F.concat(F.lit("Part "), F.col("section_no").cast("string")), "level": F.lit(2)})
+    return chunking.markdown_chunks(sections, 4, 1)
+
+
+@query("""
+SELECT 'run' || n_nationkey AS run_id, CASE WHEN n_nationkey % 7 = 0 THEN 'retained' ELSE 'deleted' END AS state FROM nation UNION ALL SELECT 'no such run', 'missing'""")
+def q78_old_runs_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the nations' suppliers, written and then removed but for those to be kept."""
+    root = folder(spark, "runs")
+    nation = v.table(spark, sf_dir, "nation").select(F.concat(F.lit("run"), F.col("n_nationkey").cast("string")).alias("run"), "n_nationkey")
+    rows = nation.join(v.table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("run", "s_name")
+    rows.write.partitionBy("run").parquet(root)
+    for part in files.run_names(spark, root, "."):  # Spark names a part's folder run=<run>
+        fs, path = files.file_system(spark, f"{root}/{part}")
+        fs.rename(path, files.file_system(spark, f"{root}/{part.removeprefix('run=')}")[1])
+    keep = [f"run{n}" for n in range(0, 25, 7)] + ["no such run"]
+    return sinks.runs_removed(spark, root, 0, keep, dry_run=False).select("run_id", "state")

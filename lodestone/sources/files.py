@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
 import numpy as np
@@ -251,39 +251,124 @@ def run_names(spark: SparkSession, root: str, holding: str = "chunks.parquet") -
     return sorted(s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory() and fs.exists(hadoop.Path(s.getPath(), holding)))
 
 
+def resolved_source(spark: SparkSession, run_id: str, config: dict, root: str, holding: str = "chunks.parquet") -> str:
+    """The folder that a run's chunks are taken from, by the first of these that says so.
+
+    The configuration's source_run_id, a run under `root`; its source_artifact_dir; the first of its source_artifacts that
+    has the run, or else any run, of which the last changed one; the run itself under `root`; the run there that changed
+    last. The first two are taken as they are; of the others only folders that hold the table count. None is an error.
+    """
+    name = lambda key: config[key].strip() if isinstance(config.get(key), str) and config[key].strip() else None
+    base = root.rstrip("/")
+    if name("source_run_id"):
+        return f"{base}/{name('source_run_id')}"
+    if name("source_artifact_dir"):
+        return name("source_artifact_dir")
+    listed = config.get("source_artifacts")
+    for top in [x.rstrip("/") for x in listed if isinstance(x, str)] if isinstance(listed, list) else []:
+        if _exists(spark, f"{top}/{run_id}/{holding}"):
+            return f"{top}/{run_id}"
+        if newest := newest_run(spark, top, holding):
+            return f"{top}/{newest}"
+    if _exists(spark, f"{base}/{run_id}/{holding}"):
+        return f"{base}/{run_id}"
+    if newest := newest_run(spark, base, holding):
+        return f"{base}/{newest}"
+    raise FileNotFoundError(f"no run under {root} holds {holding}: set source_run_id or source_artifact_dir")
+
+
+def resolved_questions(spark: SparkSession, run_id: str, config: dict, root: str, given: str | None = None) -> str:
+    """The file of a run's questions: the one given, the configuration's dataset_path or questions_path, or the last by
+    name of the run's questions_*.jsonl. None is an error."""
+    for value in (given, config.get("dataset_path"), config.get("questions_path")):
+        if isinstance(value, str) and value.strip():
+            return value.strip()
+    fs, where = file_system(spark, f"{root.rstrip('/')}/{run_id}/questions_*.jsonl")
+    found = sorted(s.getPath().toString() for s in fs.globStatus(where) or [])
+    if not found:
+        raise FileNotFoundError(f"no questions for {run_id}: set dataset_path or generate some")
+    return found[-1]
+
+
+TRUE, FALSE = ("1", "true", "t", "yes", "y", "on"), ("0", "false", "f", "no", "n", "off")
+
+
+def _within(least: float | None = None, most: float | None = None, above: float | None = None, one_of: tuple = (), default: object = None):
+    return field(default=default, metadata={"least": least, "most": most, "above": above, "one_of": one_of})
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a run can be set to; each value from a file, an environment variable LODESTONE_<NAME>, or the caller."""
 
     artifact_root: str = "artifacts"
+    log_level: str = "INFO"
     chunk_strategy: str = "heading_recursive"
-    chunk_size: int = 512
-    chunk_overlap: int = 50
-    embedding_provider: str = "local"
-    embedding_dim: int = 256
-    top_k: int = 8
-    rerank_candidates: int = 30
-    graph_depth: int = 2
-    vector_weight: float = 0.6
-    graph_weight: float = 0.4
+    chunk_size: int = _within(20, default=512)
+    chunk_overlap: int = _within(0, default=50)
+    sentence_window: int = _within(1, default=5)
+    breakpoint: float = _within(0, 1, default=0.2)
+    embedding_provider: str = _within(one_of=("local", "local_hash", "ollama"), default="local")
+    embedding_model: str = _within(one_of=("+",), default="hash")
+    embedding_dim: int = _within(8, default=256)
+    model_url: str = _within(one_of=("+",), default="http://localhost:11434")
+    model_timeout: float = _within(above=0, default=30.0)
+    model_key: str = ""
+    top_k: int = _within(1, default=8)
     reranker_enabled: bool = False
+    reranker_model: str = _within(one_of=("+",), default="llama3:8b")
+    rerank_candidates: int = _within(1, default=30)
+    answer_local: bool = False
+    answer_model: str = _within(one_of=("+",), default="llama3")
+    answer_temperature: float = _within(0, 2, default=0.2)
+    answer_tokens: int = _within(1, default=512)
+    answer_sentences: int = _within(1, default=6)
+    graph_depth: int = _within(1, default=2)
+    vector_weight: float = _within(0, default=0.6)
+    graph_weight: float = _within(0, default=0.4)
+    support_lexical: float = _within(0, default=0.7)
+    support_hit: float = _within(0, default=0.3)
+    support_floor: float = _within(0, default=0.001)
+
+
+def _typed(f, value: object) -> object:
+    """A setting's value in its type and range; anything else is an error that names the setting."""
+    kind = type(f.default)
+    wrong = ValueError(f"{f.name}: {value!r} is no {kind.__name__} that it can be")
+    if kind is bool:
+        word = str(value).strip().lower()
+        if word not in TRUE + FALSE:
+            raise wrong
+        return word in TRUE
+    if isinstance(value, bool) or (kind is int and isinstance(value, float) and value != int(value)):
+        raise wrong
+    try:
+        out = kind(value.strip() if isinstance(value, str) and kind is not str else value)
+    except (TypeError, ValueError):
+        raise wrong from None
+    m = f.metadata
+    outside = [(m.get("least"), lambda x: out < x), (m.get("most"), lambda x: out > x), (m.get("above"), lambda x: out <= x)]
+    if any(x is not None and bad(x) for x, bad in outside):
+        raise wrong
+    if m.get("one_of") and (not out.strip() if m["one_of"] == ("+",) else out not in m["one_of"]):
+        raise wrong
+    return out
 
 
 def settings(path: str | None = None, **given) -> Settings:
-    """Defaults, then the YAML file, then the environment, then what is given."""
-    out = Settings()
-    layers = []
-    if path:
+    """Defaults, then the YAML file, then the environment, then what is given.
+
+    A file that isn't there, or holds no mapping, says nothing; nor does an environment variable that is empty, or a
+    given None. A name that is no setting, and a value that isn't of its setting's kind or range, is an error.
+    """
+    layers: list[dict] = []
+    if path and Path(path).exists():
         import yaml
 
-        layers.append(yaml.safe_load(Path(path).read_text()) or {})
-    layers += [{f.name: v for f in fields(Settings) if (v := os.environ.get(f"LODESTONE_{f.name.upper()}")) is not None}, given]
-    for layer in layers:
-        for f in fields(Settings):
-            if layer.get(f.name) is None:
-                continue
-            kind, value = type(getattr(out, f.name)), layer[f.name]
-            if kind is bool and isinstance(value, str):
-                value = value.strip().lower() in ("1", "true", "yes", "on")
-            out = replace(out, **{f.name: kind(value)})
-    return out
+        loaded = yaml.safe_load(Path(path).read_text())
+        layers.append(loaded if isinstance(loaded, dict) else {})
+    layers += [{f.name: v for f in fields(Settings) if (v := os.environ.get(f"LODESTONE_{f.name.upper()}"))}, given]
+    merged = {k: v for layer in layers for k, v in layer.items() if v is not None}
+    if unknown := set(merged) - {f.name for f in fields(Settings)}:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return replace(Settings(), **{f.name: _typed(f, merged[f.name]) for f in fields(Settings) if f.name in merged})

@@ -90,3 +90,81 @@ def report(rows: DataFrame, title: str, most: int = 1000) -> str:
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in names]), F.lit(" |"))
     body = [r[0] for r in rows.select(line).limit(most).collect()]
     return "\n".join([f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *body])
+
+
+def runs_removed(spark: SparkSession, root: str, keep_latest: int = 3, keep: list[str] | None = None, dry_run: bool = True) -> DataFrame:
+    """(run_id, state, path, message) of the folders under `root` and of the runs to be kept.
+
+    state: retained for the latest by time of change, ties by name, and those named in `keep`; missing for a name that
+    no folder has; and for the others candidate, which a dry run leaves at that, deleted, or failed with why. No folder
+    at `root` is no run; a `root` that is no folder is an error.
+    """
+    from ..operators.store import kept_sets
+    from .files import file_system
+
+    if keep_latest < 0:
+        raise ValueError("keep_latest must not be negative")
+    fs, top = file_system(spark, root)
+    if fs.exists(top) and not fs.getFileStatus(top).isDirectory():
+        raise NotADirectoryError(root)
+    found = {s.getPath().getName(): s for s in (fs.listStatus(top) if fs.exists(top) else []) if s.isDirectory()}
+    runs = spark.createDataFrame([(n, s.getModificationTime()) for n, s in found.items()], "run_id string, mtime long")
+    states = kept_sets(runs, spark.createDataFrame([(n,) for n in keep or []], "run_id string"), keep_latest).collect()  # a row a folder
+    out = []
+    for run_id, state in states:
+        path, message = (found[run_id].getPath() if run_id in found else None), None
+        if state == "removable":
+            state = "candidate"
+            if not dry_run:
+                try:
+                    state = "deleted" if fs.delete(path, True) else "failed"
+                    message = None if state == "deleted" else "it could not be deleted"
+                except Exception as error:  # one that can't be deleted doesn't keep the others
+                    state, message = "failed", str(error)[:500]
+        out.append((run_id, state, path.toString() if path else None, message))
+    return spark.createDataFrame(out, "run_id string, state string, path string, message string")
+
+
+def written_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file with a text, in place of what was there."""
+    from .files import file_system
+
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def leaderboard_report(rows: DataFrame, run_id: str) -> str:
+    """A Markdown leaderboard of a matrix's results: by nDCG and recall at 10, the best first, then by latency. Missing
+    numbers count as 0; no row is an error. The matrix is a bounded grid."""
+    numbers = {"nDCG@10": "ndcg_at_10", "Recall@10": "recall_at_10", "Citation Precision": "citation_precision", "Faithfulness": "faithfulness_proxy", "Latency (ms)": "latency_ms"}
+    value = {c: F.coalesce(F.col(c).cast("double") if c in rows.columns else F.lit(None).cast("double"), F.lit(0.0)) for c in numbers.values()}
+    order = [F.desc("ndcg_at_10"), F.desc("recall_at_10"), "latency_ms", "exp_id"]
+    ranked = rows.select("exp_id", *[x.alias(c) for c, x in value.items()]).orderBy(*order).collect()
+    if not ranked:
+        raise ValueError("no results to report")
+    body = [f"| {k} | {r['exp_id']} | " + " | ".join(f"{r[c]:.2f}" if c == "latency_ms" else f"{r[c]:.4f}" for c in numbers.values()) + " |" for k, r in enumerate(ranked, 1)]
+    head = ["# Experiment leaderboard", "", f"Run: `{run_id}`", "Primary metric: `nDCG@10`", ""]
+    return "\n".join([*head, "| Rank | Experiment | " + " | ".join(numbers) + " |", "|---:|---|" + "---:|" * len(numbers), *body, ""])
+
+
+def ab_report(result: DataFrame, metric: str) -> str:
+    """A Markdown summary of one comparison of `evaluate.compared`; significant below 0.05."""
+    r = result.first()
+    a, b, p = r["variant_a"], r["variant_b"], r["p_value"]
+    lines = [f"# A/B test: {a} and {b}", "", f"| Metric | {a} | {b} |", "|---|---:|---:|", f"| Mean {metric} | {r['mean_a']:.4f} | {r['mean_b']:.4f} |", f"| Deviation | {r['std_a']:.4f} | {r['std_b']:.4f} |", ""]
+    lines += [f"- p-value: {'N/A' if p is None else f'{p:.4f}'}", f"- Significant (p < 0.05): {'yes' if p is not None and p < 0.05 else 'no'}", f"- Winner: {r['winner'] or 'tie'}"]
+    if r["winner"]:
+        share = abs(r["mean_a"] - r["mean_b"]) / max(r["mean_a"], r["mean_b"], 1e-8) * 100
+        lines.append(f"- The winner's {metric} is {share:.1f}% better.")
+    return "\n".join([*lines, ""])
+
+
+def demo_report(run_id: str, config: dict, metrics: dict[str, float], answer: str) -> str:
+    """A Markdown report of a demonstration: its settings and key metrics as JSON, then the answer."""
+    import json
+
+    keys = ("ndcg_at_10", "recall_at_10", "citation_precision", "faithfulness_proxy")
+    payload = {"run_id": run_id, "config": config, "key_metrics": {k: float(metrics.get(k) or 0.0) for k in keys}}
+    return "\n".join(["# Demonstration", "", "```json", json.dumps(payload, indent=2), "```", "", "## Answer", "", answer, ""])
