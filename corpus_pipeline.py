@@ -33,7 +33,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates.
 
-    Of its rows that repeat a text too, one stays: the first in the order of the other columns.
+    Of its rows that repeat a text too, one stays: the first by the JSON of the other columns.
 
     Documents without doc_id take no part and stay.
     """
@@ -43,20 +43,28 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
     if repeats:
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
-        kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others, F.lit(0).alias("__"))).alias("__own"))
+        own = F.struct(*others, F.lit(0).alias("__"))
+        kept = kept.groupBy("doc_id", "text").agg(F.min_by(own, F.to_json(own, {"ignoreNullFields": "false"})).alias("__own"))  # maps have no order
         kept = kept.select(*[F.col(f"__own.{c}" if c in others else c).alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: each document as often as it is drawn."""
+    """The mix of the sources: each document as often as it is drawn.
+
+    A null text or source counts as `mixing.mixed` says; rows that repeat a doc_id are drawn each for itself; an empty
+    frame gives an empty frame.
+    """
     own = docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns if c in ("size", "source_size", "target", "copies")})
     drawn = mixing.mixed(own.withColumn("size", n_words(F.col("text"))))
     return drawn.select(*[F.col(f"__own_{c}" if f"__own_{c}" in own.columns else c).alias(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the tokens of each document of the mix."""
+    """(doc_id, n_tokens, ids): the tokens of each document of the mix, a row for each row.
+
+    A null text is empty and has no tokens; repeated and null doc_ids keep their rows; an empty frame gives an empty frame.
+    """
     ready_for_python(spark)
     ids = bpe.encode(docs, bpe.default_vocabulary())
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
