@@ -114,7 +114,8 @@ def sigmoid(margins: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[
 def fit(labelled: DataFrame, columns: int = COLUMNS, rows: int = TRAINING_ROWS) -> Model:
     """A model from (doc_id, text, label), of which it takes `rows` rows at most: the first by a hash of doc_id.
 
-    A null label is left out. With labels of one class only, every text gets that class's share as its score.
+    These rows' n-grams come to the driver, where the model is fitted; more rows don't, also if they repeat a doc_id. A
+    null label is left out. With labels of one class only, every text gets that class's share as its score.
     """
     taken = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
@@ -123,7 +124,8 @@ def fit(labelled: DataFrame, columns: int = COLUMNS, rows: int = TRAINING_ROWS)
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "grams": [of(t).astype(np.int32).tobytes() for t in frame["text"]]})
 
-    found = sorted(taken.mapInPandas(grams, "doc_id long, label int, grams binary").toLocalIterator(), key=lambda r: (_mixed(r["doc_id"]), r["doc_id"]))
+    first = taken.mapInPandas(grams, "doc_id long, label int, grams binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "grams").limit(rows)
+    found = sorted(first.collect(), key=lambda r: (_mixed(r["doc_id"]), r["doc_id"], r["label"], bytes(r["grams"])))
     labels = np.array([r["label"] for r in found], int)
     data = [np.frombuffer(r["grams"], np.int32) for r in found]
     if len(set(labels.tolist())) < 2:

@@ -5,6 +5,8 @@ in every document and different ones stay different:
 
 * digits and ASCII letters go through a Feistel network over their characters: the halves of the string shift each
   other's characters by keyed SHA-256 numbers, each within its own class (digit, small or capital letter);
+* mail addresses are permuted without regard to case and keep theirs, so that spellings of one address stay linked;
+* social security numbers are permuted until they are valid again, and IBANs get right check digits;
 * card numbers keep separators and a right Luhn digit, addresses stay addresses (a Feistel network over two 16-bit
   halves), dates stay dates of the calendar (one over 189 x 773, the 146,097 days of 1700 to 2099). A date with slashes
   is read day first; one that is no date so but is month first stays so, as the permutation is walked on to a day over
@@ -27,12 +29,15 @@ KINDS = {
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "local_phone": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z])(?:password|passwd|secret|token|api_key)) ?[=:] ?\"?[A-Za-z0-9_+/-]{8,}+\"?",
 }
-#: Steps after which a day is sure to have come to the 13th of a month or later: each does for three in five.
+#: Steps after which a day is sure to have come to the 13th of a month or later, which each does for three in five, and a
+#: number to a valid one, which each does for nine in ten.
 WALK = 64
 
 
@@ -98,7 +103,34 @@ def _filled(form: Column, digits: Column) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     body = F.regexp_extract(m, r"^(.*)\.[A-Za-z]+$", 1)
-    return F.concat(permuted(body, key), F.substr(m, F.length(body) + 1, F.length(m)))
+
+    def cased(body: Column) -> Column:
+        cells = lambda new: F.transform(F.split(body, ""), lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substr(new, i + 1, F.lit(1)))).otherwise(F.substr(new, i + 1, F.lit(1))))
+        return bound(permuted(F.lower(body), key), lambda new: F.array_join(cells(new), ""))
+
+    return F.concat(bound(body, cased), F.substr(m, F.length(body) + 1, F.length(m)))
+
+
+def _mod_97(value: Column) -> Column:
+    """Of digits and capital letters read as a number, with A as 10 and so on."""
+    digit = lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(value, ""), F.lit(0), lambda n, c: bound(digit(c), lambda d: F.when(d > 9, n * 100 + d).otherwise(n * 10 + d) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and grouping stay; what follows the check digits is permuted, and these are made right again."""
+
+    def checked(plain: Column) -> Column:
+        country, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
+        valid = _mod_97(F.concat(rest, F.substr(plain, F.lit(1), F.lit(4)))) == 1
+        made = bound(permuted(rest, key), lambda r: F.concat(country, F.lpad((98 - _mod_97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0"), r))
+        return F.when(valid, made)
+
+    def spaced(new: Column) -> Column:
+        before = lambda i: F.length(F.replace(F.substr(m, F.lit(1), i + 1), F.lit(" "), F.lit("")))
+        return F.when(new.isNotNull(), F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, before(i), F.lit(1)))), ""))
+
+    return F.coalesce(bound(bound(F.replace(m, F.lit(" "), F.lit("")), checked), spaced), m)
 
 
 def _card(m: Column, key: str) -> Column:
@@ -116,9 +148,15 @@ def _plain(m: Column, key: str, lead: str) -> Column:
     return F.concat(first, _filled(rest, permuted(_digits(rest), key)))
 
 
+def _valid_ssn(m: Column) -> Column:
+    return ~m.rlike("^(?:000|666|9[0-9]{2})") & ~F.substr(m, F.lit(5), F.lit(2)).eqNullSafe("00") & ~F.substr(m, F.lit(8), F.lit(4)).eqNullSafe("0000")
+
+
 def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(?:000|666|9[0-9]{2})") & ~F.substr(m, F.lit(5), F.lit(2)).eqNullSafe("00") & ~F.substr(m, F.lit(8), F.lit(4)).eqNullSafe("0000")
-    return F.when(valid, _filled(m, permuted(_digits(m), key))).otherwise(m)
+    """Permuted, and again until the number is a valid one: so valid numbers are permuted among themselves."""
+    moved = lambda s: _filled(s, permuted(_digits(s), key))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(m), lambda s, _: F.when(_valid_ssn(s), s).otherwise(moved(s)))
+    return F.when(_valid_ssn(m), walked).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -168,6 +206,8 @@ def pseudonym(m: Column, key: str) -> Column:
             .when(named == "date", _date(m, k("date")))
             .when(named == "ip", _ip(m, k("ip")))
             .when(named == "phone", _plain(m, k("phone"), r"^(?:\+[0-9]{1,3})?"))
+            .when(named == "local_phone", _plain(m, k("phone"), "^"))
+            .when(named == "iban", _iban(m, k("iban")))
             .when(named == "ssn", _ssn(m, k("ssn")))
             .when(named == "card", _card(m, k("card")))
             .when(named == "access_key", F.concat(F.lit("AKIA"), permuted(F.substr(m, F.lit(5), F.lit(16)), k("access_key"))))

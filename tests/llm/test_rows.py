@@ -157,6 +157,25 @@ def test_dates_and_secrets_are_one_to_one(spark):
     assert spark.createDataFrame([("x 12/05/1850 y",)], "text string").select(F.lit(1).alias("doc_id"), "text").transform(lambda d: pii.pseudonymised(d, "k")).first()["n_found"] == 1
 
 
+def test_security_numbers_stay_valid_and_different(spark):
+    df = spark.range(20_000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 899 + 1, F.col("id") % 98 + 1, F.col("id") % 9998 + 1).alias("v")).distinct()
+    seen = df.where(pii._valid_ssn(F.col("v"))).select("v", pii.pseudonym(F.col("v"), "k").alias("p"))
+    assert seen.where(~pii._valid_ssn(F.col("p"))).count() == 0 and seen.where("v = p").count() < 3
+    assert seen.select("p").distinct().count() == seen.count() > 15_000
+
+
+def test_addresses_in_any_case_phones_and_accounts(spark):
+    given = ["Bob.Smith9@Example.com", "bob.smith9@example.COM", "BOB.SMITH9@EXAMPLE.com", "415-555-0134", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82WEST12345698765432", "GB83 WEST 1234 5698 7654 32", "1415-555-0134"]
+    df = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(given)], "doc_id long, text string")
+    out = [r["text"][2:-2] for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    one, two, three = out[:3]
+    assert one.lower() == two.lower() == three.lower() != given[0].lower() and (one[0], one[4], two[0]) == (one[0].upper(), one[4].upper(), two[0].lower()) and two.endswith(".COM")
+    assert out[3] != given[3] and re.fullmatch(r"\d{3}-\d{3}-\d{4}", out[3]) and out[8] == given[8]
+    mod = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert all(mod(x.replace(" ", "")) == 1 and x != t for x, t in zip(out[4:7], given[4:7], strict=True)) and out[7] == given[7]
+    assert out[4].replace(" ", "") == out[6] and [i for i, c in enumerate(out[4]) if c == " "] == [4, 9, 14, 19, 24] and out[5][:2] == "DE"
+
+
 def test_recall_as_shipped(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     x = np.stack([r["embedding"] for r in df.orderBy("vec_id").collect()]).astype(float)
@@ -209,6 +228,14 @@ def test_classifier(spark, docs, empty):
     edges = nbsvm.scored(docs, model).collect()
     assert len(edges) == docs.count() and all(0 <= r["score"] <= 1 for r in edges)
     assert nbsvm.scored(empty, model).count() == 0
+    sizes = []
+    whole = nbsvm.log_count_ratio
+    try:
+        nbsvm.log_count_ratio = lambda data, labels, columns: sizes.append(len(data)) or whole(data, labels, columns)
+        nbsvm.fit(df.unionByName(df), rows=40)  # rows that repeat a doc_id count too
+    finally:
+        nbsvm.log_count_ratio = whole
+    assert sizes == [int(40 * (1 - nbsvm.CALIBRATION_SHARE))]
     one = nbsvm.fit(df.where("label = 1"))
     assert nbsvm.scored(df, one).first()["score"] > 0.9
 
