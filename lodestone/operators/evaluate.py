@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import t_test_p_value
-from ..functions.text import excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
+from ..functions.text import bound, excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
 from ..sources.shared import fixed
 from .retrieval import fused
 from .vectors import top_k
@@ -82,6 +82,29 @@ def faithfulness(answers: DataFrame, trace: DataFrame, chunks: DataFrame) -> Dat
     return answers.select("question_id").join(rate, "question_id", "left").fillna(0.0, ["faithfulness"])
 
 
+#: Words in a row by which texts that hold an item are looked up.
+KEY_WORDS = 3
+
+
+def holding(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(chunk_id, chunk_text) and (question_id, question) to (question_id, chunk_id) of the chunks that hold a question's
+    whole text, as it is.
+
+    Where a text stands within another, all its words between white space but the first and the last are words of the
+    other. So the first KEY_WORDS of these are a key: chunks and items meet by an equal key, and only then is the text
+    looked for. Items with too few words have none; they are looked for in every chunk.
+    """
+    spaced = lambda text: F.split(text, r"(?U)\s+")
+    keyed = items.select("question_id", "question", spaced(F.col("question")).alias("w"))
+    long = keyed.where(F.size("w") >= KEY_WORDS + 2).select("question_id", "question", F.xxhash64(F.slice("w", 2, KEY_WORDS)).alias("key"))
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - KEY_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS))))
+    keys = chunks.select("chunk_id", F.explode(bound(spaced(F.col("chunk_text")), runs)).alias("key"))
+    met = keys.join(long.select("key", "question_id", "question"), "key").select("chunk_id", "question_id", "question")
+    found = met.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").where(F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
+    short = keyed.where(F.size("w") < KEY_WORDS + 2).select("question_id", "question")
+    return found.unionByName(chunks.join(short, F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")).distinct()
+
+
 def query_metrics(questions: DataFrame, hits: DataFrame, gold: DataFrame, trace: DataFrame, answers: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question_id, recall, ndcg, precision, faithfulness) of every question, 0 where it has no gold, citation or answer."""
     ranked = ranking_metrics(hits, gold, k, questions)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
 from ..sources.shared import fixed
-from .vectors import broadcast_if_small, top_k
+from .vectors import best_in_batches, top_k
 
 #: What a reranking model is told before the question.
 RERANK_HEAD = (
@@ -19,20 +22,44 @@ RERANK_HEAD = (
 )
 
 
+#: Cells of the table of a batch's rows and a block's tokens that are held at a time.
+CELLS = 1 << 23
+
+
 def lexical_search(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(question_id, question) and (chunk_id, chunk_text) to (question_id, rank, chunk_id, score), by Jaccard.
 
-    An inverted index: only chunks that share a token with a question meet it. The questions' tokens are broadcast after
-    being counted. Chunks that share none come after all others in the order of chunk_id, so where fewer than k share
-    one, the tail is filled from the first chunks.
+    Token sets are made in the plan; what a batch of chunks and a block of questions share is one product of tables of
+    zeros and ones: see `vectors.best_in_batches`. Chunks that share no token come after all others in the order of
+    chunk_id, so where fewer than k share one, the tail is filled from the first chunks.
     """
-    q = questions.select("question_id", token_set(F.col("question")).alias("tokens")).withColumn("qn", F.size("tokens"))
-    c = chunks.select("chunk_id", token_set(F.col("chunk_text")).alias("tokens")).withColumn("cn", F.size("tokens"))
-    left = q.select("question_id", "qn", F.explode("tokens").alias("token"))
-    right = c.select("chunk_id", "cn", F.explode("tokens").alias("token"))
-    shared = right.join(broadcast_if_small(left), "token").groupBy("question_id", "chunk_id", "qn", "cn").agg(F.count("*").alias("both"))
-    hits = shared.select("question_id", "chunk_id", (F.col("both") / (F.col("qn") + F.col("cn") - F.col("both"))).alias("score"))
-    hits = top_k(hits, k, order=[F.col("chunk_id")]).drop("rank")
+    q = questions.select("question_id", token_set(F.col("question")).alias("value"))
+    c = chunks.select("chunk_id", token_set(F.col("chunk_text")).alias("tokens"))
+
+    def prepared(values: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        known = sorted({t for v in values for t in v})
+        number = {t: n for n, t in enumerate(known)}
+        table = np.zeros((len(values), len(known)), np.float32)
+        for n, v in enumerate(values):
+            table[n, [number[t] for t in v]] = 1
+        return pa.array(known, pa.string()), table, np.array([len(v) for v in values])
+
+    def scored(state: tuple[pa.Array, np.ndarray, np.ndarray], batch: pa.RecordBatch) -> np.ndarray:
+        known, table, sizes = state
+        lists = batch.column(1)
+        length = np.diff(np.array(lists.offsets))
+        row, code = np.repeat(np.arange(len(length)), length), pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+        both, step = np.zeros((len(sizes), len(length)), np.float32), max(1, CELLS // max(1, len(known)))
+        for at in range(0, len(length), step):
+            mine = (row >= at) & (row < at + step) & (code >= 0)
+            own = np.zeros((min(step, len(length) - at), len(known)), np.float32)
+            own[row[mine] - at, code[mine]] = 1
+            both[:, at : at + step] = table @ own.T
+        shared = both.astype(np.float64)
+        union = sizes[:, None] + length[None, :] - shared
+        return np.where(shared > 0, shared / np.maximum(union, 1), -np.inf)
+
+    hits = top_k(best_in_batches(q, c, k, prepared, scored), k, order=[F.col("chunk_id")]).drop("rank")
     # a question with fewer than k hits has all its chunks among them, so of the first 2 k chunks enough are left
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     none = questions.select("question_id").crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ DIMENSIONS = 256
 LEAST_NORM = 1e-8
 #: Blocks that vectors are dealt into; each meets all questions.
 BLOCKS = 64
+#: Questions that meet all rows in one pass.
+QUESTIONS = 1024
 #: Rows of questions' tokens or weights, and bytes of their dense vectors, that are broadcast after being counted.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
@@ -87,13 +94,60 @@ def cosine_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     return top_k(pairs.select("question_id", "row_idx", score.alias("score")), k, order=[F.col("row_idx")])
 
 
-def sparse_search(questions: DataFrame, chunks: DataFrame, k: int, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(question_id, question) and (chunk_id, chunk_text) to the k chunks of largest positive cosine per question.
+def best_in_batches(questions: DataFrame, rows: DataFrame, k: int, prepared: Callable[[list], object], scored: Callable[[object, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(question_id, value) and rows (chunk_id, ...) to (question_id, chunk_id, score): candidates among which are the k best
+    of each question, ties to the smaller chunk_id.
 
-    The dot product is an equi-join on the vector index, so it costs what the vectors' non-zero entries cost. The
-    questions' weights are broadcast after being counted; chunks then stay dealt by chunk_id until the k best are known.
+    Rows stay where they are. They are read in batches, and each batch gives at most k rows for each question, so pairs
+    are neither made nor shuffled. Questions come in blocks of at most about QUESTIONS, each of which goes to all tasks:
+    `prepared` makes of a block's values what `scored` turns a batch into scores with, a row for each question and a
+    column for each of the batch's rows, and -inf where there is no hit.
     """
-    q = sparse_embedding(questions, "question_id", "question", dimensions).withColumnRenamed("weight", "q")
-    c = sparse_embedding(chunks, "chunk_id", "chunk_text", dimensions)
-    scored = c.join(broadcast_if_small(q), "idx").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score"))
-    return top_k(scored.where("score > 0"), k, order=[F.col("chunk_id")])
+    blocks = -(-max(1, questions.count()) // QUESTIONS)
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("question_id", questions), ("chunk_id", rows))}
+    block, out, spark = F.pmod(F.xxhash64("question_id"), F.lit(blocks)), None, rows.sparkSession
+    for n in range(blocks):
+        local = questions.where(block == n).select("question_id", "value").collect()
+        shared = spark.sparkContext.broadcast(([r[0] for r in local], prepared([r[1] for r in local])))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, state = shared.value
+            for batch in batches:
+                keys = batch.column(0)
+                order = np.array(pc.sort_indices(keys))
+                scores = scored(state, batch)[:, order]
+                # the sort is stable, so of equal scores the first key comes first
+                at = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, : max(1, k)]
+                top = np.take_along_axis(scores, at, 1)
+                q, j = np.nonzero(top > -np.inf)
+                taken = pa.array(order[at[q, j]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), keys.take(taken), pa.array(top[q, j])], names=["question_id", "chunk_id", "score"])
+
+        part = rows.mapInArrow(best, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sparse_search(questions: DataFrame, chunks: DataFrame, k: int, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(question_id, question) and (chunk_id, chunk_text) to the k chunks of largest positive cosine per question, scores
+    rounded to nine digits, ties to the smaller chunk_id. Vectors are made by `sparse_embedding` and multiplied in
+    batches; see `best_in_batches`."""
+    listed = lambda df, key: df.groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("value"))  # noqa: E731  at most `dimensions`
+    q = listed(sparse_embedding(questions, "question_id", "question", dimensions), "question_id")
+    c = listed(sparse_embedding(chunks, "chunk_id", "chunk_text", dimensions), "chunk_id").select("chunk_id", "value.idx", "value.weight")
+
+    def prepared(values: list) -> np.ndarray:
+        out = np.zeros((len(values), dimensions))
+        for n, v in enumerate(values):
+            out[n, [x["idx"] for x in v]] = [x["weight"] for x in v]
+        return out
+
+    def scored(state: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        dense = np.zeros((batch.num_rows, dimensions))
+        idx = batch.column(1)
+        dense[np.repeat(np.arange(batch.num_rows), np.diff(np.array(idx.offsets))), np.array(idx.flatten())] = np.array(batch.column(2).flatten())
+        scores = state @ dense.T
+        return np.where(np.round(scores, 9) > 0, scores, -np.inf)
+
+    hits = best_in_batches(q, c, k, prepared, scored).withColumn("score", F.round("score", 9))
+    return top_k(hits, k, order=[F.col("chunk_id")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answer, evaluate, graph, retrieval, vectors
+from ..sources.shared import fixed
 from . import views as v
 from .graph_queries import WALK, asked, found
 from .registry import query
@@ -101,9 +102,8 @@ def q19_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's text; the items are a bounded list."""
-    items = v.questions(spark, sf_dir)
-    return v.chunks(spark, sf_dir).join(vectors.broadcast_if_small(items), F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
+    """Documents that hold a benchmark item's text."""
+    return evaluate.holding(v.chunks(spark, sf_dir), v.questions(spark, sf_dir))
 
 
 GOLD = "gold AS (SELECT DISTINCT question_id, chunk_id FROM questions, chunks WHERE contains(chunk_text, question))"
@@ -157,8 +157,8 @@ pr AS (SELECT t.question_id, count(g.chunk_id)::DOUBLE / count(*) AS precision
 SELECT round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(coalesce(precision, 0)), 6) AS precision, round(avg(coalesce(faithfulness, 0)), 6) AS faithfulness
 FROM rm LEFT JOIN pr USING (question_id) LEFT JOIN fa USING (question_id)""")
 def q24_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, hits = v.chunks(spark, sf_dir), hybrid_hits(spark, sf_dir)
-    trace = answer.traced(hits, chunks)
+    chunks, hits = v.chunks(spark, sf_dir), fixed(hybrid_hits(spark, sf_dir))  # k rows for each question
+    trace = fixed(answer.traced(hits, chunks))
     m = evaluate.query_metrics(v.questions(spark, sf_dir), hits, gold(spark, sf_dir), trace, answer.answers(trace), chunks, 8)
     names = ("recall", "ndcg", "precision", "faithfulness")
     return evaluate.averaged(m, *names).withColumns({c: F.round(c, 6) for c in names})
