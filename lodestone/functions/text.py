@@ -172,18 +172,32 @@ def document_type(path: Column) -> Column:
     return F.when(F.lower(path).contains("pmbok"), "pmbok").otherwise("generic")
 
 
-def number_or(value: Column, default: float) -> Column:
-    return F.coalesce(F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double"), F.lit(default))
+def number_or(value: Column, default: float = 0.0) -> Column:
+    """A text as a number, the default for null, blank and anything else."""
+    return F.coalesce(stripped(value.cast("string")).try_cast("double"), F.lit(float(default)))
 
 
 def count_or(value: Column, default: int = 0) -> Column:
-    return F.greatest(F.lit(0), F.coalesce(value.try_cast("double").try_cast("int"), F.lit(default)))
+    """A text as a whole number, cut towards 0 and at least 0; the default where it is no number."""
+    number = stripped(value.cast("string")).try_cast("double")
+    return F.greatest(F.lit(0), F.coalesce(F.when(~F.isnan(number), number).try_cast("int"), F.lit(default)))
+
+
+# Words for true and false.
+TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
+FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
 
 def flag(value: Column) -> Column:
     """True or false for the usual words, else null."""
-    v = F.lower(F.trim(value))
-    return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off", ""), False)
+    v = F.lower(stripped(value))
+    return F.when(v.isin(*TRUE_WORDS), True).when(v.isin(*FALSE_WORDS), False)
+
+
+def flag_or_error(value: Column, name: str) -> Column:
+    """True or false for the usual words; any other value, null too, fails the query that reads it, with its name."""
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is neither true nor false: "), F.coalesce(value, F.lit("null"))))
+    return F.coalesce(flag(value), wrong.cast("boolean"))
 
 
 def judge_score(raw: Column) -> Column:

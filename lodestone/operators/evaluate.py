@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import t_test_p_value
-from ..functions.text import bound, excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
+from ..functions.text import FALSE_WORDS, TRUE_WORDS, bound, excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
+from ..sources.files import json_lines
 from ..sources.shared import fixed
 from .retrieval import fused
 from .vectors import top_k
@@ -223,6 +224,52 @@ def grid(spark: SparkSession, chunking: list[str], embedding: list[str], retriev
     return out.withColumn("exp_id", F.when(F.col("reranker_enabled"), F.concat(name, F.lit("_reranker_"), slug(F.col("reranker_model")))).otherwise(name))
 
 
+#: Factors of an experiment: other names that a configuration may use for each, and its values where it names none.
+FACTORS = {
+    "chunking": ((), ("fixed", "heading_recursive", "sentence_window", "semantic_breakpoint")),
+    "embedding_model": (("embedding", "embeddings"), ("hash-small", "hash-base", "hash-large")),
+    "retrieval": (("retrieval_modes",), ("vector", "graph", "hybrid")),
+    "embedding_provider": ((), (DEFAULT_PROVIDER,)),
+    "reranker_enabled": ((), ("false",)),
+    "reranker_model": ((), ("none",)),
+}
+
+
+def factor_values(config: dict, name: str) -> list[str]:
+    """A factor's values in a configuration: the first list that has any, under its own name or another one, among the
+    configuration's `factors`, then its `defaults`, then at its top; else the usual ones. Blank values don't count."""
+    others, usual = FACTORS[name]
+    for part in (config.get("factors"), config.get("defaults"), config):
+        for key in (name, *others) if isinstance(part, dict) else ():
+            listed = part.get(key)
+            found = [str(v).strip() for v in listed if str(v).strip()] if isinstance(listed, list) else []
+            if found:
+                return found
+    return list(usual)
+
+
+def grid_of(spark: SparkSession, config: dict) -> DataFrame:
+    """The grid that a configuration names, a row for each combination of its factors' values. A value of
+    reranker_enabled that is neither true nor false is an error."""
+    values = {name: factor_values(config, name) for name in FACTORS}
+    flags = [v.strip().lower() for v in values["reranker_enabled"]]
+    if wrong := [v for v in flags if v not in TRUE_WORDS + FALSE_WORDS]:
+        raise ValueError(f"reranker_enabled is neither true nor false: {wrong[0]}")
+    enabled = [v in TRUE_WORDS for v in flags]
+    return grid(spark, values["chunking"], values["embedding_model"], values["retrieval"], values["embedding_provider"], enabled, values["reranker_model"])
+
+
+def questions_of(spark: SparkSession, path: str) -> DataFrame:
+    """(question_id, type, question, gold_citations, gold_answer) of a file of JSON lines. A file without questions is an
+    error, and so is a row without an id or a question, which fails the query that reads it."""
+    rows = json_lines(spark, path, "question_id string, type string, question string, gold_citations array<struct<chunk_id:string,doc_id:string,page:int,section:string>>, gold_answer string")
+    if rows.isEmpty():
+        raise ValueError(f"no questions in {path}")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(r"(?U)^\s*$")
+    wrong = F.raise_error(F.concat(F.lit(f"a question without id or text in {path} at line "), F.col("line_no").cast("string")))
+    return rows.where(F.when(blank("question_id") | blank("question"), wrong).otherwise(True)).drop("file", "line_no")
+
+
 def base_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, chunk_id, doc_id, page, section, text_score, section_score) of every question with every chunk.
 

@@ -299,3 +299,17 @@ def q78_old_runs_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
         fs.rename(path, files.file_system(spark, f"{root}/{part.removeprefix('run=')}")[1])
     keep = [f"run{n}" for n in range(0, 25, 7)] + ["no such run"]
     return sinks.runs_removed(spark, root, 0, keep, dry_run=False).select("run_id", "state")
+
+
+@query("""
+WITH v AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN ' ' || p_size || chr(9) WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || '.75' WHEN 3 THEN p_name WHEN 4 THEN '' WHEN 6 THEN 'none' WHEN 7 THEN p_size || 'e1' END AS raw, p_size FROM part)
+SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 1 THEN -p_size WHEN 2 THEN p_size + 0.75 WHEN 7 THEN p_size * 10 ELSE -1 END::DOUBLE AS number,
+       CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 1 THEN 0 WHEN 2 THEN p_size WHEN 7 THEN p_size * 10 ELSE 5 END::INT AS "count", 
+       CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag FROM v""")
+def q79_coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, counts and flags of texts that at times are none."""
+    p, size = v.table(spark, sf_dir, "part"), F.col("p_size").cast("string")
+    form = F.col("p_partkey") % 8
+    raw = F.when(form == 0, F.concat(F.lit(" "), size, F.lit("\t"))).when(form == 1, F.concat(F.lit("-"), size)).when(form == 2, F.concat(size, F.lit(".75"))).when(form == 3, F.col("p_name")).when(form == 4, "").when(form == 6, "none").when(form == 7, F.concat(size, F.lit("e1")))
+    word = F.get(F.array(*map(F.lit, [" YES\t", "off", "T", "n", "perhaps", ""])), (F.col("p_partkey") % 6).cast("int"))
+    return p.select("p_partkey", t.number_or(raw, -1).alias("number"), t.count_or(raw, 5).alias("count"), t.flag(word).alias("flag"))

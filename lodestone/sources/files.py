@@ -29,6 +29,18 @@ def files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
     return described(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder))
 
 
+def discovered(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
+    """(path, length, modificationTime) of the files with the suffix under a folder, in the order of their paths. No
+    folder, and no such file, is an error. Contents aren't read."""
+    if not _exists(spark, folder):
+        raise FileNotFoundError(f"no folder {folder}")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(folder)
+    found = found.select("path", "length", "modificationTime").orderBy("path")
+    if found.isEmpty():
+        raise FileNotFoundError(f"no {suffix} files under {folder}")
+    return found
+
+
 def described(found: DataFrame) -> DataFrame:
     """(path, content) with doc_id, sha256 and document_type."""
     sha = F.sha2("content", 256)

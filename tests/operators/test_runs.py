@@ -107,3 +107,49 @@ def test_smoke(spark):
     r = jobs.smoke(q, raw).first()
     assert (r["doc_id"], r["page"], r["section"]) == ("d1", 1, "Scope") and r["answer_text"] == "For 'What is the scope of work?', the source states: Scope The scope of work is fixed."
     assert jobs.smoke(q, raw.withColumn("text", F.lit(""))).count() == 1
+
+
+def test_grids_of_configurations(spark):
+    config = {"factors": {"chunking": ["fixed", " "], "embeddings": ["a", "b"], "reranker_enabled": ["Yes", 0]}, "defaults": {"retrieval_modes": ["vector"], "chunking": ["other"]}, "reranker_model": ["m"]}
+    got = evaluate.grid_of(spark, config).collect()
+    assert len(got) == 4 and {r["exp_id"] for r in got} == {"exp_fixed_a_vector", "exp_fixed_b_vector", "exp_fixed_a_vector_reranker_m", "exp_fixed_b_vector_reranker_m"}
+    assert evaluate.grid_of(spark, {"factors": {"embedding": []}}).count() == 36
+    with pytest.raises(ValueError, match="perhaps"):
+        evaluate.grid_of(spark, {"reranker_enabled": ["perhaps"]})
+
+
+def test_questions_and_flags(spark, tmp_path):
+    from lodestone.functions import text
+
+    (tmp_path / "q.jsonl").write_text('{"question_id": "q1", "type": "fact", "question": "What?", "gold_citations": [{"chunk_id": "c", "doc_id": "d", "page": 1, "section": "s"}]}\n')
+    r = evaluate.questions_of(spark, str(tmp_path / "q.jsonl")).first()
+    assert (r["question_id"], r["gold_citations"][0]["page"], r["gold_answer"]) == ("q1", 1, None)
+    (tmp_path / "bad.jsonl").write_text('{"question_id": "q1", "question": "x"}\n{"question_id": "q2", "question": " "}\n')
+    with pytest.raises(Exception, match="at line 2"):
+        evaluate.questions_of(spark, str(tmp_path / "bad.jsonl")).collect()
+    (tmp_path / "none.jsonl").write_text("[]\n")
+    with pytest.raises(ValueError, match="no questions"):
+        evaluate.questions_of(spark, str(tmp_path / "none.jsonl"))
+    words = spark.createDataFrame([("yes",), (" OFF ",)], "x string").select(text.flag_or_error(F.col("x"), "it"))
+    assert [r[0] for r in words.collect()] == [True, False]
+    with pytest.raises(Exception, match="it is neither true nor false: perhaps"):
+        spark.createDataFrame([("perhaps",)], "x string").select(text.flag_or_error(F.col("x"), "it")).collect()
+
+
+def test_discovery(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.discovered(spark, str(tmp_path / "none"))
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        files.discovered(spark, str(tmp_path / "in"))
+    for name in ("b.pdf", "deep/a.pdf", "c.txt"):
+        (tmp_path / "in" / name).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in files.discovered(spark, str(tmp_path / "in")).collect()] == ["b.pdf", "a.pdf"]
+
+
+def test_texts_that_hold_an_item(spark):
+    texts = {"c1": "the start a bb ccc dd e the end", "c2": "xa bb ccc dd ey", "c3": "a bb  ccc dd e", "c4": "a bb ccc dd", "c5": "bb", "c6": None}
+    items = {"q1": "a bb ccc dd e", "q2": "bb", "q3": "start a bb ccc", "q4": "no such words are here at all"}
+    chunks, asked = spark.createDataFrame(list(texts.items()), "chunk_id string, chunk_text string"), spark.createDataFrame(list(items.items()), "question_id string, question string")
+    want = {(q, c) for q, i in items.items() for c, t in texts.items() if t and i in t}
+    assert {tuple(r) for r in evaluate.holding(chunks, asked).collect()} == want and ("q1", "c2") in want
