@@ -2,8 +2,8 @@
 
 What is packed is a bounded list of items, however many rows there are:
 
-* a group of equal texts that holds more than 1/BUNDLES of all bytes, tokens or rows is an item of its own (there are
-  at most 3 x BUNDLES of these);
+* a group of equal texts that holds more than 1/GROUPS of all bytes, tokens or rows is an item of its own (there are
+  at most 3 x GROUPS of these);
 * one that holds more than 1/(2 x shards) of any is cut into pieces by doc_id, as whole it could not be balanced;
 * all other groups are hashed into BUNDLES bundles, each an item.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import n_words, written
 
 SHARDS = 24
-BUNDLES = 4096
+GROUPS, BUNDLES = 1 << 14, 4096
 #: Rows numbered in one task when slots are given.
 ROWS_PER_RUN = 500_000
 LEAST_RUNS = 16
@@ -49,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES, own_items: int = GROUPS) -> DataFrame:
     """(doc_id, text) to (doc_id, size, text_crc32, shard, slot), a row for each row.
 
     Null and empty texts are one group of size 8 and no tokens. Rows that repeat a doc_id are rows of their own; a null
@@ -65,11 +65,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Da
     share = F.greatest(F.col("b") / b, F.col("t") / t, F.col("n") / n)
     groups = groups.withColumn("share", share)
     pieces = F.when(F.col("share") > 0.5 / shards, F.ceil(F.col("share") * 2 * shards)).otherwise(1).cast("int")
-    large = groups.where(F.col("share") > 1.0 / bundles).withColumn("pieces", pieces)
+    large = groups.where(F.col("share") > 1.0 / own_items).withColumn("pieces", pieces)
     named = large.select("text_key", "pieces")
     of_bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("text_key"), F.lit(bundles)).cast("string"))
     of_group = F.concat(F.lit("g"), F.hex("text_key"), F.lit("-"), F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.col("pieces")).cast("string"))
-    # at most 3 x bundles groups are large
+    # at most 3 x own_items groups are large
     placed = rows.join(F.broadcast(named), "text_key", "left").withColumn("item", F.when(F.col("pieces").isNull(), of_bundle).otherwise(of_group))
     items = placed.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("item").collect()
     vectors = np.array([[r["b"] / b, r["t"] / t, r["n"] / n] for r in items], float).reshape(-1, 3)

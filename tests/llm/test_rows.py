@@ -65,8 +65,32 @@ def test_targets_stop_and_are_shared_again(spark):
     assert got == {"a": 30.0, "b": 960.0, "c": 60.0, None: 480.0}
 
 
+def test_packing_by_the_rule():
+    """Against the rule taken word by word: the largest item first, to the shard with the highest dot product."""
+    rng = np.random.default_rng(5)
+    sizes = rng.pareto(1.5, (300, 3)) + 0.01
+    sizes /= sizes.sum(0)
+    left, want = [[1 / 7] * 3 for _ in range(7)], {}
+    for k in sorted(range(300), key=lambda k: (-max(sizes[k]), k)):
+        dots = [sum(a * b for a, b in zip(r, sizes[k], strict=True)) for r in left]
+        want[k] = dots.index(max(dots))
+        left[want[k]] = [a - b for a, b in zip(left[want[k]], sizes[k], strict=True)]
+    assert sharding.packed(sizes, 7).tolist() == [want[k] for k in range(300)]
+
+
+def test_groups_are_placed_whole(docs, rows):
+    """With as many items as groups, no bundle is made, and shards are as even as the groups let them be."""
+    out = sharding.sharded(docs, shards=4, own_items=1 << 14).collect()
+    where = {}
+    for r in out:
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in where.values()) and len(out) == len(rows)
+    load = [sum(r["size"] for r in out if r["shard"] == s) for s in range(4)]
+    assert max(load) - min(load) < 0.02 * sum(load)
+
+
 def test_shards(docs, rows, empty):
-    out = sharding.sharded(docs, shards=4, bundles=16).collect()
+    out = sharding.sharded(docs, shards=4, bundles=16, own_items=16).collect()
     assert len(out) == len(rows)
     for shard in range(4):
         assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
