@@ -32,8 +32,9 @@ from .components import components
 from .pivots import PERCENT, ids_of, labelled, least_overlap, linked, mixed_lists, of_checked_size, remaining, required_within, tied
 
 WORDS = 5
-#: Shingles in so many documents or more are frequent; at most so many are broadcast, 16 bytes each.
-FREQUENT, MOST_FREQUENT = 16, 1 << 21
+#: Shingles in so many documents or more are frequent; at most so many are broadcast, 16 bytes each: all those above a
+#: step of their counts, of which each doubling has STEPS.
+FREQUENT, MOST_FREQUENT, STEPS = 16, 1 << 21, 16
 #: Shingles counted together in one task, and sent to it in one piece.
 COUNTED, SENT = 1 << 22, 1 << 21
 #: The longest list that isn't tied together by pivots, and the candidates for which l stays 1.
@@ -131,9 +132,17 @@ def order_of(docs: DataFrame) -> Order:
         return pd.DataFrame({"key": (np.int64(frame["bucket"].iloc[0]) << np.int64(32)) | tokens[often].astype(np.int64), "df": df[often]})
 
     buckets = docs.select("text").mapInPandas(sent, "bucket long, tokens binary, counts binary").groupBy("bucket")
-    often = buckets.applyInPandas(counted, "key long, df long").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT)
-    keys = often.toArrow().column("key").to_numpy()
-    return Order(bits, np.array(keys[::-1], np.int64))
+    often = written(buckets.applyInPandas(counted, "key long, df long").withColumn("step", F.floor(F.log2("df") * STEPS).cast("int")), "op10-often")
+    least, n = 64 * STEPS, 0
+    for r in sorted(often.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):  # 64 * STEPS rows at most
+        n += r["n"]
+        if n > MOST_FREQUENT:
+            break
+        least = r["step"]
+    keys = often.where(F.col("step") >= least).select("df", "key").toArrow()
+    df, key = (keys.column(c).to_numpy() for c in ("df", "key"))
+    discarded(often)
+    return Order(bits, np.array(key[np.lexsort((-key, df))], np.int64))
 
 
 def prefixes(docs: DataFrame, order: Order) -> DataFrame:
