@@ -28,6 +28,8 @@ LITTLE = 0.8
 MOST_ROUNDS = 2
 #: Pivots that a node is verified against in a round: those it shares most lists with.
 TIES = 2
+#: With more pairs than this times their nodes, one in FIRST_PART is settled before the others.
+FEW_PAIRS, FIRST_PART = 4, 5
 
 
 def of_checked_size(df: DataFrame) -> DataFrame:
@@ -157,6 +159,17 @@ def remaining(rows: DataFrame, verified: Callable[[DataFrame], DataFrame], found
     pairs = written(pairs.groupBy("a", "b").agg(F.first(asked).alias("asked")), "pairs")
     stored = rows.join(of_checked_size(written(ids_of(pairs), "ids")), "id", "left_semi")
     stored = written(stored.groupBy("id").agg(F.collect_list("token").alias("set")), "stored")  # no more than the set
-    near = written(both(pairs, stored).where(F.size(F.array_intersect("s", "t")) >= F.col("asked")).select("a", "b"), "near")
-    new = verified(near)
-    return new if found is None else written(found.unionByName(new), "found")
+
+    def settled(some: DataFrame) -> DataFrame:
+        return verified(written(both(some, stored).where(F.size(F.array_intersect("s", "t")) >= F.col("asked")).select("a", "b"), "near"))
+
+    joined = lambda new: new if found is None else written(found.unionByName(new), "found")
+    if pairs.count() <= FEW_PAIRS * stored.count():
+        return joined(settled(pairs))
+    # where pairs are many, most tell nothing new: a part of them is settled first, and of the others only those between
+    # what are different components then
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(FIRST_PART))
+    found = joined(settled(written(pairs.where(part == 0), "first")))
+    labels = of_checked_size(written(components(found), "labels"))
+    rest = pairs.where(part != 0).join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
+    return joined(settled(written(rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "asked"), "rest")))

@@ -2,7 +2,9 @@ import random
 import re
 from itertools import combinations
 
-from lodestone.llm import components, line_dedup, ngram_join
+import pytest
+
+from lodestone.llm import components, line_dedup, ngram_join, pivots
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -28,7 +30,9 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
-def test_join_equals_brute_force(docs, rows):
+@pytest.mark.parametrize("few", [4, 0])
+def test_join_equals_brute_force(docs, rows, few, monkeypatch):
+    monkeypatch.setattr(pivots, "FEW_PAIRS", few)  # 0: a part of the pairs is settled first
     sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = closed(list(sets), links)
