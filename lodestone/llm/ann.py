@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ready_for_python
+
 #: Centroids are fitted on at most so many vectors, the first by a hash of vec_id. Every vector is indexed.
 SAMPLE = 20_000
 MOST_LISTS = 1024
@@ -107,6 +109,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, probes: float = PROBE
     that repeat a query_id are answered once for each vector that they have. Without vectors or queries the result is empty.
     """
     spark = df.sparkSession
+    ready_for_python(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     vectors, asked = usable(df), usable(queries.withColumnRenamed("query_id", "vec_id")).dropDuplicates(["vec_id", "embedding"])
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready_for_python
+
 #: Fixed values of the vocabulary file's format: its end-of-word mark, and the one character that stands for it here.
 END, END_MARK = "</w>", "\n"
 #: Fixed values of the vocabulary file's normalizer and pre-tokenizer.
@@ -262,6 +264,7 @@ class Coder:
 
 
 def _over(df: DataFrame, vocabulary: Vocabulary, schema: str, row) -> DataFrame:
+    ready_for_python(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready_for_python
+
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
@@ -93,6 +95,7 @@ def formatted(df: DataFrame, template: Template = chatml) -> DataFrame:
     repeated turns. A null role or text is empty; the rows of a null conv_id are one conversation. Further columns
     don't take part. An empty frame gives an empty frame. A conversation must fit into a task, as its output does.
     """
+    ready_for_python(df.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready_for_python
+
 #: The fit reads at most so many labelled rows, the first by a hash of doc_id.
 TRAINING_ROWS = 12_000
 COLUMNS = 1 << 17
@@ -117,6 +119,7 @@ def fit(labelled: DataFrame, columns: int = COLUMNS, rows: int = TRAINING_ROWS)
     These rows' n-grams come to the driver, where the model is fitted; more rows don't, also if they repeat a doc_id. A
     null label is left out. With labels of one class only, every text gets that class's share as its score.
     """
+    ready_for_python(labelled.sparkSession)
     taken = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,6 +159,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Empty and null texts have no n-grams and get the score of the bias alone. Texts are read whole. Rows that repeat a
     doc_id are scored one by one; further columns don't take part. An empty frame gives an empty frame.
     """
+    ready_for_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the number of columns
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
