@@ -58,7 +58,8 @@ class Stage:
         for seen, _ in self.observed:
             row = seen._jo.getRowOrEmpty()  # `get` would wait for a job that failed
             if row.isDefined():
-                done += [(n, float(row.get().getAs(n))) for n in row.get().schema().fieldNames()]
+                seen_row = row.get()
+                done += [(n, float(v)) for n in seen_row.schema().fieldNames() if (v := seen_row.getAs(n)) is not None]  # null: no row came
         return self.counters + done
 
 
