@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from lodestone.llm.common import n_words, ready_for_python, table, written
+from lodestone.llm.common import n_words, table, written
 
 
 def passing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +65,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is empty and has no tokens; repeated and null doc_ids keep their rows; an empty frame gives an empty frame.
     """
-    ready_for_python(spark)
-    ids = bpe.encode(docs, bpe.default_vocabulary())
+    ids = bpe.token_ids(docs, bpe.default_vocabulary())
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

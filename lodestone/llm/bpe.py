@@ -28,7 +28,7 @@ END, END_MARK = "</w>", "\n"
 #: Fixed values of the vocabulary file's normalizer and pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: Words kept with their tokens in each Python worker; beyond that the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words longer than this aren't kept.
 CACHE_LENGTH = 64
 #: Texts of so many characters are put together from one pass over their new words.
@@ -285,6 +285,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _over(df, vocabulary, "doc_id long, ids array<int>, decoded string", lambda ids, decoded: {"ids": np.frombuffer(ids, "<u4").astype(np.int32), "decoded": decoded})
 
 
+def token_ids(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, text) to (doc_id, ids array<int>) as `encode` gives them, without the decoded text."""
+    return _over(df, vocabulary, "doc_id long, ids array<int>", lambda ids, decoded: {"ids": np.frombuffer(ids, "<u4").astype(np.int32)})
+
+
 def digests(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256); cases as in `encode`."""
     return _over(
