@@ -17,8 +17,9 @@ from .common import discarded, written
 from .components import components
 
 PERCENT = 80
-#: What may be broadcast: a table of numbers whose counted rows take so many bytes at most in memory.
-BROADCAST_BYTES = 48 << 20
+#: What may be broadcast: a table of numbers whose counted rows take so many bytes at most in memory, the bound that Spark
+#: itself has by default.
+BROADCAST_BYTES = 10 << 20
 #: What a row of numbers takes in a broadcast table besides 8 bytes a column.
 ROW_BYTES = 40
 #: Rounds end when no more pairs between components are left than this times the number of nodes, or when a round has
