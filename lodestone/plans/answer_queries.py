@@ -293,11 +293,27 @@ def q29b_question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT 'v' || (o_orderkey % 2) AS variant, o_totalprice / 1000 AS score FROM orders),
 g AS (SELECT variant, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, var_samp(score) AS v FROM s GROUP BY variant),
 b AS (SELECT a.variant AS variant_a, b.variant AS variant_b, a.n AS n_a, b.n AS n_b, a.mean AS mean_a, b.mean AS mean_b, a.std AS std_a, b.std AS std_b,
-             a.v / a.n AS ea, b.v / b.n AS eb FROM g a JOIN g b ON a.variant < b.variant)
+             a.v / a.n AS ea, b.v / b.n AS eb FROM g a JOIN g b ON a.variant < b.variant),
+w AS (SELECT *, abs(mean_a - mean_b) / sqrt(ea + eb) AS ta, (ea + eb) * (ea + eb) / (ea * ea / (n_a - 1) + eb * eb / (n_b - 1)) AS f FROM b),
+p AS (SELECT *, lgamma((f + 1) / 2) - lgamma(f / 2) - 0.5 * ln(f * pi()) AS c FROM w)
 SELECT variant_a, variant_b, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(std_a, 6) AS std_a, round(std_b, 6) AS std_b,
        round((mean_a - mean_b) / sqrt(ea + eb), 6) AS t, round((ea + eb) * (ea + eb) / (ea * ea / (n_a - 1) + eb * eb / (n_b - 1)), 4) AS df,
-       CASE WHEN mean_a > mean_b THEN variant_a WHEN mean_b > mean_a THEN variant_b END AS winner FROM b""")
+       round(1 - 2 * ta / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(c - (f + 1) / 2 * ln(1 + (i * ta / 2000) * (i * ta / 2000) / f)))), 6) AS p_value,
+       CASE WHEN mean_a > mean_b THEN variant_a WHEN mean_b > mean_a THEN variant_b END AS winner FROM p""")
 def q30_ab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = v.table(spark, sf_dir, "orders")
     s = evaluate.compared(orders.select(F.concat(F.lit("v"), (F.col("o_orderkey") % 2).cast("string")).alias("variant"), (F.col("o_totalprice") / 1000).alias("score")))
-    return s.withColumns({c: F.round(c, 4 if c == "df" else 6) for c in ("mean_a", "mean_b", "std_a", "std_b", "t", "df")})
+    return s.withColumns({c: F.round(c, 4 if c == "df" else 6) for c in ("mean_a", "mean_b", "std_a", "std_b", "t", "df", "p_value")})
+
+
+@query("""
+WITH q AS (SELECT o_custkey AS question_id, coalesce(max(o_totalprice) FILTER (o_orderkey % 2 = 0), 0) / 1000 AS a, coalesce(max(o_totalprice) FILTER (o_orderkey % 2 = 1), 0) / 1000 AS b FROM orders GROUP BY 1),
+s AS (SELECT a, b FROM q UNION ALL SELECT a, b FROM q)
+SELECT 'even' AS variant_a, 'odd' AS variant_b, count(*) AS n_a, count(*) AS n_b, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(stddev_pop(a), 6) AS std_a, round(stddev_pop(b), 6) AS std_b,
+       CASE WHEN avg(a) > avg(b) THEN 'even' WHEN avg(b) > avg(a) THEN 'odd' END AS winner FROM s""")
+def q30b_ab_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over each customer's largest order with an even and with an odd key; one without such an order scores 0."""
+    variant = F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd")
+    rows = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("question_id"), variant.alias("variant")).agg((F.max("o_totalprice") / 1000).alias("score"))
+    s = evaluate.compared(evaluate.ab_runs(lambda run: rows, ("even", "odd"), 2))
+    return s.drop("t", "df", "p_value").withColumns({c: F.round(c, 6) for c in ("mean_a", "mean_b", "std_a", "std_b")})
