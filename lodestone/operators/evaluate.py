@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +16,8 @@ from ..functions.statistics import t_test_p_value
 from ..functions.text import FALSE_WORDS, TRUE_WORDS, bound, excerpt, jaccard, section_name, slug, squeezed, token_set, value_scale
 from ..sources.files import json_lines
 from ..sources.shared import fixed
-from .retrieval import fused
-from .vectors import top_k
+from .retrieval import Tokens, fused, token_counting
+from .vectors import broadcast_if_small, in_blocks, top_k
 
 # Fixed values.
 TEMPLATES = {
@@ -85,6 +89,8 @@ def faithfulness(answers: DataFrame, trace: DataFrame, chunks: DataFrame) -> Dat
 
 #: Words in a row by which texts that hold an item are looked up.
 KEY_WORDS = 3
+#: Pairs of texts and items with an equal key that are broadcast after being counted.
+MOST_MET = 20_000
 
 
 def holding(chunks: DataFrame, items: DataFrame) -> DataFrame:
@@ -100,8 +106,9 @@ def holding(chunks: DataFrame, items: DataFrame) -> DataFrame:
     long = keyed.where(F.size("w") >= KEY_WORDS + 2).select("question_id", "question", F.xxhash64(F.slice("w", 2, KEY_WORDS)).alias("key"))
     runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - KEY_WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, KEY_WORDS))))
     keys = chunks.select("chunk_id", F.explode(bound(spaced(F.col("chunk_text")), runs)).alias("key"))
-    met = keys.join(long.select("key", "question_id", "question"), "key").select("chunk_id", "question_id", "question")
-    found = met.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").where(F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
+    # few chunks meet an item, so that these are sent to the texts, and texts aren't shuffled
+    met = fixed(keys.join(long.select("key", "question_id", "question"), "key").select("chunk_id", "question_id", "question").distinct())
+    found = broadcast_if_small(met, MOST_MET).join(chunks.select("chunk_id", "chunk_text"), "chunk_id").where(F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")
     short = keyed.where(F.size("w") < KEY_WORDS + 2).select("question_id", "question")
     return found.unionByName(chunks.join(short, F.col("chunk_text").contains(F.col("question"))).select("question_id", "chunk_id")).distinct()
 
@@ -270,6 +277,10 @@ def questions_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.when(blank("question_id") | blank("question"), wrong).otherwise(True)).drop("file", "line_no")
 
 
+#: Shares of a chunk's text and of its section in the score of a retrieval mode, and digits that scores are rounded to.
+MODES, DIGITS = {"vector": (0.75, 0.25), "graph": (0.55, 0.45)}, 12
+
+
 def base_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, chunk_id, doc_id, page, section, text_score, section_score) of every question with every chunk.
 
@@ -280,17 +291,46 @@ def base_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return c.crossJoin(q).select("question_id", "chunk_id", "doc_id", "page", "section", jaccard(F.col("q"), F.col("t")).alias("text_score"), jaccard(F.col("q"), F.col("s")).alias("section_score"))
 
 
+def base_candidates(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Of `base_scores` rows among which are those that `matrix_hits` takes: each batch of chunks gives a question's k best
+    in either mode. Pairs are neither made nor shuffled; see `vectors.in_blocks`."""
+    q = questions.select("question_id", token_set(F.col("question")).alias("value"))
+    c = chunks.select("chunk_id", "doc_id", "page", "section", token_set(F.col("chunk_text")).alias("t"), token_set(F.col("section")).alias("s"))
+    order = ["doc_id", "page", "section", "chunk_id"]
+    prepared, counted = token_counting()
+
+    def units(score: np.ndarray) -> np.ndarray:
+        """Scores in units of the last of DIGITS, rounded as Spark does: by their decimals, half up."""
+        scaled = score * 10.0**DIGITS
+        out = np.floor(scaled + 0.5)
+        for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3), strict=True):  # the product may have crossed the half
+            out[at] = float(Decimal(repr(float(score[at]))).scaleb(DIGITS).to_integral_value(ROUND_HALF_UP))
+        return out
+
+    def best(ids: pa.Array, state: Tokens, batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.take(pc.sort_indices(batch, sort_keys=[(x, "ascending") for x in order], null_placement="at_start"))
+        text, section = [np.where(union > 0, shared / np.maximum(union, 1), 0.0) for shared, union in (counted(state, batch.column(x)) for x in ("t", "s"))]
+        taken = np.zeros(text.shape, bool)
+        for a, b in MODES.values():
+            # the sort is stable, so of equal scores the first row in order comes first
+            np.put_along_axis(taken, np.argsort(-units(a * text + b * section), axis=1, kind="stable")[:, : max(1, k)], True, 1)
+        n, at = np.nonzero(taken)
+        rows = batch.select(["chunk_id", *order[:3]]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(n)), *rows.columns, pa.array(text[n, at]), pa.array(section[n, at])], names=["question_id", *rows.schema.names, "text_score", "section_score"])
+
+    kinds = ", ".join(f"{x} {df.schema[x].dataType.simpleString()}" for df, names in ((q, ["question_id"]), (c, ["chunk_id", *order[:3]])) for x in names)
+    return in_blocks(q, c, prepared, best, f"{kinds}, text_score double, section_score double")
+
+
 def matrix_hits(base: DataFrame, experiments: DataFrame, k: int) -> DataFrame:
-    """(exp_id, question_id, rank, chunk_id) for all experiments at once.
+    """(exp_id, question_id, rank, chunk_id) for all experiments at once. `base` are the scores of all pairs, or of
+    candidates for at least this k; as it is read for each mode and side, it should be fixed.
 
     Within a retrieval mode the factors scale all scores alike, so each mode is ranked once; the fused mode depends on
     the scales of its two sides.
     """
     order = [F.col("doc_id"), F.col("page"), F.col("section"), F.col("chunk_id")]
-    sides = {
-        "vector": base.withColumn("score", F.round(0.75 * F.col("text_score") + 0.25 * F.col("section_score"), 12)),
-        "graph": base.withColumn("score", F.round(0.55 * F.col("text_score") + 0.45 * F.col("section_score"), 12)),
-    }
+    sides = {m: base.withColumn("score", F.round(a * F.col("text_score") + b * F.col("section_score"), DIGITS)) for m, (a, b) in MODES.items()}
     top = {m: top_k(df, k, order=order).select("question_id", "chunk_id", "rank", "score") for m, df in sides.items()}
     scale = {"vector": value_scale(F.col("chunking"), 0.001) * value_scale(F.col("embedding"), 0.001), "graph": value_scale(F.col("chunking"), 0.001)}
     out = None

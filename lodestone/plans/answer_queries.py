@@ -214,9 +214,10 @@ mx AS (SELECT exp_id, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS nd
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     experiments = evaluate.grid(spark, *AXES)
-    hits = evaluate.matrix_hits(evaluate.base_scores(v.questions(spark, sf_dir), v.chunks(spark, sf_dir)), experiments, 10)
+    base = fixed(evaluate.base_candidates(v.questions(spark, sf_dir), v.chunks(spark, sf_dir), 10))
+    hits = evaluate.matrix_hits(base, experiments, 10)
     pair = lambda df: df.withColumn("question_id", F.concat_ws("|", "exp_id", F.col("question_id").cast("string")))
-    wanted = pair(experiments.select("exp_id").crossJoin(gold(spark, sf_dir)))
+    wanted = pair(experiments.select("exp_id").crossJoin(fixed(gold(spark, sf_dir))))
     every = pair(experiments.select("exp_id").crossJoin(v.questions(spark, sf_dir).select("question_id")))
     m = evaluate.ranking_metrics(pair(hits), wanted, 10, every).withColumn("exp_id", F.substring_index("question_id", "|", 1))
     return m.groupBy("exp_id").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
