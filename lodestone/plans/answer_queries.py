@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answer, evaluate, graph, retrieval, vectors
 from ..sources.shared import fixed
 from . import views as v
-from .graph_queries import WALK, asked, found
+from .graph_queries import WALK, asked, built
 from .registry import query
 from .search_queries import LEXICAL, VECTOR_HITS
 
@@ -68,9 +68,8 @@ def q17_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_fused(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
-    t = found(spark, sf_dir)
     lexical = retrieval.lexical_search(q, v.sentences(spark, sf_dir), 8).withColumn("score", F.round("score", 9))
-    walked = graph.graph_search(q, graph.nodes(t), graph.edges(t), 8)
+    walked = graph.graph_search(q, *built(spark, sf_dir), 8)
     return retrieval.fused(lexical, walked, 8).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 

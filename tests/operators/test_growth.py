@@ -1,6 +1,10 @@
 import pytest
 
-from lodestone.operators import evaluate
+from pyspark.sql import functions as F
+
+from lodestone.operators import evaluate, graph, retrieval
+from lodestone.operators.vectors import top_k
+from lodestone.sources.shared import fixed
 
 
 def words(n, *sizes):
@@ -20,3 +24,23 @@ def test_candidates_of_batches_hold_the_best_of_all_pairs(spark, asked):
     assert some.count() <= 11 * 3 * 2 * k
     best = [sorted(map(tuple, evaluate.matrix_hits(base, experiments, k).collect())) for base in (some, evaluate.base_scores(asked, chunks))]
     assert best[0] == best[1] and len(best[0]) == 3 * 11 * k
+
+
+def test_equal_sets_are_searched_for_once(spark):
+    cues = ["affects", "uses", "controls"]
+    chunks = [(f"c{n:03}", f"alpha beta{n % 4} {cues[n % 3]} gamma{n % 3} delta{n % 2}.") for n in range(240)]
+    chunks = spark.createDataFrame(chunks, "chunk_id string, chunk_text string")
+    questions = [(n, f"what {'beta' if n % 2 else 'gamma'}{n % 3} {'Alpha delta0' if n % 5 else 'delta0 alpha'}") for n in range(60)] + [(99, "nothing known")]
+    questions = spark.createDataFrame(questions, "question_id int, question string")
+    found = graph.triples(chunks)
+    nodes, edges = fixed(graph.nodes(found)), fixed(graph.edges(found))
+    k = 7
+    # the plain way: every edge a question reaches with every chunk that it is evidence of
+    each = graph.walked(questions, nodes, edges).join(edges, "edge_id").select("question_id", "depth", "weight", F.explode("evidence_chunk_ids").alias("chunk_id"))
+    scored = each.groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") / F.col("depth")).alias("score"), F.min("depth").alias("depth"))
+    want = top_k(scored, k, order=[F.col("depth"), F.col("chunk_id")]).select("question_id", "rank", "chunk_id", "score")
+    got = graph.graph_search(questions, nodes, edges, k)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert retrieval.alike(questions).select("__set").distinct().count() == 7
+    pairs = [tuple(r)[1:] for r in retrieval.lexical_search(questions, chunks, k).orderBy("question_id", "rank").where("question_id in (1, 7)").collect()]
+    assert pairs[:k] == pairs[k:] and len(pairs) == 2 * k
