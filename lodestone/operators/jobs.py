@@ -68,11 +68,9 @@ def index(chunks: DataFrame, model: str = "hash", dimensions: int = vectors.DIME
     """(row_idx, chunk_id, embedding, provider, embedding_model, dim) of every chunk, numbered in their order."""
     if dimensions < 1:
         raise ValueError("dimensions must be positive")
-    weights = vectors.sparse_embedding(chunks, "chunk_id", "chunk_text", dimensions)
-    entries = weights.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("w"))  # `dimensions` at most
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.try_element_at("w", k), F.lit(0.0)))
-    rows = evaluate.numbered(chunks.select("chunk_id", "doc_id", "page", "section")).join(entries, "chunk_id", "left")
-    return rows.select(F.col("at").alias("row_idx"), "chunk_id", dense.alias("embedding"), F.lit("local_hash").alias("provider"), F.lit(model).alias("embedding_model"), F.lit(dimensions).alias("dim"))
+    rows = evaluate.numbered(chunks.select("chunk_id", "doc_id", "page", "section", "chunk_text"))
+    rows = vectors.embedded(rows.select(F.col("at").alias("row_idx"), "chunk_id", "chunk_text"), "chunk_text", dimensions, dense=True)
+    return rows.select("row_idx", "chunk_id", "embedding", F.lit("local_hash").alias("provider"), F.lit(model).alias("embedding_model"), F.lit(dimensions).alias("dim"))
 
 
 class Graph(NamedTuple):

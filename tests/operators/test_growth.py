@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluate, graph, retrieval
+from lodestone.operators import evaluate, graph, retrieval, vectors
 from lodestone.operators.vectors import top_k
 from lodestone.sources.shared import fixed
 
@@ -44,3 +44,15 @@ def test_equal_sets_are_searched_for_once(spark):
     assert retrieval.alike(questions).select("__set").distinct().count() == 7
     pairs = [tuple(r)[1:] for r in retrieval.lexical_search(questions, chunks, k).orderBy("question_id", "rank").where("question_id in (1, 7)").collect()]
     assert pairs[:k] == pairs[k:] and len(pairs) == 2 * k
+
+
+def test_vectors_are_made_where_texts_are(spark):
+    texts = [None, "", "...", "a b a", "It's a_b; 7 Ünï", *(words(n, *range(n % 40)) for n in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for dimensions in (3, 256):
+        some = vectors.embedded(df, "text", dimensions, dense=True)
+        want = {r["id"]: r["e"] for r in df.select("id", vectors.dense_embedding(F.col("text"), dimensions).alias("e")).collect()}
+        assert all(r["embedding"] == pytest.approx(want[r["id"]], abs=1e-12) for r in some.collect())
+        sparse = vectors.sparse_embedding(df, "id", "text", dimensions)
+        assert "Exchange" not in sparse._jdf.queryExecution().executedPlan().toString()
+        assert {(r["id"], r["idx"]): pytest.approx(r["weight"]) for r in sparse.collect()} == {(n, k): x for n, v in want.items() for k, x in enumerate(v) if x}
