@@ -163,9 +163,10 @@ def numbered(chunks: DataFrame) -> DataFrame:
     return parts.withColumn("at", local).join(F.broadcast(before.drop("__c")), "__p").withColumn("at", F.col("at") + F.col("__b")).drop("__p", "__b")
 
 
-def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int) -> DataFrame:
-    """(idx, type, first_chunk, second_chunk, gold_answer) of n drafts of a kind; facts have no second chunk."""
-    places = numbered(chunks)
+def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int, places: DataFrame | None = None) -> DataFrame:
+    """(idx, type, first_chunk, second_chunk, gold_answer) of n drafts of a kind; facts have no second chunk. `places` are
+    the numbered chunks, if the caller has them."""
+    places = numbered(chunks) if places is None else places
     count = F.lit(places.count())
     draft = spark.range(n).select(F.col("id").alias("idx"), F.pmod("id", count).alias("one"), pair_index(F.col("id"), count, 2 if kind == "contrast" else 1).alias("two"))
     one = places.select(F.col("at").alias("one"), F.col("chunk_id").alias("first_chunk"), F.col("doc_id").alias("d1"), F.col("page").alias("p1"), F.col("chunk_text").alias("t1"), section_name(F.col("section")).alias("s1"))
@@ -213,7 +214,8 @@ def generated_questions(spark: SparkSession, chunks: DataFrame, run: str, size:
     """(question_id, type, question, first_chunk, second_chunk, gold_answer): `size` questions in the usual mix, each one
     unique: see `unique_questions`."""
     targets = {r["type"]: r["n"] for r in type_targets(spark, size).collect()}  # three rows
-    parts = [question_pairs(spark, chunks, kind, targets[kind]).withColumn("__k", F.lit(k)) for k, kind in enumerate(TYPE_MIX)]
+    places = numbered(chunks)  # once for all kinds
+    parts = [question_pairs(spark, chunks, kind, targets[kind], places).withColumn("__k", F.lit(k)) for k, kind in enumerate(TYPE_MIX)]
     out = unique_questions(fixed(parts[0].unionByName(parts[1]).unionByName(parts[2])), ["__k", "idx"])
     number = F.row_number().over(Window.orderBy("__k", "idx"))  # an evaluation's bounded set
     out = out.withColumn("question_id", F.concat(F.lit(f"{run}:q"), F.lpad(number.cast("string"), 4, "0")))

@@ -260,7 +260,8 @@ SELECT idx, type, a.chunk_id AS first_chunk, CASE WHEN type <> 'fact' THEN b.chu
 FROM p JOIN c a ON a.at = one JOIN c b ON b.at = two""".replace("AS at,", "AS pos,").replace("a.at =", "a.pos =").replace("b.at =", "b.pos ="))
 def q29_question_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = v.chunks(spark, sf_dir)
-    parts = [evaluate.question_pairs(spark, chunks, kind, n) for kind, n in (("fact", 90), ("multi_hop", 70), ("contrast", 40))]
+    places = evaluate.numbered(chunks)
+    parts = [evaluate.question_pairs(spark, chunks, kind, n, places) for kind, n in (("fact", 90), ("multi_hop", 70), ("contrast", 40))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("question")
 
 

@@ -71,3 +71,10 @@ def test_cosine_of_all_pairs_by_products(spark):
             scored = sorted((-round(sum(x * y for x, y in zip(a, b, strict=True)) / max(norm(a) * norm(b), 1e-8), 9), n) for n, b in good if len(a) == len(b))
             want += [(q, rank, n) for rank, (_, n) in enumerate(scored[:6], 1)]
     assert sorted((r["question_id"], r["rank"], r["row_idx"]) for r in hits.collect()) == sorted(want)
+
+
+def test_chunks_are_numbered_once_for_all_kinds(spark, monkeypatch):
+    calls, numbered = [], evaluate.numbered
+    monkeypatch.setattr(evaluate, "numbered", lambda chunks: calls.append(1) or numbered(chunks))
+    chunks = spark.createDataFrame([(f"c{n}", f"d{n % 3}", 1, f"s{n}", words(n, 1, 2, 3)) for n in range(9)], "chunk_id string, doc_id string, page int, section string, chunk_text string")
+    assert evaluate.generated_questions(spark, chunks, "run", 20).count() == 20 and len(calls) == 1
