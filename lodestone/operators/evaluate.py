@@ -7,6 +7,7 @@ from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -184,30 +185,101 @@ def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int, pl
     return rows.select("idx", F.lit(kind).alias("type"), question.alias("question"), "first_chunk", "second_chunk", answer.alias("gold_answer"))
 
 
+#: Numbers that the drafts of one question start from, at most, for their places to be counted at once.
+MOST_STARTS = 256
+
+
+def first_free(jobs: DataFrame) -> DataFrame:
+    """(key, block, start, at, counted, ...) to the same with `free`: the first number from `start` on that the key's
+    counted rows before `at` don't take, if each of them takes, in the order of `at`, the first from its own start on.
+
+    Which numbers a set of rows takes doesn't depend on their order, so it is enough to know how many rows before one
+    begin at each start. These counts are summed within blocks (of rows that follow each other in `at`) and shifted by
+    those of the blocks before, so a task holds a block's rows of a key.
+    """
+    counts = jobs.groupBy("key", "block", "start").agg(F.count_if("counted")).toDF("its_key", "its_block", "its_start", "n")
+    grid = counts.select("its_key", "its_block").distinct().join(counts.select("its_key", "its_start").distinct(), "its_key")
+    before = Window.partitionBy("its_key", "its_start").orderBy("its_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grid.join(counts, ["its_key", "its_block", "its_start"], "left").withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0)))  # of starts and blocks, not of rows
+
+    def placed(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows, before = rows.sort_values("at"), before.sort_values("its_start")
+        start, counted = rows["start"].to_numpy(), rows["counted"].to_numpy()
+        free = np.full(len(rows), before["its_start"].min())
+        for at, n in zip(before["its_start"].to_numpy(), before["n"].to_numpy(), strict=True):
+            mine = counted & (start == at)
+            taken = n + np.cumsum(mine) - mine
+            # who begins below a gap stays there; for all others numbers go on from it, or from where they got to
+            free = np.where((start < at) & (free < at), free, np.maximum(free, at) + taken)
+        return rows.assign(free=free)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema.fields)
+    return jobs.groupBy("key", "block").cogroup(offsets.groupBy("its_key", "its_block")).applyInPandas(placed, f"{schema}, free long")
+
+
+def numbers_of(drafts: DataFrame) -> DataFrame:
+    """(at, number) of those drafts (at, block, key, seed) that get a number; for keys with more than MOST_STARTS starts
+    there are none.
+
+    All drafts of a key but the first get a number of it. The first may have a name that another key's drafts ask for
+    with a number ("Why? (2)" and "Why?"). Such a name takes part there as a row with one number only: where it isn't
+    free, the draft has lost its name and numbers its own key. Those that the others alone make lose are found at once;
+    of the rest, the first in order that loses is certain in each key, until none does.
+    """
+    heads = drafts.groupBy("key").agg(F.min_by(F.struct("at", "block", "seed"), "at").alias("h")).select("key", "h.*")
+    number = F.regexp_extract("key", r"^(?s:.*) ?\((0|-?[1-9][0-9]{0,17})\)$", 1)
+    named = heads.where(number != "").select("at", "block", F.col("key").alias("own"), F.col("seed"), number.cast("long").alias("start"))
+    named = named.withColumn("key", F.rtrim(F.expr("substring(own, 1, length(own) - length(start) - 2)"))).where((F.col("key") == "") | (F.concat("key", F.lit(" ("), F.col("start"), F.lit(")")) == F.col("own")))
+    later = drafts.join(heads.select("key", F.col("at").alias("head")), "key").where("at <> head").select("key", "block", (F.col("seed") + 1).alias("start"), "at")
+    asked = later.select("key", "start").unionByName(named.select("key", "start")).groupBy("key").agg(F.count_distinct("start").alias("starts"))
+    some = later.select("key").distinct().join(asked.where(F.col("starts") <= MOST_STARTS), "key").select("key")
+    later = fixed(later.join(some, "key", "left_semi"))
+    named = fixed(named.join(some, "key", "left_semi"))
+    own = named.select(F.col("own").alias("key"), "block", (F.col("seed") + 1).alias("start"), "at")
+    lost, counted = None, False
+    while True:
+        lists = lambda df, name, count: df.select("key", "block", "start", "at", F.lit(name).alias("name"), F.lit(count).alias("counted"))
+        left = named if lost is None else named.join(lost, "at", "left_anti")
+        jobs = lists(later, False, True).unionByName(lists(left, True, counted))
+        jobs = jobs if lost is None else jobs.unionByName(lists(own.join(lost, "at", "left_semi"), False, True))
+        free = fixed(first_free(jobs))
+        out = free.where("name AND free <> start")
+        out = fixed((out.groupBy("key").agg(F.min("at").alias("at")) if counted else out).select("at"))
+        if counted and out.isEmpty():
+            return free.where("NOT name").select("at", F.col("free").alias("number"))
+        lost, counted = out if lost is None else fixed(lost.unionByName(out)), True
+
+
 def unique_questions(drafts: DataFrame, order: list[str], question: str = "question", seed: str = "idx") -> DataFrame:
     """Drafts with their question made unique, but for case and white space, as if they came one by one in `order`.
 
     The first of equal questions stays, stripped. A later one gets a number in brackets, the first from seed + 1 on that
     makes a question none before it has: neither a draft's own nor a numbered one. `order` must be total.
 
-    Each draft asks for a name, the first in order gets it, and the others go on to their next number, until all have
-    different names. Of those that go on from one number of one question, each later one starts one number further, as
-    those before it take that many. So a round settles whole groups, and what all rounds give is what going through the
-    drafts one by one gives: a draft leaves a name only for one before it.
+    Numbers are counted first: see `numbers_of`. Then each draft asks for its name, the first in order gets it, and the
+    others go on to their next number, until all have different names; after the counting there are others only for
+    questions with very many starts. Of those that go on from one number of one question, each later one starts one
+    number further, as those before it take that many. A draft leaves a name only for one before it, so what all rounds
+    give is what going through the drafts one by one gives. Null questions stay null.
     """
     base = F.regexp_replace(F.col(question), r"(?U)^\s+|\s+$", "")
     same = lambda c: F.lower(squeezed(c))
-    now = fixed(drafts.select(*order, F.col(seed).cast("long").alias("__seed"), base.alias("__base"), F.lit(None).cast("long").alias("__number")))
+    rows = drafts.select(*order, F.col(seed).cast("long").alias("__seed"), base.alias("__base")).where(F.col("__base").isNotNull())
+    rows = fixed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    rows = rows.withColumns({"__at": F.monotonically_increasing_id(), "__block": F.spark_partition_id()})
+    rows = fixed(rows)
+    numbers = numbers_of(rows.select(F.col("__at").alias("at"), F.col("__block").alias("block"), same(F.col("__base")).alias("key"), F.col("__seed").alias("seed")))
+    now = fixed(rows.join(numbers.select(F.col("at").alias("__at"), F.col("number").alias("__number")), "__at", "left").drop("__block"))
     name = F.when(F.col("__number").isNull(), F.col("__base")).otherwise(F.concat("__base", F.lit(" ("), F.col("__number").cast("string"), F.lit(")")))
     while True:
-        asked = now.withColumn("__name", name).withColumn("__place", F.row_number().over(Window.partitionBy(same(F.col("__name"))).orderBy(*order)))
+        asked = now.withColumn("__name", name).withColumn("__place", F.row_number().over(Window.partitionBy(same(F.col("__name"))).orderBy("__at")))
         asked = fixed(asked)
         if asked.where("__place > 1").isEmpty():
             break
         lost, following = F.col("__place") > 1, F.coalesce(F.col("__number") + 1, F.col("__seed") + 1)
-        group = Window.partitionBy(same(F.col("__base")), lost, following).orderBy(*order)
+        group = Window.partitionBy(same(F.col("__base")), lost, following).orderBy("__at")
         now = asked.withColumn("__number", F.when(lost, following + F.row_number().over(group) - 1).otherwise(F.col("__number"))).drop("__name", "__place")
-    return drafts.drop(question).join(asked.select(*order, F.col("__name").alias(question)), order)
+    return drafts.drop(question).join(asked.select(*order, F.col("__name").alias(question)), order, "left")
 
 
 def generated_questions(spark: SparkSession, chunks: DataFrame, run: str, size: int) -> DataFrame:

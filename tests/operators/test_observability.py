@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lodestone.functions.statistics import incomplete_beta, log_gamma, t_test_p_value
 from lodestone.operators import evaluate, observability
@@ -114,6 +115,25 @@ def test_unique_questions_as_if_one_by_one(spark):
         assert {(r["k"], r["idx"]): r["question"] for r in got} == want
 
 
+def test_many_equal_questions_are_numbered_in_few_rounds(spark, monkeypatch):
+    rng, fixed, calls = random.Random(3), evaluate.fixed, []
+    monkeypatch.setattr(evaluate, "fixed", lambda df: calls.append(1) or fixed(df))
+    texts = ["Why?"] * 9 + ["why? (40)", "Why? (4)", "Why? (4) (1)", "(3)", "", None, "Why?(2)", "Why? (07)"]
+    drafts = [(n % 3, n, (n * 7) % 5 if n % 50 else 100 * (n % 7), rng.choice(texts)) for n in range(900)]
+    taken, want = set(), {}
+    for k, idx, seed, q in sorted(drafts, key=lambda d: d[:2]):
+        name, n = q, seed + 1
+        while q is not None and " ".join(name.lower().split()) in taken:
+            name, n = f"{q} ({n})", n + 1
+        taken |= {" ".join(name.lower().split())} if q is not None else set()
+        want[k, idx] = name
+    df = spark.createDataFrame(drafts, "k int, idx long, seed int, question string").repartition(7)
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda df, *c, whole=DataFrame.repartitionByRange: whole(df, 5, *c))
+    got = evaluate.unique_questions(df, ["k", "idx"], seed="seed").collect()
+    assert {(r["k"], r["idx"]): r["question"] for r in got} == want and len(got) == 900
+    assert len(calls) < 40
+
+
 def test_experiment_means_with_latency(spark, tmp_path):
     metrics = observability.Metrics(spark, "run", str(tmp_path / "m"))
     with metrics.timer("e1"):
