@@ -16,7 +16,7 @@ from ..sources.stores import Manifest, Store
 from . import chunking, jobs
 from .observability import Log, Metrics
 from .store import realigned
-from .vectors import DIMENSIONS
+from .vectors import DIMENSIONS, broadcast_if_small
 
 #: Parts of a table after which an addition makes one of them.
 MOST_PARTS = 64
@@ -83,19 +83,19 @@ def add(store: Store, found: DataFrame, parser: PageParser | None = None, strate
     if mark and before.marks.get(mark[0], -1) >= mark[1]:
         return Added()
     marks = dict([mark]) if mark else None
-    names = fixed(described(found).select("path", "sha256"))  # without contents
+    names = fixed(described(found).drop("content"))
     fresh = fixed(unknown(names, store.table("documents", before)))
     total, new = names.count(), fresh.count()
     if not new:
         if mark:
             store.commit(before, {}, marks)
         return Added(skipped_duplicates=total)
-    chosen = described(found).join(fresh, ["path", "sha256"], "left_semi")
+    chosen = described(found).join(broadcast_if_small(fresh.select("path", "sha256")), ["path", "sha256"], "left_semi")
     old_chunks, parts = store.table("chunks", before), {}
     strategy = chunking.strategy_of(old_chunks) if before.rows("chunks") else strategy or "heading_recursive"
     with stage("ingest", metrics, log) as counts:
         raw = fixed(raw_pages(chosen, parser))
-        out = jobs.ingested(chosen, raw, strategy, **sizes)
+        out = jobs.ingested(fresh, raw, strategy, **sizes)
         parts |= {t: store.part(t, df) for t, df in (("documents", out.documents), ("pages", out.pages))}
         counts |= {"documents.count": new, "pages.count": parts["pages"]["rows"], "duplicates.count": total - new}
     with stage("chunking", metrics, log) as counts:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EMPTY_PAGE, line_list, roman_or_arabic, stripped
+from ..sources.shared import fixed
+from .vectors import BROADCAST_ROWS
 
 
 def numbered_lines(pages: DataFrame, key: list[str]) -> DataFrame:
@@ -16,10 +18,24 @@ def numbered_lines(pages: DataFrame, key: list[str]) -> DataFrame:
 def without_repeated_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page", threshold: float = 0.7) -> DataFrame:
     """(doc, page, text) less the lines that stand on at least `threshold` of a document's pages.
 
-    Documents of less than three pages lose none. Blank lines go. A page that keeps no line says so.
+    Documents of less than three pages lose none, and their texts stay where they are. Blank lines go. A page that keeps
+    no line, or has no doc or page, says so.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be within 0 and 1")
+    sizes = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages"), F.count("*").alias("rows"))
+    compared = fixed(sizes.where((F.col("pages") >= 3) | (F.col("rows") > F.col("pages"))).where(F.col(doc).isNotNull()).select(doc))
+    if compared.count() > BROADCAST_ROWS:
+        return _less_repeated(pages, doc, page, threshold)
+    lines = F.filter(F.transform(line_list(F.col("text")), stripped), lambda x: x != "")
+    whole = F.nullif(F.array_join(F.when(F.col(doc).isNotNull() & F.col(page).isNotNull(), lines), "\n"), F.lit(""))
+    single = pages.join(F.broadcast(compared), doc, "left_anti").select(doc, page, F.coalesce(whole, F.lit(EMPTY_PAGE)).alias("text"))
+    if compared.isEmpty():
+        return single
+    return single.unionByName(_less_repeated(pages.join(F.broadcast(compared), doc, "left_semi"), doc, page, threshold))
+
+
+def _less_repeated(pages: DataFrame, doc: str, page: str, threshold: float) -> DataFrame:
     lines = numbered_lines(pages, [doc, page]).where("line <> ''")
     total = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages"))
     often = lines.groupBy(doc, "line").agg(F.count_distinct(page).alias("on")).join(total, doc)

@@ -155,13 +155,15 @@ def pair_index(idx: Column, count: Column, stride: int) -> Column:
 def numbered(chunks: DataFrame) -> DataFrame:
     """Chunks with their place, from 0, in the order of doc_id, page, section, chunk_id.
 
-    Ranges of the order are numbered apart and shifted by the counts before them, so no task holds all chunks.
+    Ranges of the order are sorted, numbered apart and shifted by the counts before them, so no task holds all chunks, and
+    each moves once.
     """
     order = ["doc_id", "page", "section", "chunk_id"]
-    parts = fixed(chunks.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    parts = fixed(chunks.repartitionByRange(*order).sortWithinPartitions(*order))
+    parts = parts.withColumns({"__p": F.spark_partition_id(), "__id": F.monotonically_increasing_id()})
     before = parts.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return parts.withColumn("at", local).join(F.broadcast(before.drop("__c")), "__p").withColumn("at", F.col("at") + F.col("__b")).drop("__p", "__b")
+    local = F.col("__id") - F.shiftleft(F.col("__p").cast("long"), 33)  # ids of a partition rise by one from there
+    return parts.withColumn("at", local).join(F.broadcast(before.drop("__c")), "__p").withColumn("at", F.col("at") + F.col("__b")).drop("__p", "__b", "__id")
 
 
 def question_pairs(spark: SparkSession, chunks: DataFrame, kind: str, n: int, places: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_text, section_of, snippet
 from ..sources.files import documents
+from ..sources.shared import fixed
 from . import answer, chunking, cleaning, evaluate, graph, retrieval, store, vectors
 
 REPEATED = 0.7
@@ -40,20 +41,21 @@ def sectioned_pages(raw: DataFrame, guided: DataFrame | None = None, threshold:
     rows = text.withColumn("own", F.when(F.col("text") == "(empty page)", "Section").otherwise(section_of(F.col("text")))).unionByName(tables)
     if guided is None:
         return rows.select("doc_id", "page", F.col("own").alias("section"), "text", F.lit(None).cast("string").alias("path"))
-    rows = rows.join(cleaning.contents(guided), ["doc_id", "page"], "left")
+    rows = rows.join(vectors.broadcast_if_small(fixed(cleaning.contents(guided))), ["doc_id", "page"], "left")
     return rows.select("doc_id", "page", F.coalesce("path", "own").alias("section"), "text", "path")
 
 
 def ingested(found: DataFrame, raw: DataFrame, strategy: str = "heading_recursive", **sizes) -> Ingested:
-    """Documents, pages and chunks of files (files.files) and their raw pages (files.raw_pages, written once, as several
-    steps read them). Chunks of a table have the ids of its page's first chunks, as they are numbered by row."""
-    kind = found.select("doc_id", "document_type").distinct()
-    guided = raw.join(kind.where(F.col("document_type") == GUIDED).select("doc_id"), "doc_id", "left_semi")
-    pages = sectioned_pages(raw, guided)
-    chunks = chunking.chunk_pages(pages, strategy, **sizes).join(kind, "doc_id", "left")
-    path = F.when(F.col("document_type") == GUIDED, F.coalesce("path", F.concat(F.lit("Page "), F.col("page").cast("string")))).otherwise("")
+    """Documents, pages and chunks of files (files.files; their contents aren't read) and their raw pages (files.raw_pages,
+    written once, as several steps read them). Chunks of a table have the ids of its page's first chunks, as they are
+    numbered by row."""
+    of_kind = vectors.broadcast_if_small(fixed(found.where(F.col("document_type") == GUIDED).select("doc_id").distinct()))
+    guided = raw.join(of_kind, "doc_id", "left_semi")
+    pages = fixed(sectioned_pages(raw, guided))  # all three tables are made of them
+    chunks = chunking.chunk_pages(pages, strategy, **sizes).join(of_kind.withColumn("__guided", F.lit(True)), "doc_id", "left")
+    path = F.when(F.col("__guided"), F.coalesce("path", F.concat(F.lit("Page "), F.col("page").cast("string")))).otherwise("")
     named = documents(found, pages.where(~F.col("text").startswith("TABLE:")))
-    return Ingested(named, pages.drop("path"), chunking.enriched(chunks, path).drop("path", "document_type"))
+    return Ingested(named, pages.drop("path"), chunking.enriched(chunks, path).drop("path", "__guided"))
 
 
 def provider_of(name: str) -> str:
@@ -68,9 +70,9 @@ def index(chunks: DataFrame, model: str = "hash", dimensions: int = vectors.DIME
     """(row_idx, chunk_id, embedding, provider, embedding_model, dim) of every chunk, numbered in their order."""
     if dimensions < 1:
         raise ValueError("dimensions must be positive")
-    rows = evaluate.numbered(chunks.select("chunk_id", "doc_id", "page", "section", "chunk_text"))
-    rows = vectors.embedded(rows.select(F.col("at").alias("row_idx"), "chunk_id", "chunk_text"), "chunk_text", dimensions, dense=True)
-    return rows.select("row_idx", "chunk_id", "embedding", F.lit("local_hash").alias("provider"), F.lit(model).alias("embedding_model"), F.lit(dimensions).alias("dim"))
+    rows = vectors.embedded(chunks.select("chunk_id", "doc_id", "page", "section", "chunk_text"), "chunk_text", dimensions, dense=True)
+    rows = evaluate.numbered(rows)  # vectors move to their places, not texts
+    return rows.select(F.col("at").alias("row_idx"), "chunk_id", "embedding", F.lit("local_hash").alias("provider"), F.lit(model).alias("embedding_model"), F.lit(dimensions).alias("dim"))
 
 
 class Graph(NamedTuple):

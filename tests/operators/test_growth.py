@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluate, graph, retrieval, vectors
+from lodestone.operators import cleaning, evaluate, graph, retrieval, vectors
 from lodestone.operators.vectors import top_k
 from lodestone.sources.shared import fixed
 
@@ -78,3 +78,21 @@ def test_chunks_are_numbered_once_for_all_kinds(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "numbered", lambda chunks: calls.append(1) or numbered(chunks))
     chunks = spark.createDataFrame([(f"c{n}", f"d{n % 3}", 1, f"s{n}", words(n, 1, 2, 3)) for n in range(9)], "chunk_id string, doc_id string, page int, section string, chunk_text string")
     assert evaluate.generated_questions(spark, chunks, "run", 20).count() == 20 and len(calls) == 1
+
+
+def test_texts_of_short_documents_stay_where_they_are(spark):
+    pages = [("one", 1, " Head \nown"), ("two", 1, "Head\na"), ("two", 2, "Head\nb"), *(("three", k, f"Head\nown {k}\n\n") for k in (1, 2, 3)), ("none", 1, " \n"), ("null", 1, None), (None, 1, "x"), ("same", 1, "a\nb"), ("same", 1, "a\nc")]
+    pages = spark.createDataFrame(pages, "doc_id string, page int, text string")
+    want = sorted([("one", 1, "Head\nown"), ("two", 1, "Head\na"), ("two", 2, "Head\nb"), *(("three", k, f"own {k}") for k in (1, 2, 3)), ("none", 1, "(empty page)"), ("null", 1, "(empty page)"), ("None", 1, "(empty page)"), *[("same", 1, "a\na\nb\nc")] * 2])
+    got = [(str(r["doc_id"]), r["page"], r["text"]) for r in cleaning.without_repeated_lines(pages).collect()]
+    assert sorted(got) == want
+    short = cleaning.without_repeated_lines(pages.where("doc_id in ('one', 'two', 'none')"))
+    assert "hashpartitioning" not in short._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_moves_rows_once(spark):
+    rows = spark.createDataFrame([(f"d{n % 7}", n % 3, "s", f"c{n:03}") for n in range(200)], "doc_id string, page int, section string, chunk_id string").repartition(5)
+    numbered = evaluate.numbered(rows)
+    assert "hashpartitioning(__p" not in numbered.drop("at")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    got = [tuple(r)[:4] for r in sorted(numbered.select("doc_id", "page", "section", "chunk_id", "at").collect(), key=lambda r: r["at"])]
+    assert got == sorted(got) and [r["at"] for r in numbered.orderBy("at").collect()] == list(range(200))
