@@ -90,14 +90,15 @@ def graph_of(chunks: DataFrame) -> Graph:
 def smoke_answers(questions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """(question_id, chunk_id, excerpt): the best chunk of each question by shared tokens."""
     best = retrieval.lexical_search(questions, chunks, k).where("rank = 1").select("question_id", "chunk_id")
+    best = vectors.broadcast_if_small(fixed(best))  # a row for each question
     return best.join(chunks, "chunk_id").select("question_id", "chunk_id", snippet(F.col("chunk_text")).alias("excerpt"))
 
 
 def smoke(questions: DataFrame, raw: DataFrame, k: int = 8, size: int = 512, overlap: int = 50) -> DataFrame:
     """Raw pages (doc_id, page, text, parsed) to (question_id, answer_text, chunk_id, doc_id, page, section): pages are
-    cleaned and cut into fixed chunks, and the best of each question's k is its answer and only citation."""
-    chunks = chunking.chunk_pages(sectioned_pages(raw).drop("path"), "fixed", size=size, overlap=overlap)
-    best = smoke_answers(questions, chunks, k)
+    cleaned and cut into fixed chunks, once for all steps, and the best of each question's k is its answer and only citation."""
+    chunks = fixed(chunking.chunk_pages(sectioned_pages(raw).drop("path"), "fixed", size=size, overlap=overlap))
+    best = vectors.broadcast_if_small(fixed(smoke_answers(questions, chunks, k)))
     out = best.join(chunks.select("chunk_id", "doc_id", "page", "section"), "chunk_id").join(questions.select("question_id", "question"), "question_id")
     said = F.concat(F.lit("For '"), "question", F.lit("', the source states: "), "excerpt")
     return out.select("question_id", said.alias("answer_text"), "chunk_id", "doc_id", "page", "section")

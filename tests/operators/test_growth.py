@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import cleaning, evaluate, graph, retrieval, vectors
+from lodestone.operators import cleaning, evaluate, graph, jobs, retrieval, vectors
 from lodestone.operators.vectors import top_k
 from lodestone.sources.shared import fixed
 
@@ -96,3 +96,9 @@ def test_numbering_moves_rows_once(spark):
     assert "hashpartitioning(__p" not in numbered.drop("at")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     got = [tuple(r)[:4] for r in sorted(numbered.select("doc_id", "page", "section", "chunk_id", "at").collect(), key=lambda r: r["at"])]
     assert got == sorted(got) and [r["at"] for r in numbered.orderBy("at").collect()] == list(range(200))
+
+
+def test_smoke_cuts_chunks_once(spark, asked):
+    raw = spark.createDataFrame([(f"d{n}", 1, words(n, *range(n % 6)), False) for n in range(50)], "doc_id string, page int, text string, parsed boolean")
+    out = jobs.smoke(asked, raw)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 11
