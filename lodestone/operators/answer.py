@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import containment, ended, raw_sentences, token_set
+from ..sources.shared import fixed
 from .retrieval import keep_first
+from .vectors import broadcast_if_small
 
 NOTHING = "No supporting evidence found."
 
@@ -20,10 +22,12 @@ def support(sentence: Column, evidence: Column, score: Column, floor: float = 0.
 def traced(hits: DataFrame, chunks: DataFrame, max_sentences: int = 3) -> DataFrame:
     """(question_id, no, sentence, chunk_id, doc_id, page, section, support): the first sentence of each hit's chunk.
 
-    A chunk counts once; hits whose chunk is missing or blank are passed over.
+    A chunk counts once; hits whose chunk is missing or blank are passed over. Hits are found once and, unless they are
+    very many, go to where the texts are.
     """
+    hits = broadcast_if_small(fixed(keep_first(hits)))
     first = F.get(raw_sentences(F.col("chunk_text")), F.lit(0))
-    rows = keep_first(hits).join(chunks.select("chunk_id", "doc_id", "page", "section", "chunk_text"), "chunk_id")
+    rows = hits.join(chunks.select("chunk_id", "doc_id", "page", "section", "chunk_text"), "chunk_id")
     rows = rows.withColumn("sentence", ended(first)).where("sentence IS NOT NULL")
     rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))).where(F.col("no") <= max_sentences)
     return rows.select("question_id", "no", "sentence", "chunk_id", "doc_id", "page", "section", support(F.col("sentence"), F.col("chunk_text"), F.col("score")).alias("support"))

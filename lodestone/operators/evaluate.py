@@ -82,7 +82,7 @@ def citation_precision(cited: DataFrame, gold: DataFrame, questions: DataFrame |
 def faithfulness(answers: DataFrame, trace: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, faithfulness): share of an answer's tokens that its cited chunks have."""
     said = answers.select("question_id", F.explode(token_set(F.col("answer_text"))).alias("token"))
-    cited = trace.select("question_id", "chunk_id").distinct().join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+    cited = broadcast_if_small(fixed(trace.select("question_id", "chunk_id").distinct())).join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
     known = cited.select("question_id", F.explode(token_set(F.col("chunk_text"))).alias("token")).distinct().withColumn("known", F.lit(1))
     rate = said.join(known, ["question_id", "token"], "left").groupBy("question_id").agg((F.count("known") / F.count("*")).alias("faithfulness"))
     return answers.select("question_id").join(rate, "question_id", "left").fillna(0.0, ["faithfulness"])

@@ -146,7 +146,7 @@ fa AS (SELECT question_id, len(list_intersect(a, e))::DOUBLE / len(a) AS faithfu
 @query(FAITH + "SELECT question_id, round(faithfulness, 6) AS faithfulness FROM fa")
 def q23_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = v.chunks(spark, sf_dir)
-    trace = answer.traced(hybrid_hits(spark, sf_dir), chunks)
+    trace = fixed(answer.traced(hybrid_hits(spark, sf_dir), chunks))
     return evaluate.faithfulness(answer.answers(trace), trace, chunks).withColumn("faithfulness", F.round("faithfulness", 6))
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import cleaning, evaluate, graph, jobs, retrieval, vectors
+from lodestone.operators import answer, cleaning, evaluate, graph, jobs, retrieval, vectors
 from lodestone.operators.vectors import top_k
 from lodestone.sources.shared import fixed
 
@@ -102,3 +102,12 @@ def test_smoke_cuts_chunks_once(spark, asked):
     raw = spark.createDataFrame([(f"d{n}", 1, words(n, *range(n % 6)), False) for n in range(50)], "doc_id string, page int, text string, parsed boolean")
     out = jobs.smoke(asked, raw)
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 11
+
+
+def test_hits_go_to_the_texts(spark, asked):
+    chunks = spark.createDataFrame([(f"c{n}", f"d{n}", 1, "s", words(n, *range(n % 6)) + ".") for n in range(60)], "chunk_id string, doc_id string, page int, section string, chunk_text string")
+    trace = answer.traced(retrieval.lexical_search(asked, chunks, 4), chunks)
+    score = evaluate.faithfulness(answer.answers(trace), trace, chunks)
+    for df in (trace, score):
+        assert "hashpartitioning(chunk_id" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [chunk_id" in plan
+    assert {r["question_id"] for r in score.collect()} >= {f"q{n}" for n in range(9)}
