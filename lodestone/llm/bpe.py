@@ -14,6 +14,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,18 @@ from .common import ready_for_python
 END, END_MARK = "</w>", "\n"
 #: Fixed values of the vocabulary file's normalizer and pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: Words kept with their tokens in each Python worker; beyond that the cache starts anew.
-CACHE_WORDS = 100_000
+#: Words kept with their tokens in each Python worker; beyond that the cache starts anew, with the words of the one before
+#: that are met again.
+CACHE_WORDS = 75_000
 #: Words longer than this aren't kept.
 CACHE_LENGTH = 64
 #: Texts of so many characters are put together from one pass over their new words.
-TOGETHER = 1_000_000
+TOGETHER = 2_000_000
 NEVER = np.int64(1) << 40
+#: What `str.split` takes for white space and the vocabulary file doesn't.
+SPLIT_TOO = "\x1c\x1d\x1e\x1f"
+#: Packs so many tokens into bytes.
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(10)]
 
 
 def byte_chars() -> str:
@@ -75,10 +81,11 @@ class Vocabulary:
         self.keys, self.made = keys[order], np.array(list(self.merge.values()), np.int64)[order]
         #: What greedy matching may propose: tokens that merging their own characters gives back.
         self.reachable = {t: i for t, i in self.ids.items() if self.merged(t) == [i]}
-        #: The length of the longest such token by its first three characters.
-        self.longest: dict[str, int] = {}
+        lengths: dict[str, set[int]] = {}
         for t in self.reachable:
-            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 0))
+            lengths.setdefault(t[:3], {1, 2}).add(len(t))
+        #: The lengths of such tokens by their first three characters, the longest first.
+        self.lengths = {start: tuple(sorted(found, reverse=True)) for start, found in lengths.items()}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("special_pattern", "split_pattern")}
@@ -113,9 +120,10 @@ class Vocabulary:
 
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest match; None where it would leave a word's end without a character."""
-        out, at, n, find, longest = [], 0, len(word), self.reachable.get, self.longest.get
+        out, at, n, find, lengths = [], 0, len(word), self.reachable.get, self.lengths.get
         while at < n:
-            for end in range(min(n, at + longest(word[at : at + 3], 2)), at, -1):
+            for length in lengths(word[at : at + 3], (2, 1)):
+                end = at + length
                 if end != n - 1 and (i := find(word[at:end])) is not None:
                     break
             else:
@@ -161,7 +169,7 @@ class Vocabulary:
         """
         out: list[list[int]] = [[]] * len(words)
         parts = [[self.ids[c] for c in w[:-2]] + [self.ids[w[-2:]]] for w in words]
-        ids = np.fromiter((i for p in parts for i in p), np.int64)
+        ids = np.fromiter(chain.from_iterable(parts), np.int64)
         owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
         while len(ids):
             made = np.full(len(ids), NEVER)
@@ -186,7 +194,7 @@ class Vocabulary:
         """The tokens of each word, in byte characters with the end mark."""
         out = [self.proposed(w) for w in words]
         sizes = np.array([len(t) if t else 0 for t in out], np.int64)
-        flat = np.fromiter((i for t in out if t for i in t), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable([t for t in out if t]), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(out)), sizes)
         inner = owner[1:] == owner[:-1]
         pairs, where = np.unique(flat[:-1][inner] * len(self.text) + flat[1:][inner], return_inverse=True)
@@ -213,39 +221,58 @@ def lowered(text: str) -> str:
 
 
 class Coder:
-    """Encodes and decodes texts with a cache of words."""
+    """Encodes texts, and decodes them if asked to, with a cache of words that keeps those met lately."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
+    def __init__(self, vocabulary: Vocabulary, decodes: bool = True):
+        self.v, self.decodes = vocabulary, decodes
+        self.ids: dict[str, tuple[bytes, str | None]] = {}
+        self.before: dict[str, tuple[bytes, str | None]] = {}
         self.bytes = str.maketrans({b: c for b, c in enumerate(byte_chars())})
 
     def pieces(self, text: str | None) -> list[str]:
-        """The words of a text; a special token stands as its name after a NUL."""
+        """What stands between white space in a text; a special token stands as its name after a blank."""
         out: list[str] = []
         parts = self.v.special_pattern.split(text or "") if self.v.special_pattern else [text or ""]
         for part in parts:
             if part in self.v.special:
-                out.append("\0" + part)
+                out.append(" " + part)
             elif part:
                 # white space parts words whichever it is, so the normalizer's replacing it by blanks changes nothing
-                out += self.v.split_pattern.findall(lowered(unicodedata.normalize("NFC", part)))
+                plain = lowered(unicodedata.normalize("NFC", part))
+                out += self.v.split_pattern.findall(plain) if any(c in plain for c in SPLIT_TOO) else plain.split()
         return out
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """Each word's ids as little-endian 32-bit integers, and its tokens joined by spaces."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known, text = self.known, self.v.text
-        new = [w for w in words if w not in known]
-        plain = [w for w in new if w[0] != "\0" or w[1:] not in self.v.special]
-        tokens = self.v.encoded([w.encode().decode("latin-1").translate(self.bytes) + END_MARK for w in plain])
-        packed = lambda t: struct.pack(f"<{len(t)}I", *t)
-        fresh = {w: (packed(t), " ".join([text[i] for i in t])) for w, t in zip(plain, tokens, strict=True)}
-        fresh |= {w: (packed([self.v.special[w[1:]]]), w[1:]) for w in new if w not in fresh}
-        known.update({w: x for w, x in fresh.items() if len(w) <= CACHE_LENGTH})
-        return {**known, **fresh} if any(len(w) > CACHE_LENGTH for w in fresh) else known
-
-    def coded(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str]]:
+    def learn(self, pieces: Iterable[str]) -> dict[str, tuple[bytes, str | None]]:
+        """Each piece's ids as little-endian 32-bit integers, and its tokens joined by spaces. A word is a piece, too."""
+        find, special, text = self.v.split_pattern.findall, self.v.special, self.v.text
+        names = [p for p in pieces if p[0] == " "]
+        parted = {p: find(p) for p in pieces if p[0] != " " and not (p.isascii() and p.isalpha())}
+        words = {p for p in pieces if p[0] != " " and p not in parted}.union(*parted.values())
+        ids, before = self.ids, self.before
+        new = []
+        for w in words:
+            if w not in ids:
+                if w in before:
+                    ids[w] = before[w]
+                else:
+                    new.append(w)
+        made = self.v.encoded([w.encode().decode("latin-1").translate(self.bytes) + END_MARK for w in new])
+        for w, t in zip(new, made, strict=True):
+            ids[w] = PACKED[len(t)](*t) if len(t) < len(PACKED) else np.array(t, "<u4").tobytes(), " ".join([text[i] for i in t]) if self.decodes else None
+        found = {w: ids[w] for w in words}
+        found |= {p: (PACKED[1](special[p[1:]]), p[1:]) for p in names}
+        for p, within in parted.items():
+            if len(within) != 1:
+                some = [ids[w] for w in within]
+                found[p] = b"".join([i for i, _ in some]), " ".join([d for _, d in some]) if self.decodes else None
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del ids[w]
+        if len(ids) > CACHE_WORDS:
+            self.ids, self.before = {}, ids
+        return found
+
+    def coded(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, str | None]]:
         """(ids, decoded text) of each text; the words of about TOGETHER characters are learnt at once."""
         group, size = [], 0
         for text in texts:
@@ -256,19 +283,19 @@ class Coder:
                 group, size = [], 0
         yield from self._put_together(group)
 
-    def _put_together(self, group: list[list[str]]) -> Iterator[tuple[bytes, str]]:
-        known = self.learn(set().union(*group))
-        for words in group:
-            found = [known[w] for w in words]
-            yield b"".join([x for x, _ in found]), " ".join([x for _, x in found])
+    def _put_together(self, group: list[list[str]]) -> Iterator[tuple[bytes, str | None]]:
+        known = self.learn(set().union(*group)).__getitem__
+        for pieces in group:
+            found = list(map(known, pieces))
+            yield b"".join([i for i, _ in found]), " ".join([d for _, d in found]) if self.decodes else None
 
 
-def _over(df: DataFrame, vocabulary: Vocabulary, schema: str, row) -> DataFrame:
+def _over(df: DataFrame, vocabulary: Vocabulary, schema: str, row, decodes: bool = True) -> DataFrame:
     ready_for_python(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(shared.value)
+        coder = Coder(shared.value, decodes)
         for frame in frames:
             out = [row(ids, decoded) for ids, decoded in coder.coded(frame["text"])]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64")} | {k: [x[k] for x in out] for k in (out[0] if out else ())}, columns=[x.split()[0] for x in schema.split(", ")])
@@ -287,7 +314,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def token_ids(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, text) to (doc_id, ids array<int>) as `encode` gives them, without the decoded text."""
-    return _over(df, vocabulary, "doc_id long, ids array<int>", lambda ids, decoded: {"ids": np.frombuffer(ids, "<u4").astype(np.int32)})
+    return _over(df, vocabulary, "doc_id long, ids array<int>", lambda ids, decoded: {"ids": np.frombuffer(ids, "<u4").astype(np.int32)}, decodes=False)
 
 
 def digests(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -49,3 +49,17 @@ def test_frames(spark, n):
         assert rows[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[k]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert [r["ids"] for r in bpe.encode(df, V).orderBy("doc_id").collect()] == [i for i, _ in expected(TEXTS[:n])]
+
+
+def test_a_word_met_again_is_not_encoded_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "TOGETHER", 1)
+    seen = []
+    encoded = V.encoded
+    monkeypatch.setattr(V, "encoded", lambda words: seen.extend(words) or encoded(words))
+    texts = ["hello <|endoftext|>, hello! " + " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(20)) for k in range(20)]
+    texts += ["\0<|ENDOFTEXT|> 'S ''s it's\x1cx y z " + "ab" * 80 + "," + "c" * 70 + " ÀB,c9"] * 2
+    coder = bpe.Coder(V)
+    got = [(np.frombuffer(i, "<u4").tolist(), d) for i, d in coder.coded(texts)]
+    assert got == expected(texts)
+    assert seen.count("hello\n") == 1
